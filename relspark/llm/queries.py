@@ -13,6 +13,9 @@ from .minhash import near_duplicates
 from .packing import packed
 from .repeats import without_repeats
 from .secrets import count_of, joined, scanned
+from .sharding import sharded
+from .syncmers import fingerprinted, likeness, written
+from .url_filters import filtered, host_of
 
 
 def tokenizer_path() -> str:
@@ -36,6 +39,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").filter(~classifier.held_out()).select("doc_id", F.col("quality").alias("label"))
@@ -43,6 +50,54 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", classifier.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprinted(table(spark, sf_dir, "documents")).withColumnsRenamed({"fingerprint": "own", "edited_fingerprint": "other", "next_fingerprint": "following"})
+    own, edited, following = F.col("own"), F.col("other"), F.col("following")
+    texts = [F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256")]
+    return found.select("doc_id", *texts, written(own).alias("fingerprint"), written(edited).alias("edited_fingerprint"), likeness(own, edited).alias("near_edited"), likeness(own, following).alias("near_next"))
+
+
+def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no list and no fetch time: both are made from host names and page_ids by the rules in OP6_SQL."""
+    pages = table(spark, sf_dir, "pages")
+    captures = pages.select(F.col("page_id").alias("capture_id"), "url", F.pmod(F.col("page_id") * 37, F.lit(730)).alias("day"))
+    hosts = captures.select(host_of(F.col("url")).alias("host")).filter("host is not null").distinct()
+    parts = F.split("host", r"\.")
+    domain = F.array_join(F.slice(parts, F.greatest(F.size(parts) - 2, F.lit(1)), F.size(parts)), ".")
+    named = hosts.select("host", F.lit("host").alias("category")).union(hosts.select(domain, F.lit("domain")).distinct())
+    x = named.withColumn("x", F.conv(F.substring(F.md5("host"), 1, 7), 16, 10).cast("long")).filter(F.when(F.col("category") == "host", F.col("x") % 3 < 2).otherwise(F.col("x") % 4 == 0))
+    turns = F.array(*[F.struct(day.cast("int").alias("day"), F.lit(listed).alias("listed")) for day, listed in ((F.col("x") % 300, True), (F.col("x") % 300 + 40 + F.col("x") % 150, False), (F.col("x") % 300 + 260 + F.col("x") % 170, True))])
+    entries = x.select(F.col("host").alias("pattern"), "category", F.explode(turns).alias("t")).select("pattern", "category", "t.day", "t.listed")
+    return filtered(captures, entries)
+
+
+OP6_SQL = r"""
+WITH c AS (
+  SELECT page_id AS capture_id, CAST((page_id * 37) % 730 AS INTEGER) AS day,
+    nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '.'), '') AS host
+  FROM pages
+), h AS (SELECT DISTINCT host FROM c WHERE host IS NOT NULL),
+named AS (
+  SELECT host AS pattern, 'host' AS category FROM h
+  UNION ALL SELECT DISTINCT array_to_string(string_split(host, '.')[greatest(len(string_split(host, '.')) - 2, 1):], '.'), 'domain' FROM h
+), x AS (
+  SELECT *, CAST('0x' || substr(md5(pattern), 1, 7) AS BIGINT) AS x FROM named
+), listed AS (
+  SELECT * FROM x WHERE CASE WHEN category = 'host' THEN x % 3 < 2 ELSE x % 4 = 0 END
+), valid AS (
+  SELECT pattern, category, x % 300 AS since, x % 300 + 40 + x % 150 AS until FROM listed
+  UNION ALL SELECT pattern, category, x % 300 + 260 + x % 170, 1000000 FROM listed
+), asked AS (
+  SELECT host, string_split(host, '.') AS p, unnest(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1)) AS i FROM h
+), keys AS (SELECT host, array_to_string(p[i:], '.') AS pattern FROM asked),
+m AS (
+  SELECT capture_id, count(*) AS n, string_agg(pattern || ':' || category || ':' || since, ',' ORDER BY pattern || ':' || category || ':' || since) AS matches
+  FROM c JOIN keys USING (host) JOIN valid USING (pattern) WHERE since <= day AND day < until GROUP BY capture_id
+)
+SELECT capture_id, host, day, coalesce(n, 0) AS n_active, coalesce(matches, '') AS matches, coalesce(n, 0) > 0 AS blocked FROM c LEFT JOIN m USING (capture_id)
+"""
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), tokenizer_path(), size=1024, end=2)
 
@@ -93,8 +148,8 @@ FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN names USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_secret_scan, op4_quality_classifier, op7_best_fit_packing, op8_repeated_passages, op9_benchmark_decontamination, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_secret_scan, op3_sharding, op4_quality_classifier, op5_document_fingerprints, op6_url_filters, op7_best_fit_packing, op8_repeated_passages, op9_benchmark_decontamination, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_benchmark_decontamination": OP9_SQL}
+    return {"op6_url_filters": OP6_SQL, "op9_benchmark_decontamination": OP9_SQL}
