@@ -154,3 +154,16 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         return pa.record_batch([b.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
     return batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), run, "doc_id long, score double")
+
+
+def passed(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of docs, with all columns, that score least or more."""
+    session_of(docs)
+    shared, names, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns, docs.columns.index("text")
+    schema = ", ".join(f"`c{i}` {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        return b.filter(pa.array([shared.value.score(features(x or "")) >= least for x in b.column(at).to_pylist()], pa.bool_()))
+
+    found = batches(docs.toDF(*[f"c{i}" for i in range(len(names))]), run, schema)
+    return found.select(*[F.col(f"c{i}").alias(x) for i, x in enumerate(names)])

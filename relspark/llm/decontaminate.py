@@ -106,20 +106,22 @@ def counted(docs: DataFrame, vocab: dict[bytes, int]) -> np.ndarray:
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, carry: list[str] | None = None) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, text, n_words, at (sorted places of the words that are in an
     occurring window) and items (sorted distinct item_ids with occurring windows).
 
     Null texts have no words, and items without words match nothing. An item with a null item_id marks hits but is
     not among items; several rows of one item_id are one item. Repeated documents stay repeated. Other columns are
-    ignored; with an empty benchmark nothing is hit.
+    ignored but for those of carry, which come last as c0, c1 ...; with an empty benchmark nothing is hit.
     """
     spark = session_of(docs)
-    df = docs.select("doc_id", text_of().alias("text"))
+    more = [F.col(x).alias(f"c{i}") for i, x in enumerate(carry or [])]
+    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), *more)
+    types = "".join(f", c{i} {docs.schema[x].dataType.simpleString()}" for i, x in enumerate(carry or []))
     items = benchmark.select("item_id", text_of().alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // (2 * BLOCK_WORDS)))
-    out = df.select("doc_id", "text", F.lit(-1).cast("long").alias("n_words"), F.expr("cast(array() as array<int>)").alias("at"), F.expr("cast(array() as array<long>)").alias("items"))
+    out = df.select("doc_id", "text", F.lit(-1).cast("long").alias("n_words"), F.expr("cast(array() as array<int>)").alias("at"), F.expr("cast(array() as array<long>)").alias("items"), *df.columns[2:])
     for k in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).distinct().collect()
         split = [(r.item_id, words_of(r.text)) for r in rows]
@@ -138,7 +140,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Dat
                 if block.names[i] is not None:
                     names[d].add(block.names[i])
             n = pa.array([len(d) for d in docs], pa.int64())
-            return pa.record_batch([b.column(0), b.column(1), n, pa.array(at, pa.list_(pa.int32())), pa.array([sorted(x) for x in names], pa.list_(pa.int64()))], ["doc_id", "text", "n_words", "at", "items"])
+            return pa.record_batch([b.column(0), b.column(1), n, pa.array(at, pa.list_(pa.int32())), pa.array([sorted(x) for x in names], pa.list_(pa.int64())), *b.columns[5:]], b.schema.names)
 
-        out = batches(out, run, "doc_id long, text string, n_words long, at array<int>, items array<long>")
+        out = batches(out, run, "doc_id long, text string, n_words long, at array<int>, items array<long>" + types)
     return out

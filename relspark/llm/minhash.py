@@ -205,14 +205,8 @@ def blockwise(nodes: DataFrame, texts: DataFrame, width: int, percent: int, bloc
     return dealt.groupBy("cluster", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id (least doc_id reachable by links), kept.
-
-    Links join documents with 100 * |A and B| >= percent * |A or B| over distinct runs of width words. Null and
-    empty texts have no shingles and no links. Rows with a null doc_id link others but name no component; they are
-    kept only if no row of their component has a doc_id. Rows with one doc_id and several texts are separate
-    documents; repeated rows stay repeated. Other columns are ignored; an empty table gives no rows.
-    """
+def _decided(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, key, n_shingles, component_id, lead): lead tells the rows of the component's least (doc_id, key)."""
     session_of(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     rows = stored(sketched(docs, width), "sketches")
@@ -239,8 +233,45 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         links = stored(links.unionByName(blockwise(stored(rest, "rest"), texts, width, percent)), "links")
         comps = components(nodes, links)
     ids = classes.select("key", "doc_id").join(comps, "key", "left").select("key", "doc_id", F.coalesce("comp", "key").alias("comp"))
-    least = ids.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    labelled = ids.join(least, "comp").select("key", "component_id")
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), F.col("key").alias("lead_key"), F.col("doc_id").alias("component_id"))).alias("first")
+    labelled = ids.join(ids.groupBy("comp").agg(first), "comp").select("key", "first.lead_key", "first.component_id")
     out = rows.select("doc_id", "key", F.col("n").alias("n_shingles")).join(labelled, "key", "left")
-    label = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", label.alias("component_id"), F.col("doc_id").eqNullSafe(label).alias("kept"))
+    alone = F.col("key").isNull()
+    lead = alone | ((F.col("key") == F.col("lead_key")) & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "key", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), lead.alias("lead"))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, n_shingles, component_id (least doc_id reachable by links), kept.
+
+    Links join documents with 100 * |A and B| >= percent * |A or B| over distinct runs of width words. Null and
+    empty texts have no shingles and no links. Rows with a null doc_id link others but name no component; they are
+    kept only if no row of their component has a doc_id. Rows with one doc_id and several texts are separate
+    documents; repeated rows stay repeated. Other columns are ignored; an empty table gives no rows.
+    """
+    out = _decided(docs, width, percent)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def survivors(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all columns, of which one stays for each component: that of the least doc_id, then words.
+
+    Of repeated rows of it one stays. Texts without words have no copies and all stay.
+    """
+    found = stored(_decided(docs, width, percent), "decided")
+    gone = found.filter("not lead").select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("key").alias("_key")).distinct()
+    names, at = docs.columns, docs.columns.index("text")
+    schema = ", ".join(f"`c{i}` {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        words = [words_of(x or "") for x in b.column(at).to_pylist()]
+        keys = pa.array([xxhash.xxh3_128_digest(b" ".join(w)) if w else None for w in words], pa.binary())
+        return pa.record_batch([*b.columns, keys], [f"c{i}" for i in range(b.num_columns)] + ["_key"])
+
+    keyed = batches(docs.toDF(*[f"c{i}" for i in range(len(names))]), run, schema + ", _key binary").withColumn("_id", F.coalesce(F.col(f"c{names.index('doc_id')}").cast("long"), F.lit(-1)))
+    left = keyed.join(small_or_shuffled(gone), ["_id", "_key"], "left_anti")
+    again = found.filter("lead and key is not null").groupBy(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("key").alias("_key")).agg(F.count("*").alias("n")).filter("n > 1").select("_id", "_key")
+    if n := again.count():
+        again = small_or_shuffled(again, n)
+        left = left.join(again, ["_id", "_key"], "left_anti").unionByName(left.join(again, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"]))
+    return left.select(*[F.col(f"c{i}").alias(x) for i, x in enumerate(names)])

@@ -125,6 +125,20 @@ def scanned(docs: DataFrame, classes=CLASSES, allowed=ALLOWED) -> DataFrame:
     return df.select("doc_id", "text", "base", F.array_sort(F.concat("base", new)).alias("spans"))
 
 
+def all_spans(text: Column, classes=CLASSES, allowed=ALLOWED) -> Column:
+    """Base spans and those by entropy, by start."""
+    return F.array_sort(F.concat(base_spans(text), entropy_spans(text, classes, allowed)))
+
+
+def without_secrets(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
+    """docs, with all columns, and every span in text replaced by mark; n_chars follows, where there is one. Null texts stay null."""
+    found = docs.withColumn("_spans", all_spans(text_of()))
+    found = found.withColumn("text", F.when(F.col("text").isNotNull(), redacted(F.col("text"), F.col("_spans"), mark)))
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return found.select(docs.columns)
+
+
 def redacted(text: Column, spans: Column, mark: str = "[REDACTED]") -> Column:
     """The text with each run of overlapping spans replaced by mark. Spans are by start."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
