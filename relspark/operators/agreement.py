@@ -53,7 +53,7 @@ def exact_agreement(labels: DataFrame, raters: int) -> DataFrame:
 
 def confusion(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     """Per source of predicted (item, source, label) against truth (item, label): n, tp, tn, fp, fn, accuracy, kappa, precision, recall, f1."""
-    both = predicted.join(truth.select("item", F.col("label").alias("truth")), "item").filter("label is not null and truth is not null")
+    both = predicted.select("item", "source", "label").join(truth.select("item", F.col("label").alias("truth")), "item").filter("label is not null and truth is not null")
     p, t = F.col("label"), F.col("truth")
     out = both.groupBy("source").agg(F.count("*").alias("n"), F.count_if(p & t).alias("tp"), F.count_if(~p & ~t).alias("tn"), F.count_if(p & ~t).alias("fp"), F.count_if(~p & t).alias("fn"))
     return out.select("*", *confusion_metrics())
@@ -67,7 +67,7 @@ def confusion_metrics() -> list:
 
 def mean_kappa(predicted: DataFrame, humans: DataFrame) -> DataFrame:
     """Per source: mean Cohen's kappa against every human; null if one of them is."""
-    both = predicted.join(humans.select("item", "rater", F.col("label").alias("truth")), "item").filter("label is not null and truth is not null")
+    both = predicted.select("item", "source", "label").join(humans.select("item", "rater", F.col("label").alias("truth")), "item").filter("label is not null and truth is not null")
     p, t = F.col("label"), F.col("truth")
     per = both.groupBy("source", "rater").agg(F.count("*").alias("n"), F.count_if(p).alias("pa"), F.count_if(t).alias("pb"), F.count_if(p & t).alias("pab"))
     k = per.withColumn("kappa", M.cohen_kappa(*[F.col(x) for x in ("n", "pa", "pb", "pab")]))
@@ -102,7 +102,7 @@ def false_negatives(predicted: DataFrame, truth: DataFrame, reasons: Sequence[st
     """Per source of predicted (item, source, label, reason) against truth (item, label, reason): positives it missed, how
     many have a majority reason, and among those counts by that reason and by the source's own."""
     t = truth.select("item", F.col("label").alias("truth"), F.col("reason").alias("why"))
-    x = predicted.join(t, "item")
+    x = predicted.select("item", "source", "label", "reason").join(t, "item")
     miss = ~F.col("label") & F.col("truth")
     known = miss & F.col("why").isNotNull()
     out = x.groupBy("source").agg(

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import lexical_tokens
 
@@ -75,7 +76,7 @@ def dense(vectors: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
     more than `top` rows for a query, so the shuffle doesn't grow with the product of both sides. Zero vectors score 0.
     """
     spark, n = vectors.sparkSession, queries.count()
-    blocks, out = max(1, -(-n // QUERY_BLOCK)), None
+    blocks, out, kind = max(1, -(-n // QUERY_BLOCK)), None, to_arrow_type(queries.schema["id_query"].dataType)
     for k in range(blocks):
         block = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("id_query"), F.lit(blocks)) == k)
         rows = block.select("id_query", "vector").collect()
@@ -83,7 +84,7 @@ def dense(vectors: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
         norms = np.linalg.norm(matrix, axis=1, keepdims=True) if len(rows) else matrix
         shared = spark.sparkContext.broadcast((np.array(names), matrix / np.where(norms == 0, 1, norms) if len(rows) else matrix))
 
-        def run(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(it: Iterator[pa.RecordBatch], shared=shared, kind=kind) -> Iterator[pa.RecordBatch]:
             names, q = shared.value
             for b in it:
                 if not len(names) or not b.num_rows:
@@ -94,7 +95,7 @@ def dense(vectors: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
                 s = np.round(q @ (v / np.where(norm == 0, 1, norm)).T, DIGITS)
                 kth = -np.partition(-s, top - 1, axis=1)[:, top - 1 : top] if s.shape[1] > top else np.full((len(s), 1), -2.0)
                 i, j = np.nonzero(s >= kth)  # ties at the edge all pass; the ranking settles them
-                yield pa.record_batch([pa.array(names[i]), pa.array(ids[j]), pa.array(s[i, j])], ["id_query", "id", "score"])
+                yield pa.record_batch([pa.array(names[i]).cast(kind), pa.array(ids[j]).cast(b.schema.field(0).type), pa.array(s[i, j])], ["id_query", "id", "score"])
 
         found = vectors.select("id", "vector").mapInArrow(run, f"id_query {queries.schema['id_query'].dataType.simpleString()}, id {vectors.schema['id'].dataType.simpleString()}, score double")
         out = found if out is None else out.unionByName(found)
