@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from .decontaminate import contaminated
 from .minhash import near_duplicates
 from .packing import packed
 from .repeats import without_repeats
-from .secrets import count_of, joined, scanned
+from .secrets import CLASSES, count_of, joined, scanned
 from .sharding import sharded
 from .syncmers import fingerprinted, likeness, written
 from .url_filters import filtered, host_of
@@ -33,12 +34,56 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+OP1_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sh AS (
+  SELECT DISTINCT row, array_to_string(w[k:k + 3], ' ') AS s FROM (SELECT row, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS k FROM d WHERE len(w) > 0)
+), n AS (SELECT row, count(*) AS n FROM sh GROUP BY row),
+links AS (
+  SELECT x.a, x.b FROM (SELECT a.row AS a, b.row AS b, count(*) AS common FROM sh a JOIN sh b ON a.s = b.s AND a.row <> b.row GROUP BY ALL) x
+  JOIN n na ON na.row = x.a JOIN n nb ON nb.row = x.b WHERE 100 * common >= 80 * (na.n + nb.n - common)
+), reach(a, b) AS (SELECT row, row FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+comp AS (SELECT reach.a AS row, min(d.doc_id) AS component_id FROM reach JOIN d ON d.row = reach.b GROUP BY reach.a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d JOIN comp USING (row) LEFT JOIN n USING (row)
+"""
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scanned(table(spark, sf_dir, "documents"))
     counts = [count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
     return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def _op2_sql() -> str:
+    """Matches with their starts by list sums; entropy by counting the characters of every window."""
+    any_case = lambda w: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
+    words = "|".join(any_case(w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    kinds = [("assign", f"({words})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 2, 12), ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]{16,}", 0, 16)]
+    kinds += [(c.kind, c.pattern, 0, c.window) for c in CLASSES]
+    found = " UNION ALL ".join(f"SELECT row, doc_id, {n} AS kind_no, '{kind}' AS kind, {least} AS least, regexp_extract_all(t, '{p}') AS m, regexp_extract_all(t, '{p}', {g}) AS part, string_split_regex(t, '{p}') AS gaps FROM d" for n, (kind, p, g, least) in enumerate(kinds))
+    width = " ".join(f"WHEN kind_no = {3 + n} THEN {c.window}" for n, c in enumerate(CLASSES))
+    most = " ".join(f"WHEN kind_no = {3 + n} THEN {math.floor((math.log2(c.window) - c.bits) * c.window * 1e6)}" for n, c in enumerate(CLASSES))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({found}),
+u AS (SELECT row, kind_no, kind, least, m, part, gaps, unnest(range(1, len(m) + 1)) AS i FROM f),
+s AS (SELECT row, kind_no, kind, m[i] AS c, CAST(list_sum(list_transform(gaps[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: len(x))), 0) AS BIGINT) AS start FROM u WHERE len(part[i]) >= least),
+base AS (SELECT row, start, kind_no, start + len(c) AS stop, kind FROM s WHERE kind_no < 3),
+cand AS (SELECT *, CASE {width} END AS w FROM s WHERE kind_no >= 3 AND regexp_matches(c, '[0-9]') AND regexp_matches(c, '[A-Za-z]') AND NOT regexp_matches(c, '(?i)example|sample|placeholder|dummy|xxxx|0123456789|abcdefgh')
+  AND NOT regexp_full_match(c, '[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}') AND len(list_filter(range(1, len(c) - 6), lambda k: substr(c, k, 8) = repeat(substr(c, k, 1), 8))) = 0),
+win AS (SELECT row, kind_no, kind, start, c, w, unnest(range(0, len(c) - w + 1)) AS o FROM cand),
+ch AS (SELECT row, kind_no, kind, start, w, o, unnest(string_split(substr(c, o + 1, w), '')) AS x FROM win),
+cost AS (SELECT row, kind_no, kind, start, w, o, sum(round(n * log2(n) * 1e6)) AS cost FROM (SELECT row, kind_no, kind, start, w, o, x, count(*) AS n FROM ch GROUP BY ALL) GROUP BY ALL),
+hot AS (SELECT row, q.start + min(o) AS start, kind_no, q.start + max(o) + any_value(w) AS stop, kind FROM cost q WHERE q.cost <= CASE {most} END GROUP BY row, kind_no, kind, q.start),
+spans AS (SELECT * FROM base UNION ALL SELECT * FROM hot WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.row = hot.row AND b.start <= hot.start AND b.stop >= hot.stop))
+SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, kind_no, stop) FILTER (kind_no < 3), '')) AS base_sha256,
+  coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, kind_no, stop), '') AS spans
+FROM d LEFT JOIN spans USING (row) GROUP BY d.row, d.doc_id
+"""
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(table(spark, sf_dir, "documents"))
 
@@ -108,6 +153,18 @@ def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", (F.col("n_bytes") - kept).alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP8_SQL = """
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT row, i, md5(b[i + 1:i + 400]) AS h FROM (SELECT row, b, unnest(range(octet_length(b) - 399)) AS i FROM d WHERE octet_length(b) >= 400)),
+hit AS (SELECT row, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+cut AS (SELECT row, min(i) AS a, max(i) + 400 AS z FROM (SELECT row, i, sum(opens) OVER (PARTITION BY row ORDER BY i) AS run FROM (SELECT row, i, CASE WHEN i > lag(i) OVER (PARTITION BY row ORDER BY i) + 400 THEN 1 ELSE 0 END AS opens FROM hit)) GROUP BY row, run),
+part AS (SELECT row, coalesce(lag(z) OVER (PARTITION BY row ORDER BY a), 0) AS a, a AS z FROM cut UNION ALL SELECT row, max(z), NULL FROM cut GROUP BY row UNION ALL SELECT row, 0, NULL FROM d WHERE row NOT IN (SELECT row FROM cut)),
+kept AS (SELECT row, string_agg(CASE WHEN coalesce(z, octet_length(b)) > a THEN hex(b[a + 1:coalesce(z, octet_length(b))]) ELSE '' END, '' ORDER BY a) AS x FROM part JOIN d USING (row) GROUP BY row)
+SELECT d.doc_id, octet_length(b) AS n_bytes, octet_length(b) - len(x) // 2 AS n_removed, coalesce(c.n, 0) AS n_spans, sha256(unhex(x)) AS kept_sha256
+FROM d JOIN kept USING (row) LEFT JOIN (SELECT row, count(*) AS n FROM cut GROUP BY row) c USING (row)
+"""
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
@@ -152,4 +209,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filters": OP6_SQL, "op9_benchmark_decontamination": OP9_SQL}
+    return {"op1_minhash_near_dedup": OP1_SQL, "op2_secret_scan": _op2_sql(), "op6_url_filters": OP6_SQL, "op8_repeated_passages": OP8_SQL, "op9_benchmark_decontamination": OP9_SQL}
