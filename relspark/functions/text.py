@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import html
 import json
-from collections.abc import Sequence
+import unicodedata
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 #: White space as Unicode and Python see it; Java's own class lacks the four separators.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
@@ -69,10 +71,49 @@ def tokens(x: Column, stopwords: Sequence[str] = (), least: int = 2) -> Column:
     return F.filter(keep, lambda t: ~t.isin(*stopwords)) if stopwords else keep
 
 
+@F.pandas_udf(StringType())
+def without_accents(x: pd.Series) -> pd.Series:
+    """Text without combining marks, compatibility forms unfolded."""
+    return x.fillna("").map(lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))
+
+
+@dataclass(frozen=True)
+class Analyzer:
+    """What an index term goes through; a morphology is a function from a token list to a token list, run on Arrow batches.
+
+    Built-in expressions do everything but entities, accents and morphology, each of which is only planned if asked for.
+    """
+
+    stopwords: tuple[str, ...] = ()
+    entities: bool = True
+    markup: bool = True
+    accents: bool = True
+    numbers: bool = True
+    least: int = 2
+    morphology: Callable[[list[str]], list[str]] | None = None
+
+    def __call__(self, x: Column) -> Column:
+        x = clipped(x, LEXICAL_CHARS)
+        x = unescaped(x) if self.entities else x
+        x = squeezed(without_markup(x) if self.markup else x)
+        found = tokens(x if self.accents else without_accents(x), (), self.least)
+        found = found if self.numbers else F.filter(found, lambda t: ~t.rlike("^[0-9]+$"))
+        found = F.filter(found, lambda t: ~t.isin(*self.stopwords)) if self.stopwords else found
+        if self.morphology is None:
+            return found
+        change = self.morphology
+        lemmas = F.pandas_udf(lambda s: s.map(lambda ts: [t.lower() for t in change(list(ts))]), ArrayType(StringType()))
+        return lemmas(found)
+
+
+def read_stopwords(text: str) -> tuple[str, ...]:
+    """Words of a stopword file's text: one a line, # starts a comment."""
+    return tuple(dict.fromkeys(w.lower() for line in text.splitlines() if (w := line.partition("#")[0].strip())))
+
+
 def lexical_tokens(x: Column, stopwords: Sequence[str] = (), entities: bool = True) -> Column:
-    """clip, entities, tags, URLs, tokens: what an index term goes through."""
-    x = clipped(x, LEXICAL_CHARS)
-    return tokens(squeezed(without_markup(unescaped(x) if entities else x)), stopwords)
+    """Tokens by an Analyzer without morphology."""
+    return Analyzer(tuple(stopwords), entities)(x)
 
 
 def blank(x: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
 from ..functions.text import CELL_CHARS, CONTENT_CHARS, CONTENT_ROWS, MODEL_CHARS, composed_content, document_text, header_line, squeezed
+from .contracts import all_rows
 
 
 def first_of(df: DataFrame, key: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
@@ -136,3 +137,42 @@ def record_checks(records: DataFrame) -> DataFrame:
     """One row of counts: records and those that lack a text or a part."""
     lacks = [F.count_if(squeezed(F.col(c)) == "").alias(f"no_{c}") for c in ("title", "description", "header", "content")]
     return records.agg(F.count("*").alias("records"), F.countDistinct("id").alias("ids"), *lacks)
+
+
+def rebuilt_resources(resources: DataFrame) -> DataFrame:
+    """(meta_file, resources): JSON of each metadata record's resources (container, res_key, ord, raw) in their order, as the list or object it was."""
+    parts = F.sort_array(F.collect_list(F.struct("ord", "res_key", "raw")))
+    rows = resources.groupBy("meta_file").agg(F.max("container").alias("container"), parts.alias("parts"))
+    listed = F.array_join(F.transform("parts", lambda r: r["raw"]), ",")
+    quoted = lambda k: F.regexp_extract(F.to_json(F.array(k)), r"(?s)^\[(.*)\]$", 1)
+    mapped = F.array_join(F.transform("parts", lambda r: F.concat(quoted(r["res_key"]), F.lit(":"), r["raw"])), ",")
+    return rows.select("meta_file", F.when(F.col("container") == "list", F.concat(F.lit("["), listed, F.lit("]"))).otherwise(F.concat(F.lit("{"), mapped, F.lit("}"))).alias("resources"))
+
+
+def reduced_collection(resources: DataFrame, rows: DataFrame, excluded_metadata: DataFrame, excluded_resources: DataFrame, k: int = 20, seed: int = 0, scope: Sequence[str] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(resources that stay, their sampled rows, counters).
+
+    resources has meta_file, res_key, file_name, path; rows has file_name, row_no, cells. Metadata in excluded_metadata
+    (meta_file) go with all their resources, then resources with any name in excluded_resources (scope..., name), then
+    what is no table; a metadata record with none left is gone. Counters give rows before and after for each file.
+    """
+    left = resources.join(excluded_metadata.select("meta_file"), "meta_file", "left_anti")
+    left = without(left, excluded_resources, ["file_name", "path", "res_key"], scope)
+    left = left.filter(tabular(F.col("file_name"), F.col("path")))
+    own = rows.join(left.select("file_name").distinct(), "file_name", "left_semi")
+    kept = sampled_rows(own, "file_name", "row_no", k, seed)
+    counts = own.groupBy("file_name").agg(F.count("*").alias("source_rows")).withColumn("sampled_rows", F.least("source_rows", F.lit(k)))
+    return left, kept, counts
+
+
+def prepared_contract(records: DataFrame, resources: DataFrame, per_record: int = 1) -> None:
+    """Raises unless every record has a title, a description and exactly per_record resources."""
+    all_rows(records.select("meta_file", "title", "description"), (squeezed(F.col("title")) != "") & (squeezed(F.col("description")) != ""), "records without a title or description")
+    n = records.select("meta_file").join(resources.groupBy("meta_file").agg(F.count("*").alias("n")), "meta_file", "left")
+    all_rows(n, F.col("n") == per_record, f"records without exactly {per_record} resources")
+
+
+def first_with_path(resources: DataFrame) -> DataFrame:
+    """Per meta_file the first resource in order that has a path."""
+    names = [c for c in resources.columns if c != "meta_file"]
+    return resources.filter(F.coalesce("path", F.lit("")) != "").groupBy("meta_file").agg(F.min_by(F.struct(*names), "ord").alias("r")).select("meta_file", "r.*")

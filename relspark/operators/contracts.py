@@ -73,3 +73,27 @@ def checked_queries(df: DataFrame) -> DataFrame:
     all_rows(df, F.trim("ID").rlike("^0*[1-9][0-9]*$"), "ids must be positive integers")
     all_rows(df, F.trim("QUERY") != "", "queries must not be blank")
     return unique(df.select(F.trim("ID").cast("int").alias("id_query"), F.trim("QUERY").alias("query")), "id_query")
+
+
+def checked_hits(hits: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Hits with all text fields, an id that isn't blank and a finite score, each id once for a query."""
+    missing = set(fields) - set(hits.columns)
+    if missing:
+        raise ContractError(f"hits lack {sorted(missing)}")
+    score = F.col("score").cast("double")
+    fine = (F.trim("id") != "") & score.isNotNull() & ~F.isnan(score) & (F.abs(score) < float("inf"))
+    for f in fields:
+        fine = fine & F.col(f).isNotNull()
+    return unique(all_rows(hits, fine, "hits that break the contract"), "id_query", "id")
+
+
+def order_differences(a: DataFrame, b: DataFrame, group: str, item: str, order: str) -> DataFrame:
+    """Groups whose items differ between two tables or stand in another order."""
+    ids = lambda df, name: df.groupBy(group).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(item).alias("i")))), lambda x: x["i"]).alias(name))
+    both = ids(a, "a").join(ids(b, "b"), group, "full_outer")
+    return both.filter(~F.col("a").eqNullSafe(F.col("b"))).select(group, F.coalesce(F.size("a"), F.lit(0)).alias("n_a"), F.coalesce(F.size("b"), F.lit(0)).alias("n_b"))
+
+
+def used_at_least_once(votes: DataFrame, judges: DataFrame) -> None:
+    """Every configured judge (judge) has a vote."""
+    covered(judges, votes, ["judge"], "judges without any vote")

@@ -5,15 +5,19 @@ Scores are rounded to DIGITS before they are ranked, and ids break ties, so rank
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, DoubleType
 
-from ..functions.text import lexical_tokens
+from ..config import ContractError
+from ..functions.text import Analyzer, document_text, query_text
+from ..sources.writers import write_tables
 
 K1, B, DIGITS = 1.2, 0.75, 6
 TOP, K_MAX, DEPTH = 100, 10_000, 50
@@ -21,25 +25,34 @@ TOP, K_MAX, DEPTH = 100, 10_000, 50
 QUERY_BLOCK = 50_000
 
 
-def analysed(df: DataFrame, fields: Sequence[str], stopwords: Sequence[str] = (), entities: bool = False) -> DataFrame:
+PLAIN = Analyzer(entities=False)
+#: What precedes a query that is embedded.
+INSTRUCTION = "Retrieve semantically similar text"
+
+
+def analysed(df: DataFrame, fields: Sequence[str], analyzer: Analyzer = PLAIN) -> DataFrame:
     """(id, field, terms) of df (id and fields)."""
     rows = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields]))
-    return df.select("id", rows.alias("r")).select("id", "r.field", lexical_tokens(F.col("r.text"), stopwords, entities).alias("terms"))
+    return df.select("id", rows.alias("r")).select("id", "r.field", analyzer(F.col("r.text")).alias("terms"))
 
 
 def saturated(tf: Column, length: Column, mean: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, fields: Sequence[str] = ("title", "description"), stopwords: Sequence[str] = (), entities: bool = False) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, fields: Sequence[str] = ("title", "description"), analyzer: Analyzer = PLAIN) -> DataFrame:
     """(id_query, id, field, score) by Okapi BM25 for each field, both sides with saturated term weights.
 
     docs has id and fields, queries id_query and query. Only terms that some query has leave the scan of the
     documents: they are filtered before the first shuffle, by a broadcast vocabulary while it is small.
     """
-    d = analysed(docs, fields, stopwords, entities)
+    return scored_terms(analysed(docs, fields, analyzer), queries, analyzer)
+
+
+def scored_terms(d: DataFrame, queries: DataFrame, analyzer: Analyzer = PLAIN) -> DataFrame:
+    """bm25 over analysed documents (id, field, terms), from a plan or from a stored index."""
     sizes = d.groupBy("field").agg(F.count("*").alias("docs"), F.avg(F.size("terms").cast("double")).alias("mean"))  # a row for each field
-    q = queries.select("id_query", F.explode(lexical_tokens(F.col("query"), stopwords, entities)).alias("term"))
+    q = queries.select("id_query", F.explode(analyzer(F.col("query"))).alias("term"))
     qtf = q.groupBy("id_query", "term").agg(F.count("*").alias("qtf"))
     qlen = F.sum("qtf").over(Window.partitionBy("id_query"))
     qterms = qtf.withColumn("qlen", qlen)
@@ -128,3 +141,79 @@ def renamed_profiles(retrieval: Column, aliases: Mapping[str, str]) -> Column:
 def memberships(pool: DataFrame) -> DataFrame:
     """(id_query, id, profile, rank, score), a row for each profile of a pooled pair."""
     return pool.select("id_query", "id", F.explode("retrieval").alias("profile", "hit")).select("id_query", "id", "profile", "hit.rank", "hit.score")
+
+
+def pool_summary(members: DataFrame) -> DataFrame:
+    """One row for each profile: memberships, queries that it served, and the pairs of the whole pool."""
+    total = members.select("id_query", "id").distinct().agg(F.count("*").alias("pool_pairs"))
+    per = members.groupBy("profile").agg(F.count("*").alias("memberships"), F.countDistinct("id_query").alias("queries"))
+    return per.crossJoin(F.broadcast(total))  # one row
+
+
+def query_prompt(query: Column, instruction: str = INSTRUCTION) -> Column:
+    return F.concat(F.lit(f"Instruct: {instruction}\nQuery: "), query_text(query))
+
+
+class Retriever:
+    """Named retrieval profiles over dataset records (id and fields), each searched field by field and fused.
+
+    A lexical profile has an Analyzer, a dense one a function from texts to vectors, which Arrow batches are put
+    through. build() writes each profile's index as Parquet and open() reads it back; without an index the plan starts
+    at the records.
+    """
+
+    ALIASES = {"lexical": "bm25"}
+
+    def __init__(self, records: DataFrame, fields: Sequence[str] = ("title", "description")):
+        self.records, self.fields = records, list(fields)
+        self.lexical: dict[str, Analyzer] = {}
+        self.encoders: dict[str, Callable[[list[str]], list[list[float]]]] = {}
+        self.stored: dict[str, DataFrame] = {}
+
+    def add(self, name: str, how: Analyzer | Callable[[list[str]], list[list[float]]]) -> Retriever:
+        name = self.ALIASES.get(name, name)
+        if name in self.lexical or name in self.encoders:
+            raise ContractError(f"profile {name} is there already")
+        (self.lexical if isinstance(how, Analyzer) else self.encoders)[name] = how
+        return self
+
+    def _vectors(self, df: DataFrame, key: str, text: Column, encoder: Callable[[list[str]], list[list[float]]]) -> DataFrame:
+        embed = F.pandas_udf(lambda s: pd.Series(list(encoder(s.tolist()))), ArrayType(DoubleType()))
+        return df.withColumn("vector", embed(text)).select(key, *[c for c in ("field",) if c in df.columns], "vector")
+
+    def index(self, name: str) -> DataFrame:
+        """(id, field, terms) or (id, field, vector)."""
+        name = self.ALIASES.get(name, name)
+        if name in self.stored:
+            return self.stored[name]
+        if name in self.lexical:
+            return analysed(self.records, self.fields, self.lexical[name])
+        if name not in self.encoders:
+            raise ContractError(f"there is no profile {name}")
+        rows = self.records.select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in self.fields])).alias("r")).select("id", "r.field", document_text(F.col("r.text")).alias("text"))
+        return self._vectors(rows, "id", F.col("text"), self.encoders[name])
+
+    def build(self, path: str, overwrite: bool = False) -> None:
+        for name in [*self.lexical, *self.encoders]:
+            write_tables(self.index(name), f"{path}/{name}", overwrite)
+
+    def open(self, path: str) -> Retriever:
+        spark = self.records.sparkSession
+        self.stored = {name: spark.read.parquet(f"{path}/{name}") for name in [*self.lexical, *self.encoders]}
+        return self
+
+    def search(self, name: str, queries: DataFrame, top: int = TOP) -> DataFrame:
+        """(id_query, id, field scores, score, rank) of queries (id_query, query)."""
+        name = self.ALIASES.get(name, name)
+        index = self.index(name)
+        if name in self.lexical:
+            return ranked(fused(scored_terms(index, queries, self.lexical[name]), self.fields), top)
+        asked = self._vectors(queries.select("id_query", query_prompt(F.col("query")).alias("text")), "id_query", F.col("text"), self.encoders[name])
+        parts = [dense(index.filter(F.col("field") == f), asked, K_MAX).withColumn("field", F.lit(f)).drop("rank") for f in self.fields]
+        rows = parts[0]
+        for p in parts[1:]:
+            rows = rows.unionByName(p)
+        return ranked(fused(rows, self.fields), top)
+
+    def pool(self, names: Sequence[str], queries: DataFrame, depth: int = DEPTH) -> DataFrame:
+        return pooled({n: self.search(n, queries) for n in names}, depth)

@@ -85,3 +85,9 @@ def distribution(votes: DataFrame, column: str, values: Sequence[str], total: Co
     """Per judge: `name` (rows where total holds), then a count and a rate for each of values, zero ones included."""
     out = votes.groupBy("judge").agg(F.count_if(total).alias(name), *[F.count_if(total & (F.col(column) == v)).alias(f"{v}_count") for v in values])
     return out.select("*", *[F.try_divide(F.col(f"{v}_count").cast("double"), F.col(name)).alias(f"{v}_rate") for v in values])
+
+
+def with_display_names(rows: DataFrame, names: Mapping[str, str], column: str = "judge") -> DataFrame:
+    """rows with display_name: the name of the judge, or its id where there is none."""
+    known = F.create_map(*[F.lit(x) for kv in names.items() for x in kv]) if names else None
+    return rows.withColumn("display_name", F.coalesce(F.element_at(known, F.col(column)), F.col(column)) if names else F.col(column))

@@ -597,6 +597,61 @@ def dataset_records(spark, sf):
     return collection.dataset_records(d).select(F.col("id").cast("long").alias("id"), "title")
 
 
+@query("WITH " + POOL + " SELECT profile, count(*) AS memberships, count(DISTINCT id_query) AS queries, (SELECT count(*) FROM (SELECT DISTINCT id_query, id FROM top)) AS pool_pairs FROM top GROUP BY profile")
+def pool_summary(spark, sf):
+    return retrieval.pool_summary(retrieval.memberships(retrieval.pooled(profile_ranks(spark, sf), 10)))
+
+
+@query(with_base("SELECT judge, count(*) AS n, CASE judge WHEN 'judge_a' THEN 'Judge A' WHEN 'judge_b' THEN 'Judge B' ELSE judge END AS display_name FROM v GROUP BY judge"))
+def display_name_lookup(spark, sf):
+    n = votes_of(spark, sf).groupBy("judge").agg(F.count("*").alias("n"))
+    return votes.with_display_names(n, {"judge_a": "Judge A", "judge_b": "Judge B"})
+
+
+@query("SELECT source, count(*) AS n_a, count(*) - count(*) FILTER (doc_id % 300 = 7) AS n_b FROM documents WHERE source IN (SELECT source FROM documents WHERE doc_id % 300 = 7) GROUP BY source")
+def ordered_sequence_differences(spark, sf):
+    d = table(spark, sf, "documents").select("source", "doc_id")
+    out = contracts.order_differences(d, d.filter("doc_id % 300 != 7"), "source", "doc_id", "doc_id")
+    return out.select("source", F.col("n_a").cast("long").alias("n_a"), F.greatest("n_b", F.lit(0)).cast("long").alias("n_b"))
+
+
+@query("""WITH r AS (SELECT 'm' || (doc_id % 50) AS meta_file, 'f' || doc_id || CASE WHEN doc_id % 3 = 0 THEN '.csv' WHEN doc_id % 3 = 1 THEN '.TSV' ELSE '.pdf' END AS file_name, doc_id FROM documents)
+SELECT r.file_name, count(*) AS source_rows, least(count(*), 3) AS sampled_rows FROM r JOIN lineitem ON l_orderkey = doc_id
+WHERE doc_id % 50 <> 7 AND doc_id % 11 <> 4 AND doc_id % 3 < 2 GROUP BY r.file_name""")
+def collection_reduction(spark, sf):
+    i = F.col("doc_id")
+    ending = F.when(i % 3 == 0, ".csv").when(i % 3 == 1, ".TSV").otherwise(".pdf")
+    r = table(spark, sf, "documents").select(F.concat(F.lit("m"), i % 50).alias("meta_file"), F.concat(F.lit("f"), i, ending).alias("file_name"), F.concat(F.lit("p"), i).alias("path"), F.lit("k").alias("res_key"), "doc_id")
+    rows = r.join(table(spark, sf, "lineitem"), F.col("l_orderkey") == i).select("file_name", F.col("l_linenumber").alias("row_no"))
+    _, _, counts = collection.reduced_collection(r, rows, r.filter(i % 50 == 7).select("meta_file").distinct(), r.filter(i % 11 == 4).select(F.col("path").alias("name")), 3)
+    return counts.select("file_name", "source_rows", F.col("sampled_rows").cast("long").alias("sampled_rows"))
+
+
+@query("SELECT item_id, strip_accents(text) AS plain FROM benchmark")
+def accent_strip(spark, sf):
+    return table(spark, sf, "benchmark").select("item_id", T.without_accents(F.col("text")).alias("plain"))
+
+
+@query("SELECT 'm' || (doc_id % 40) AS meta_file, min(doc_id) AS first_doc FROM documents WHERE doc_id % 5 <> 0 GROUP BY 1")
+def first_resource_with_path(spark, sf):
+    i = F.col("doc_id")
+    r = table(spark, sf, "documents").select(F.concat(F.lit("m"), i % 40).alias("meta_file"), F.when(i % 5 != 0, "p").alias("path"), i.alias("ord"), "doc_id")
+    return collection.first_with_path(r).select("meta_file", F.col("doc_id").alias("first_doc"))
+
+
+@query("SELECT item_id, 'Instruct: Retrieve semantically similar text' || chr(10) || 'Query: ' AS head FROM benchmark")
+def query_prompts(spark, sf):
+    p = retrieval.query_prompt(F.col("text"))
+    return table(spark, sf, "benchmark").select("item_id", F.regexp_extract(p, r"(?s)^(.*?Query: )", 1).alias("head"))
+
+
+@query("WITH " + BM25 + " SELECT id_query, id, score, CAST(rank AS INTEGER) AS rank FROM lex WHERE rank <= 20")
+def profile_retrieval(spark, sf):
+    """The lexical profile by its old name, through the registry of profiles."""
+    r = retrieval.Retriever(datasets_of(spark, sf)).add("bm25", T.Analyzer(entities=False))
+    return r.search("lexical", queries_of(spark, sf), 20).select("id_query", "id", "score", "rank")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -197,6 +197,53 @@ def test_pool_order_and_provenance(spark):
         pool.select(retrieval.renamed_profiles(F.col("retrieval"), {"b": "a"})).collect()
 
 
+def test_retriever_profiles(spark, tmp_path):
+    docs = spark.createDataFrame([("1", "red fox", "jumps"), ("2", "blue", "fox"), ("3", "x", "y")], "id string, title string, description string")
+    q = spark.createDataFrame([(1, "red fox"), (2, "blue")], "id_query int, query string")
+    encode = lambda texts: [[float("fox" in t), float("blue" in t), 0.1] for t in texts]
+    r = retrieval.Retriever(docs).add("bm25", T.Analyzer(stopwords=("red",), morphology=lambda ts: [t.rstrip("s") for t in ts])).add("dense", encode)
+    before = {n: r.search(n, q).orderBy("id_query", "rank").collect() for n in ("lexical", "dense")}
+    assert [x.id for x in before["dense"] if x.id_query == 2][0] == "2" and {x.id for x in before["lexical"] if x.id_query == 1} == {"1", "2"}
+    r.build(f"file://{tmp_path}/index")
+    assert {n: r.open(f"file://{tmp_path}/index").search(n, q).orderBy("id_query", "rank").collect() for n in ("lexical", "dense")} == before
+    pool = r.pool(["bm25", "dense"], q, 2)
+    assert {x.profile: x.pool_pairs for x in retrieval.pool_summary(retrieval.memberships(pool)).collect()} == {"bm25": pool.count(), "dense": pool.count()}
+    with pytest.raises(ContractError):
+        r.add("lexical", T.Analyzer())
+    with pytest.raises(ContractError):
+        r.search("none", q)
+
+
+def test_analyzer(spark):
+    a = T.Analyzer(accents=False, numbers=False, stopwords=T.read_stopwords("The # article\n\n# none\nof"), least=2)
+    assert column(spark, ["The &eacute;t&eacute; OF 2020 <b>x1</b> y"], a) == [["ete", "x1"]]
+
+
+def test_collection_reduction(spark):
+    res = spark.createDataFrame([("m1", "list", "0", 0, '{"a":1}', "a.csv", "p1"), ("m1", "list", "1", 1, '{"b":2}', "b.pdf", "p2"), ("m2", "dict", 'k"1', 0, "{}", "c.tsv", ""), ("m3", "dict", "z", 0, "{}", "d.csv", "p4")], "meta_file string, container string, res_key string, ord int, raw string, file_name string, path string")
+    rows = spark.createDataFrame([(f, i) for f in ("a.csv", "b.pdf", "c.tsv", "d.csv") for i in range(30)], "file_name string, row_no int")
+    left, kept, counts = collection.reduced_collection(res, rows, spark.createDataFrame([("m3",)], "meta_file string"), spark.createDataFrame([("nothing",)], "name string"), 4)
+    assert {r.file_name for r in left.collect()} == {"a.csv", "c.tsv"} and kept.count() == 8
+    assert {(r.file_name, r.source_rows, r.sampled_rows) for r in counts.collect()} == {("a.csv", 30, 4), ("c.tsv", 30, 4)}
+    built = {r.meta_file: json.loads(r.resources) for r in collection.rebuilt_resources(res).collect()}
+    assert built == {"m1": [{"a": 1}, {"b": 2}], "m2": {'k"1': {}}, "m3": {"z": {}}}
+    assert {r.meta_file: r.path for r in collection.first_with_path(res).collect()} == {"m1": "p1", "m3": "p4"}
+    records = spark.createDataFrame([("m3", "t", "d")], "meta_file string, title string, description string")
+    collection.prepared_contract(records, res)
+    with pytest.raises(ContractError):
+        collection.prepared_contract(records.withColumn("meta_file", F.lit("m1")), res)
+
+
+def test_hit_contract(spark):
+    hits = spark.createDataFrame([(1, "a", "t", 1.0)], "id_query int, id string, title string, score double")
+    contracts.checked_hits(hits, ["title"])
+    for bad in (hits.withColumn("score", F.lit(float("nan"))), hits.withColumn("id", F.lit(" ")), hits.union(hits), hits.withColumn("title", F.lit(None))):
+        with pytest.raises(ContractError):
+            contracts.checked_hits(bad, ["title"])
+    with pytest.raises(ContractError):
+        contracts.used_at_least_once(spark.createDataFrame([("a",)], "judge string"), spark.createDataFrame([("a",), ("b",)], "judge string"))
+
+
 def test_contracts_raise(spark):
     df = spark.createDataFrame([(1, 1), (1, 3)], "g int, rank int")
     assert contracts.contiguous_ranks(df, ["g"]).first().ok is False and contracts.contiguous_ranks(df, ["g"], strict=False).first().ok is True
