@@ -300,7 +300,7 @@ def datasets_of(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries_of(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("id_query"), F.substring_index("text", " ", 6).alias("query"))
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("id_query"), F.col("text").alias("query"))
 
 
 RAW_TOKENS = "list_filter(regexp_extract_all(lower(trim(regexp_replace(regexp_replace(regexp_replace({x}[:20000], '<[^>]+>', ' ', 'g'), 'https?://\\S+|www\\.\\S+', ' ', 'gi'), '\\s+', ' ', 'g'))), '[a-zA-ZÀ-ÿ0-9_]+'), lambda t: len(t) >= 2)"
@@ -308,7 +308,7 @@ BM25 = f"""
 ds AS (SELECT doc_id AS id, string_split(text, chr(10))[1] AS title, text AS description FROM documents),
 terms AS (SELECT id, 'title' AS field, {RAW_TOKENS.format(x="title")} AS w FROM ds UNION ALL SELECT id, 'description', {RAW_TOKENS.format(x="description")} FROM ds),
 sizes AS (SELECT field, count(*) AS docs, avg(len(w)) AS mean FROM terms GROUP BY field),
-q0 AS (SELECT item_id AS id_query, array_to_string(string_split(text, ' ')[:6], ' ') AS query FROM benchmark),
+q0 AS (SELECT item_id AS id_query, text AS query FROM benchmark),
 q1 AS (SELECT id_query, unnest({RAW_TOKENS.format(x="query")}) AS term FROM q0),
 qtf AS (SELECT *, sum(qtf) OVER (PARTITION BY id_query) AS qlen FROM (SELECT id_query, term, count(*) AS qtf FROM q1 GROUP BY ALL)),
 post AS (SELECT field, id, len, term, count(*) AS tf FROM (SELECT field, id, len(w) AS len, unnest(w) AS term FROM terms) WHERE term IN (SELECT term FROM q1) GROUP BY ALL),
