@@ -8,12 +8,14 @@ one that leaves, and the sum of c * log2(c), held as whole numbers so that nothi
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_of
+from .syncmers import let
 
 #: Kinds with their pattern, the group that must be long, and its least length.
 BASE = (
@@ -41,6 +43,8 @@ DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKL
 CLASSES = (CharacterClass("entropy_hex", DIGITS + LOWER[:6] + UPPER[:6], 20, 3.05), CharacterClass("entropy_base64", DIGITS + LOWER + UPPER + "+/_-", 24, 3.95))
 #: A candidate that matches one of these is no secret by entropy: words without digits, placeholders, UUIDs, long runs of one character.
 ALLOWED = (r"^[^0-9]*$", r"^[^A-Za-z]*$", r"(?i)example|sample|placeholder|dummy|xxxx|0123456789|abcdefgh", r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$", r"(.)\1{7}")
+#: Matches that are appended to one small array before it joins the others.
+BLOCK = 128
 SPAN = "array<struct<start:int,kind_no:int,end:int,kind:string>>"
 
 
@@ -60,15 +64,30 @@ def _matches(text: Column, pattern: str, group: int) -> Column:
     return F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), part.alias("part"))
 
 
-def _walk(text: Column, pattern: str, group: int, spans) -> Column:
-    """The spans that spans(match, start) gives for each match, positions in code points."""
-    start = F.struct(F.lit(0).alias("at"), _none().alias("found"))
+def _walk(text: Column, pattern: str, group: int, spans: Callable[[Column, Column], Column]) -> Column:
+    """The spans that spans(match, start) gives for each match, positions in code points.
 
-    def step(s: Column, x: Column) -> Column:
-        at = s["at"] + F.length(x["gap"])
-        return F.struct((at + F.length(x["whole"])).alias("at"), F.concat(s["found"], spans(x, at)).alias("found"))
+    Matches are taken in blocks, so that appending to the result stays cheap in a text with very many.
+    """
+
+    def block(items: Column, n: Column, at: Column) -> Column:
+        start = F.struct(at.alias("at"), _none().alias("found"))
+
+        def step(s: Column, x: Column) -> Column:
+            at = s["at"] + F.length(x["gap"])
+            return F.struct((at + F.length(x["whole"])).alias("at"), F.concat(s["found"], spans(x, at)).alias("found"))
+
+        return F.aggregate(F.slice(items, n * BLOCK + 1, F.lit(BLOCK)), start, step)
+
+    def every(items: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("found"))
+
+        def step(s: Column, n: Column) -> Column:
+            return let(block(items, n, s["at"]), lambda b: F.struct(b["at"].alias("at"), F.when(F.size(b["found"]) > 0, F.concat(s["found"], F.array(b["found"]))).otherwise(s["found"]).alias("found")))
+
+        return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), start, step, lambda s: F.flatten(s["found"]))
 
-    return F.when(text.rlike(pattern), F.aggregate(_matches(text, pattern, group), start, step, lambda s: s["found"])).otherwise(_none())
+    return F.when(text.rlike(pattern), let(_matches(text, pattern, group), every)).otherwise(_none())
 
 
 def base_spans(text: Column) -> Column:
@@ -132,10 +151,10 @@ def all_spans(text: Column, classes=CLASSES, allowed=ALLOWED) -> Column:
 
 def without_secrets(docs: DataFrame, mark: str = "[REDACTED]") -> DataFrame:
     """docs, with all columns, and every span in text replaced by mark; n_chars follows, where there is one. Null texts stay null."""
-    found = docs.withColumn("_spans", all_spans(text_of()))
-    found = found.withColumn("text", F.when(F.col("text").isNotNull(), redacted(F.col("text"), F.col("_spans"), mark)))
+    found = docs.withColumn("_secret_spans_", all_spans(text_of()))
+    found = found.withColumn("text", F.when(F.col("text").isNotNull(), redacted(F.col("text"), F.col("_secret_spans_"), mark)))
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        found = found.withColumn("n_chars", F.when(F.size("_secret_spans_") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return found.select(docs.columns)
 
 

@@ -111,6 +111,7 @@ SECRETS = [
     "key q7RtZ2xWv9Lk3PsYb8Nd4McJ6hGf1TaE and ordinaryordinaryordinarywords",
     "id 123e4567-e89b-12d3-a456-426614174000 " + "A" * 60 + "1",
     "token=" * 300 + "abcdefghijklmnop",
+    " ".join(f"secret: {'x' * (k % 30)} é AKIA{'A' * (k % 20)} {'%x' % k**5}" for k in range(9_000)),
 ]
 
 
