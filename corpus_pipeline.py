@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relspark.llm import classifier
-from relspark.llm.common import stored
+from relspark.llm.common import release, stored
 from relspark.llm.decontaminate import contaminated
 from relspark.llm.minhash import survivors
 from relspark.llm.packing import packed
@@ -62,5 +62,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(before)
     return docs

@@ -40,7 +40,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
 
 
 def delete(spark: SparkSession, *paths: str) -> None:
@@ -50,6 +52,13 @@ def delete(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(*tables: DataFrame) -> None:
+    """Deletes what stored() wrote for these tables; nothing may read them any more."""
+    for df in tables:
+        if path := getattr(df, "_stored_at", None):
+            delete(df.sparkSession, path)
+
+
 def small_or_shuffled(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A hint to broadcast df if its counted rows are within limit; else a sort-merge join, which AQE can split."""
     return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df.hint("merge")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, session_of, small_or_shuffled, stored, text_of
+from .common import batches, release, session_of, small_or_shuffled, stored, text_of
 
 #: 32 bands of 4 coordinates: a pair with a similarity of 0.8 shares none with a probability of (1 - 0.8^4)^32 < 5e-8.
 BANDS, ROWS = 32, 4
@@ -129,27 +129,29 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(key, comp): for each node, the least key that it is linked with. nodes (key), edges (a, b).
+    """(key, comp) as a stored table: for each node, the least key that it is linked with. nodes (key), edges (a, b).
 
     Each round takes the least label among the neighbours' and then jumps to that label's own; a hot node's
     neighbours are reduced by partial aggregates. Rounds are a logarithm of the longest path for usual graphs.
     """
-    spark, both = nodes.sparkSession, stored(edges.union(edges.select("b", "a")).toDF("key", "other").distinct(), "edges")
-    labels = both.groupBy("key").agg(F.least(F.col("key"), F.min("other")).alias("comp"))
+    both = stored(edges.union(edges.select("b", "a")).toDF("key", "other").distinct(), "edges")
+    labels = stored(both.groupBy("key").agg(F.least(F.col("key"), F.min("other")).alias("comp")), "labels")
     while True:
-        labels = stored(labels, "labels")
         seen = both.join(labels.select(F.col("key").alias("other"), "comp"), "other").groupBy("key").agg(F.min("comp").alias("near"))
         nearer = labels.join(seen, "key").select("key", F.col("comp").alias("was"), F.least("comp", "near").alias("near"))
         jump = labels.select(F.col("key").alias("near"), F.col("comp").alias("far"))
-        moved = stored(nearer.join(jump, "near").select("key", "was", F.least("near", "far").alias("comp")), "moved")
+        moved = stored(nearer.join(jump, "near").select("key", "was", F.least("near", "far").alias("comp")), "labels")
+        release(labels)
+        labels = moved
         if moved.filter(F.col("was") != F.col("comp")).isEmpty():
             break
-        labels = moved.select("key", "comp")
-    return nodes.join(moved.select("key", "comp"), "key", "left").select("key", F.coalesce("comp", "key").alias("comp"))
+    out = stored(nodes.join(moved.select("key", "comp"), "key", "left").select("key", F.coalesce("comp", "key").alias("comp")), "components")
+    release(both, moved)
+    return out
 
 
 def able(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(band, key, n, comp, c) of the rows (band, key, n, comp) that can still have a link outside their component.
+    """(band, key, n, comp, c), stored, of the rows (band, key, n, comp) that can still have a link outside their component.
 
     c counts the shingles that a row of another component has too. A link needs at least percent of n of them, so a
     near copy whose own edits exceed the rest is settled here, without pairs.
@@ -166,7 +168,9 @@ def able(members: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     grams = stored(batches(nodes, run, "key binary, comp binary, shingle long"), "grams")
     shared = grams.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high")
     common = grams.join(shared.select("shingle"), "shingle", "left_semi").groupBy("key").agg(F.count("*").alias("c"))
-    return members.join(common, "key").filter(F.col("c") * 100 >= F.col("n") * percent)
+    out = stored(members.join(common, "key").filter(F.col("c") * 100 >= F.col("n") * percent), "able")
+    release(grams)
+    return out
 
 
 def blockwise(nodes: DataFrame, texts: DataFrame, width: int, percent: int, block: int = 256) -> DataFrame:
@@ -221,17 +225,19 @@ def _decided(docs: DataFrame, width: int, percent: int) -> DataFrame:
     links = stored(verified(pairs, texts, width, percent), "links")
     comps = components(nodes, links)
     # The buckets that still hold several components: first with the member that shares most, then in blocks.
-    wide = members.filter("m > 2").select("band", "key", "n")
-    alive = stored(able(stored(wide.join(comps, "key"), "wide"), texts, width, percent), "alive")
+    wide = stored(members.filter("m > 2").select("band", "key", "n").join(comps, "key"), "wide")
+    alive = able(wide, texts, width, percent)
     if not alive.isEmpty():
         best = alive.groupBy("band").agg(F.max(F.struct(F.col("c") / F.col("n"), F.col("key"), F.col("comp"))).alias("lead"))
         more = alive.join(best, "band").filter(F.col("comp") != F.col("lead.comp")).select(F.least("key", "lead.key").alias("a"), F.greatest("key", "lead.key").alias("b"))
-        links = stored(links.unionByName(verified(more.distinct().join(pairs, ["a", "b"], "left_anti"), texts, width, percent)), "links")
-        comps = components(nodes, links)
-        clusters = components(nodes, pairs).withColumnRenamed("comp", "cluster")
-        rest = alive.select("key").distinct().join(comps, "key").join(clusters, "key")
-        links = stored(links.unionByName(blockwise(stored(rest, "rest"), texts, width, percent)), "links")
+        nearer = stored(links.unionByName(verified(more.distinct().join(pairs, ["a", "b"], "left_anti"), texts, width, percent)), "links")
+        release(links, comps)
+        comps, clusters = components(nodes, nearer), components(nodes, pairs)
+        rest = stored(alive.select("key").distinct().join(comps, "key").join(clusters.withColumnRenamed("comp", "cluster"), "key"), "rest")
+        links = stored(nearer.unionByName(blockwise(rest, texts, width, percent)), "links")
+        release(comps, nearer, rest, clusters)
         comps = components(nodes, links)
+    release(alive, wide, links, texts, wanted, pairs, members)
     ids = classes.select("key", "doc_id").join(comps, "key", "left").select("key", "doc_id", F.coalesce("comp", "key").alias("comp"))
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), F.col("key").alias("lead_key"), F.col("doc_id").alias("component_id"))).alias("first")
     labelled = ids.join(ids.groupBy("comp").agg(first), "comp").select("key", "first.lead_key", "first.component_id")
