@@ -20,6 +20,8 @@ from .common import text_of
 
 #: Words in a run, words in an inner run, hashes in a fingerprint.
 K, S, SKETCH = 4, 2, 128
+#: Words under which a text is also taken by characters, and characters in a run.
+SHORT, GRAM = 48, 6
 #: Rows in a bucket of consecutive documents on average, and most buckets.
 BUCKET_ROWS, MOST_BUCKETS = 2_000, 16_384
 
@@ -55,15 +57,32 @@ def anchors(text: Column) -> Column:
     return _chosen(words_of(text), lambda h, i: F.struct(h.alias("hash"), i.alias("place")))
 
 
+def _grams(text: Column) -> Column:
+    """Overlapping runs of GRAM characters."""
+
+    def runs(c: Column) -> Column:
+        first = F.slice(c, F.lit(1), F.greatest(F.size(c) - (GRAM - 1), F.lit(0)))
+        return F.transform(first, lambda x, i: F.concat(x, *[F.get(c, i + k) for k in range(1, GRAM)]))
+
+    return let(F.split(text, "", -1), runs)
+
+
 def sketch(text: Column) -> Column:
-    """The least SKETCH 32-bit hashes, ascending. A text of fewer than K words is one run; without words there is none."""
+    """The least SKETCH 32-bit hashes, ascending; without words there is none.
+
+    A text of fewer than SHORT words also gives the syncmers of its runs of GRAM characters, so that a line, or a text
+    without blanks, has anchors; one too short for any is a single run.
+    """
+    none = F.array().cast("array<bigint>")
 
-    def least(words: Column) -> Column:
-        few = F.when(F.size(words) > 0, F.array(F.xxhash64(F.array_join(words, " ")))).otherwise(F.array().cast("array<bigint>"))
-        every = F.when(F.size(words) >= K, _chosen(words, lambda h, i: h)).otherwise(few)
-        return F.slice(F.sort_array(F.array_distinct(F.transform(every, lambda x: F.shiftright(x, 32).cast("int")))), 1, SKETCH)
+    def every(words: Column) -> Column:
+        long = F.when(F.size(words) >= K, _chosen(words, lambda h, i: h)).otherwise(none)
+        short = F.when(F.size(words) >= SHORT, long).otherwise(F.concat(long, _chosen(_grams(text), lambda h, i: h)))
+        whole = F.array(F.xxhash64(F.array_join(words, " ")))
+        return F.when(F.size(words) == 0, none).otherwise(let(short, lambda x: F.when(F.size(x) > 0, x).otherwise(whole)))
 
-    return let(words_of(text), least)
+    least = lambda x: F.slice(F.sort_array(F.array_distinct(F.transform(x, lambda h: F.shiftright(h, 32).cast("int")))), 1, SKETCH)
+    return let(let(words_of(text), every), least)
 
 
 def written(fingerprint: Column) -> Column:
