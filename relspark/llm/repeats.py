@@ -9,8 +9,9 @@ equal ones side by side, as the suffix arrays of dictionary and parse would; onl
 of hashes, not of bytes. Rows with equal context settle all their windows at once. Where a key meets several contexts
 (at the ends of a repeated passage), one row of each context gives its windows' own hashes, and those are compared.
 
-Scale: about one row of 32 bytes for 40 bytes of text is shuffled, sorted and read once as a stream, so a key of any
-frequency needs no memory. Repeated text of any number of copies costs no more than other text; no pair is made.
+Scale: equal rows of a task are merged before the shuffle, so a passage or line of any frequency sends a row from each
+task, not from each copy. About one row of 32 bytes for 40 bytes of text is shuffled, sorted and read once as a stream,
+so a key of any frequency needs no memory, and no pair is made.
 """
 
 from __future__ import annotations
@@ -98,32 +99,72 @@ def _named(docs: DataFrame) -> DataFrame:
     return batches(docs, run, "doc_id long, row long, text binary")
 
 
+#: Where the windows of a row stand.
+PLACE = np.dtype([("row", "<i8"), ("first", "<i4"), ("n", "<i4")])
+#: Rows that a task holds before it merges those with equal key and context.
+HELD = 400_000
+
+
+def _binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """Consecutive values as binary cells of so many each."""
+    offsets = np.concatenate(([0], np.cumsum(counts * values.itemsize))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def _merged_rows(named: DataFrame, length: int) -> DataFrame:
+    """(key, context, places): the rows of all texts, equal ones of a task as one with all their places."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def merge() -> pa.RecordBatch:
+            key, context, place = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.lexsort((context, key))
+            key, context = key[order], context[order]
+            first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (context[1:] != context[:-1])))
+            held.clear()
+            return pa.record_batch([pa.array(key[first]), pa.array(context[first]), _binary(place[order], np.diff(first, append=len(key)))], ["key", "context", "places"])
+
+        for b in it:
+            for row, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                key, context, first, n = window_rows(text, length)
+                if len(key):
+                    place = np.empty(len(key), PLACE)
+                    place["row"], place["first"], place["n"] = row, first, n
+                    held.append((key, context, place))
+            if sum(len(h[0]) for h in held) >= HELD:
+                yield merge()
+        if held:
+            yield merge()
+
+    return named.mapInArrow(run, "key long, context long, places binary")
+
+
 def _settled(rows: DataFrame) -> DataFrame:
-    """(row, first, n, open) from rows (key, context, row, first, n): those whose windows all stand elsewhere (open false),
-    and one row for each context of a key that has several (open true)."""
+    """(row, first, n, open): places whose windows all stand elsewhere too (open false), and one place for each context
+    of a key that has several (open true)."""
     dealt = rows.repartition("key").sortWithinPartitions("key", "context")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] | None = None
+        kept: list[tuple[int, int, bytes]] = []
         for b in it:
-            cols = [c.to_numpy() for c in b.columns]
-            if kept is not None:  # what the last group needs: the row that opened the one before, its own first and last row
-                cols = [np.concatenate((k, c)) for k, c in zip(kept, cols, strict=True)]
-            key, context = cols[0], cols[1]
-            same = np.zeros(len(key) + 1, bool)
-            same[1:-1] = (key[1:] == key[:-1]) & (context[1:] == context[:-1])
-            alike = np.zeros(len(key) + 1, bool)
+            key = np.concatenate((np.array([k[0] for k in kept], np.int64), b.column(0).to_numpy()))
+            context = np.concatenate((np.array([k[1] for k in kept], np.int64), b.column(1).to_numpy()))
+            places = [k[2] for k in kept] + b.column(2).to_pylist()
+            counts = np.array([len(p) // PLACE.itemsize for p in places])
+            place = np.frombuffer(b"".join(places), PLACE)
+            same, alike = np.zeros(len(key) + 1, bool), np.zeros(len(key) + 1, bool)
             alike[1:-1] = key[1:] == key[:-1]
+            same[1:-1] = alike[1:-1] & (context[1:] == context[:-1])
             first = np.flatnonzero(~same[:-1])
-            after = np.append(first[1:], len(key))
-            several = alike[first] | alike[after]
-            full, opened = np.flatnonzero(same[:-1] | same[1:]), first[several]
-            both, n = np.concatenate((full, opened)), len(full)
+            several = alike[first] | alike[np.append(first[1:], len(key))]
+            full = place[np.repeat(same[:-1] | same[1:] | (counts > 1), counts)]
+            both = np.concatenate((full, place[(np.cumsum(counts) - counts)[first[several]]]))
             if len(both):
-                flag = np.arange(len(both)) >= n
-                yield pa.record_batch([pa.array(cols[2][both]), pa.array(cols[3][both]), pa.array(cols[4][both]), pa.array(flag)], ["row", "first", "n", "open"])
+                yield pa.record_batch([pa.array(both[c].copy()) for c in ("row", "first", "n")] + [pa.array(np.arange(len(both)) >= len(full))], ["row", "first", "n", "open"])
+            # what the next batch may meet: the last row, the first of its context, and the first of the context before
             keep = {len(key) - 1, int(first[-1])} | ({int(first[-2])} if len(first) > 1 and alike[first[-1]] else set())
-            kept = [c[sorted(keep)] for c in cols]
+            kept = [(int(key[i]), int(context[i]), places[i][: PLACE.itemsize * (2 if counts[i] > 1 else 1)]) for i in sorted(keep)]
 
     return dealt.mapInArrow(run, "row long, first int, n int, open boolean")
 
@@ -147,14 +188,7 @@ def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     session_of(docs)
     named = _named(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")))
 
-    def emit(b: pa.RecordBatch) -> pa.RecordBatch:
-        found = [window_rows(t, length) for t in b.column(2).to_pylist()]
-        cols = [np.concatenate(c) for c in zip(*found, strict=True)]
-        rows = np.repeat(b.column(1).to_numpy(), [len(x[0]) for x in found])
-        return pa.record_batch([pa.array(cols[0]), pa.array(cols[1]), pa.array(rows), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], ["key", "context", "row", "first", "n"])
-
-    rows = batches(named, emit, "key long, context long, row long, first int, n int")
-    settled = stored(_settled(rows), "settled")
+    settled = stored(_settled(_merged_rows(named, length)), "settled")
     pairs = F.collect_list(F.when(~F.col("open"), F.struct("first", "n"))), F.collect_list(F.when(F.col("open"), F.struct("first", "n")))
     lists = settled.groupBy("row").agg(pairs[0].alias("full"), pairs[1].alias("open"))
     joined = stored(named.join(lists, "row", "left"), "joined")
