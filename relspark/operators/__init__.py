@@ -1 +1 @@
-
+"""Operators on DataFrames, by stage of a benchmark."""
