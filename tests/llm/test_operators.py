@@ -1,6 +1,5 @@
 """The ten operators against plain Python on small tables with nulls, empties, ties, repeats and clashing names."""
 
-import hashlib
 import itertools
 import random
 import re
