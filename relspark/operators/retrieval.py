@@ -5,6 +5,7 @@ Scores are rounded to DIGITS before they are ranked, and ids break ties, so rank
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
@@ -23,6 +24,8 @@ K1, B, DIGITS = 1.2, 0.75, 6
 TOP, K_MAX, DEPTH = 100, 10_000, 50
 #: Queries that a block may hold: as many times their vectors or terms are broadcast.
 QUERY_BLOCK = 50_000
+#: Queries of a lexical block; their terms times themselves is the size of its weights.
+LEXICAL_BLOCK = 500
 
 
 PLAIN = Analyzer(entities=False)
@@ -36,37 +39,72 @@ def analysed(df: DataFrame, fields: Sequence[str], analyzer: Analyzer = PLAIN) -
     return df.select("id", rows.alias("r")).select("id", "r.field", analyzer(F.col("r.text")).alias("terms"))
 
 
-def saturated(tf: Column, length: Column, mean: Column) -> Column:
+def saturated(tf, length, mean):
+    """The weight of a term that occurs tf times, for numbers and arrays."""
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, fields: Sequence[str] = ("title", "description"), analyzer: Analyzer = PLAIN) -> DataFrame:
     """(id_query, id, field, score) by Okapi BM25 for each field, both sides with saturated term weights.
 
-    docs has id and fields, queries id_query and query. Only terms that some query has leave the scan of the
-    documents: they are filtered before the first shuffle, by a broadcast vocabulary while it is small.
+    docs has id and fields, queries id_query and query.
     """
     return scored_terms(analysed(docs, fields, analyzer), queries, analyzer)
 
 
 def scored_terms(d: DataFrame, queries: DataFrame, analyzer: Analyzer = PLAIN) -> DataFrame:
-    """bm25 over analysed documents (id, field, terms), from a plan or from a stored index."""
-    sizes = d.groupBy("field").agg(F.count("*").alias("docs"), F.avg(F.size("terms").cast("double")).alias("mean"))  # a row for each field
-    q = queries.select("id_query", F.explode(analyzer(F.col("query"))).alias("term"))
-    qtf = q.groupBy("id_query", "term").agg(F.count("*").alias("qtf"))
-    qlen = F.sum("qtf").over(Window.partitionBy("id_query"))
-    qterms = qtf.withColumn("qlen", qlen)
-    vocabulary = qtf.select("term").distinct()
-    small = vocabulary.count() <= 1_000_000
-    occurrences = d.select("id", "field", F.size("terms").alias("len"), F.explode("terms").alias("term"))
-    postings = occurrences.join(F.broadcast(vocabulary) if small else vocabulary, "term", "left_semi").groupBy("field", "term", "id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-    df = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
-    n, m = F.col("docs"), F.col("df")
-    idf = F.log1p((n - m + 0.5) / (m + 0.5))
-    terms = df.join(F.broadcast(sizes), "field").select("field", "term", "mean", idf.alias("idf"))
-    weighted = qterms.join(terms, "term").select("id_query", "field", "term", "mean", (saturated(F.col("qtf"), F.col("qlen"), F.col("mean")) * F.col("idf")).alias("qw"))
-    hits = postings.join(weighted, ["field", "term"])
-    return hits.groupBy("id_query", "id", "field").agg(F.sum(F.col("qw") * saturated(F.col("tf"), F.col("len"), F.col("mean"))).alias("score"))
+    """bm25 over analysed documents (id, field, terms), from a plan or from a stored index.
+
+    Document frequencies of the queries' terms are one aggregate of theirs alone. Then each Arrow batch of documents is
+    a product of its weights with those of a block of at most LEXICAL_BLOCK queries, so a common term costs arithmetic
+    and not a row for each document and query that share it, and nothing is shuffled before fields are fused.
+    """
+    spark, n = d.sparkSession, queries.count()
+    sizes = {r.field: (r.docs, r.mean) for r in d.groupBy("field").agg(F.count("*").alias("docs"), F.avg(F.size("terms").cast("double")).alias("mean")).collect()}  # a row for each field
+    id_type, query_type = (to_arrow_type(x) for x in (d.schema["id"].dataType, queries.schema["id_query"].dataType))
+    schema = f"id_query {queries.schema['id_query'].dataType.simpleString()}, id {d.schema['id'].dataType.simpleString()}, field string, score double"
+    asked, out = queries.select("id_query", analyzer(F.col("query")).alias("terms")), None
+    for k in range(max(1, -(-n // LEXICAL_BLOCK))):
+        block = asked if n <= LEXICAL_BLOCK else asked.filter(F.pmod(F.xxhash64("id_query"), F.lit(-(-n // LEXICAL_BLOCK))) == k)
+        rows = block.collect()
+        vocabulary = {t: i for i, t in enumerate(sorted({t for r in rows for t in r.terms}))}
+        known = spark.createDataFrame([(t,) for t in vocabulary], "term string")
+        found = d.select("field", F.explode(F.array_distinct("terms")).alias("term")).join(F.broadcast(known), "term", "left_semi").groupBy("field", "term").agg(F.count("*").alias("n"))
+        weights = {f: np.zeros((len(vocabulary), len(rows))) for f in sizes}
+        idf = {f: np.zeros(len(vocabulary)) for f in sizes}
+        for r in found.collect():
+            idf[r.field][vocabulary[r.term]] = np.log1p((sizes[r.field][0] - r.n + 0.5) / (r.n + 0.5))
+        for f, (_, mean) in sizes.items():
+            for j, r in enumerate(rows):
+                for t, tf in Counter(r.terms).items():
+                    i = vocabulary[t]
+                    weights[f][i, j] = idf[f][i] * saturated(tf, len(r.terms), mean) if mean else 0.0
+        shared = spark.sparkContext.broadcast((vocabulary, [r.id_query for r in rows], sizes, weights))
+
+        def run(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            vocabulary, names, sizes, weights = shared.value
+            names = pa.array(names, query_type)
+            for b in it:
+                for at in range(0, b.num_rows, 512):
+                    part = b.slice(at, 512)
+                    field = np.array(part.column(1).to_pylist(), object)
+                    terms = part.column(2).to_pylist()
+                    for f in sizes:
+                        own = np.flatnonzero(field == f)
+                        length = np.array([len(terms[i]) for i in own])
+                        place = [[vocabulary[t] for t in terms[i] if t in vocabulary] for i in own]
+                        column = np.array([c for p in place for c in p], np.int64)
+                        if not len(column):
+                            continue
+                        used, column = np.unique(column, return_inverse=True)
+                        tf = np.bincount(np.repeat(np.arange(len(own)), [len(p) for p in place]) * len(used) + column, minlength=len(own) * len(used)).reshape(len(own), len(used))
+                        scores = saturated(tf.astype(float), length[:, None], sizes[f][1]) @ weights[f][used]
+                        i, j = np.nonzero(scores)
+                        yield pa.record_batch([names.take(pa.array(j)), part.column(0).take(pa.array(own[i])).cast(id_type), pa.array([f] * len(i), pa.string()), pa.array(scores[i, j])], ["id_query", "id", "field", "score"])
+
+        hits = d.select("id", "field", "terms").mapInArrow(run, schema)
+        out = hits if out is None else out.unionByName(hits)
+    return out
 
 
 def fused(scores: DataFrame, fields: Sequence[str] = ("title", "description")) -> DataFrame:
