@@ -7,7 +7,8 @@ loss is minimised by dual coordinate descent. A logistic curve fitted to margins
 a score.
 
 Scale: the fit uses at most `rows` labelled rows, chosen by a hash of doc_id, so it is of one size whatever the
-corpus; every document is then scored in one pass without a shuffle.
+corpus and runs as one task on an executor, the driver holding the finished weights only; every document is then
+scored in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -57,6 +58,9 @@ def features(text: str) -> np.ndarray:
     return np.unique((every * gold) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
+MODEL = ["weight", "square", "bias", "slope", "shift"]
+
+
 @dataclass
 class Model:
     weight: np.ndarray
@@ -138,10 +142,19 @@ def trained(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model
         found = pa.array([features(x) for x in b.column(1).to_pylist()], pa.list_(pa.int32()))
         return pa.record_batch([b.column(0), found, b.column(2)], ["doc_id", "x", "label"])
 
+    def model(table: pa.Table) -> pa.Table:
+        table = table.sort_by("doc_id")
+        x = table.column("x").combine_chunks()
+        rows = [r.values.to_numpy(zero_copy_only=False) for r in x]
+        m = fit(rows, (table.column("label").to_numpy() >= 0.5).astype(int))
+        return pa.table([pa.array([m.weight.tobytes()]), pa.array([m.square.tobytes()]), *(pa.array([v]) for v in (m.bias, m.slope, m.shift))], MODEL)
+
     text = docs.select("doc_id", text_of().alias("text"))
-    got = batches(text.join(F.broadcast(chosen), "doc_id"), run, "doc_id long, x array<int>, label double").toArrow().sort_by("doc_id")
-    x = got.column("x").combine_chunks()
-    return fit([r.values.to_numpy(zero_copy_only=False) for r in x] if len(got) else [], (got.column("label").to_numpy() >= 0.5).astype(int))
+    found = batches(text.join(F.broadcast(chosen), "doc_id"), run, "doc_id long, x array<int>, label double")
+    got = found.groupBy(F.lit("all").alias("all")).applyInArrow(model, "weight binary, square binary, bias double, slope double, shift double").collect()
+    if not got:
+        return fit([], np.empty(0, int))
+    return Model(np.frombuffer(got[0].weight, np.float32), np.frombuffer(got[0].square, np.float32), got[0].bias, got[0].slope, got[0].shift)
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
