@@ -131,23 +131,32 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(key, comp) as a stored table: for each node, the least key that it is linked with. nodes (key), edges (a, b).
 
-    Each round takes the least label among the neighbours' and then jumps to that label's own; a hot node's
-    neighbours are reduced by partial aggregates. Rounds are a logarithm of the longest path for usual graphs.
+    Every node points to its least neighbour, if that is less than itself; pointers jump to their roots; edges between
+    different roots are what the next level works on. A level at least halves the nodes, and stars, as buckets make
+    them, are gone after one. A hot node's neighbours are reduced by partial aggregates.
     """
-    both = stored(edges.union(edges.select("b", "a")).toDF("key", "other").distinct(), "edges")
-    labels = stored(both.groupBy("key").agg(F.least(F.col("key"), F.min("other")).alias("comp")), "labels")
+    different = lambda df: df.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges, found = stored(different(edges.select("a", "b")), "edges"), None
     while True:
-        seen = both.join(labels.select(F.col("key").alias("other"), "comp"), "other").groupBy("key").agg(F.min("comp").alias("near"))
-        nearer = labels.join(seen, "key").select("key", F.col("comp").alias("was"), F.least("comp", "near").alias("near"))
-        jump = labels.select(F.col("key").alias("near"), F.col("comp").alias("far"))
-        moved = stored(nearer.join(jump, "near").select("key", "was", F.least("near", "far").alias("comp")), "labels")
-        release(labels)
-        labels = moved
-        if moved.filter(F.col("was") != F.col("comp")).isEmpty():
+        both = edges.select(F.col("a").alias("key"), F.col("b").alias("other")).union(edges.select("b", "a"))
+        up = stored(both.groupBy("key").agg(F.least(F.col("key"), F.min("other")).alias("root")), "roots")
+        while True:
+            far = up.select(F.col("key").alias("root"), F.col("root").alias("next"))
+            jumped = stored(up.join(far, "root").select("key", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "roots")
+            release(up)
+            up = jumped
+            if up.filter("moved").isEmpty():
+                break
+        up = up.select("key", "root")
+        ends = edges.join(up.toDF("a", "x"), "a").join(up.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        rest = stored(different(ends), "edges")
+        release(edges)
+        level = up.toDF("comp", "root")
+        found = up.toDF("key", "comp") if found is None else found.join(level, "comp", "left").select("key", F.coalesce("root", "comp").alias("comp"))
+        if rest.isEmpty():
             break
-    out = stored(nodes.join(moved.select("key", "comp"), "key", "left").select("key", F.coalesce("comp", "key").alias("comp")), "components")
-    release(both, moved)
-    return out
+        edges = rest
+    return stored(nodes.join(found, "key", "left").select("key", F.coalesce("comp", "key").alias("comp")), "components")
 
 
 def able(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -232,7 +241,9 @@ def _decided(docs: DataFrame, width: int, percent: int) -> DataFrame:
         more = alive.join(best, "band").filter(F.col("comp") != F.col("lead.comp")).select(F.least("key", "lead.key").alias("a"), F.greatest("key", "lead.key").alias("b"))
         nearer = stored(links.unionByName(verified(more.distinct().join(pairs, ["a", "b"], "left_anti"), texts, width, percent)), "links")
         release(links, comps)
-        comps, clusters = components(nodes, nearer), components(nodes, pairs)
+        least = alive.groupBy("band").agg(F.min("key").alias("a"))
+        tied = alive.select("band", F.col("key").alias("b")).join(least, "band").select("a", "b").distinct()
+        comps, clusters = components(nodes, nearer), components(alive.select("key").distinct(), tied)
         rest = stored(alive.select("key").distinct().join(comps, "key").join(clusters.withColumnRenamed("comp", "cluster"), "key"), "rest")
         links = stored(nearer.unionByName(blockwise(rest, texts, width, percent)), "links")
         release(comps, nearer, rest, clusters)
