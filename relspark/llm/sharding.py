@@ -114,7 +114,7 @@ class Shards:
         rows = self._rows([n for names in merges for n in names], old["shards"]).join(small_or_shuffled(to), "_file")
         data = f"data/merged-{old['version'] + 1:08d}-{new_path(self.spark, '')[-8:]}"
         names = [c for c in rows.columns if c not in ("_file", "_to")]
-        dealt = rows.repartition(len(merges), "_to").select(*names, F.col("_to").alias("_shard"))
+        dealt = rows.repartitionByRange(len(merges), "_to").select(*names, F.col("_to").alias("_shard"))
         dealt.write.partitionBy("_shard").option("compression", "zstd").parquet(f"{self.root}/{data}")
         found = self.spark.read.parquet(f"{self.root}/{data}").groupBy("_shard", F.col("_metadata.file_name").alias("f")).agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("b"))
         new = {f"{data}/_shard={r._shard}/{r.f}": {"rows": int(r.n), "bytes": int(r.b), "data": data} for r in found.orderBy("_shard", "f").toLocalIterator()}
