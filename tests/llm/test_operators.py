@@ -380,3 +380,13 @@ def test_lm_rare_words_meet_their_counts(spark, monkeypatch):
     monkeypatch.setattr(lm, "HEAD_SHARE", 200)
     few = {r.doc_id: r.base_score for r in lm.scored(table(spark, xs), rounds=1).collect()}
     assert full.keys() == few.keys() and all(abs(full[k] - few[k]) < 1e-6 for k in full)
+
+
+def test_lm_features_and_listed_words():
+    """Four features, the two skips among them; the step within a class learns from the two words before as well."""
+    m = lm.Model(*(np.empty(0, np.int64) for _ in range(3)), *[None] * 5)
+    f = m.encoded([[b"a", b"b", b"c", b"d"], [b"x", b"b", b"c", b"d"], [b"b"]])[2]
+    assert f.shape == (4, 9) and [k for k in range(4) if f[k, 3] != f[k, 7]] == [3] and (f[:, 0] == f[:, 8]).all()
+    assert [k for k in range(4) if f[k, 2] != f[k, 6]] == [1, 2]
+    assert m.word_rows(f, np.zeros(9, np.int64)).shape == (4, 9)
+    assert lm.LISTED == 1024 and lm.WIDTH == 48
