@@ -99,6 +99,7 @@ def keyed_texts(docs: DataFrame, wanted: DataFrame, count: int) -> DataFrame:
         return pa.record_batch([pa.array(keys, pa.binary()), b.column(1)], ["key", "text"])
 
     near = docs.join(small_or_shuffled(wanted.select("doc_id").distinct(), count), "doc_id", "left_semi")
+    near = near.unionByName(docs.filter("doc_id is null"))  # no join finds these; the key below does
     found = batches(near, run, "key binary, text string").join(small_or_shuffled(wanted.select("key"), count), "key", "left_semi")
     return found.groupBy("key").agg(F.min("text").alias("text"))
 

@@ -80,6 +80,16 @@ def test_near_duplicates_nulls_and_repeats(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_copies_with_a_null_doc_id(spark):
+    """a and c are linked only through b, which has no doc_id."""
+    base = words(100, 7, 10**6)
+    a, b, c = (" ".join(base[k : k + 88]) for k in (0, 6, 12))
+    df = table(spark, [a, b, c], [5, None, 9])
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()), key=str)
+    assert got == sorted([(5, 5, True), (None, 5, False), (9, 5, False)], key=str)
+    assert [r.doc_id for r in minhash.survivors(df).collect()] == [5]
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(1)
     shared, errors = rng.integers(0, 2**63, 900).astype(np.uint64), []
