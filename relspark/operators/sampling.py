@@ -3,25 +3,37 @@
 from __future__ import annotations
 
 import random
+from bisect import bisect_right
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ContractError
 
-#: Keys that the exact sample may bring to the driver; beyond it, use hashed_sample.
-EXACT_KEYS = 5_000_000
-
 
 def exact_sample(pairs: DataFrame, size: int, seed: int, key: str = "pair_key") -> DataFrame:
-    """(order, key): Python's own simple random sample of the sorted keys, bit for bit. For pools of a judged benchmark's size."""
-    n = pairs.count()
-    if size > n:
-        raise ContractError(f"{size} pairs are asked for; there are {n}")
-    if n > EXACT_KEYS:
-        raise ContractError(f"{n} keys are too many for the exact sample; use hashed_sample")
-    keys = sorted(r[0] for r in pairs.select(key).collect())
-    return pairs.sparkSession.createDataFrame(list(enumerate(random.Random(seed).sample(keys, size), 1)), f"order int, {key} string")
+    """(order, key): Python's own simple random sample of the sorted keys, bit for bit.
+
+    The driver draws ranks and brings only their keys from a distributed sort; size is what an audit can read.
+    """
+    # A row's id is its partition, in the order of the sort, and its place in it.
+    ranked = pairs.select(F.col(key).alias("key")).orderBy("key").withColumn("at", F.monotonically_increasing_id()).persist()
+    try:
+        parts = sorted((r.part, r.n) for r in ranked.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n")).collect())
+        ends = list(accumulate(n for _, n in parts))
+        total = ends[-1] if ends else 0
+        if size > total:
+            raise ContractError(f"{size} pairs are asked for; there are {total}")
+        wanted = []
+        for order, rank in enumerate(random.Random(seed).sample(range(total), size), 1):
+            k = bisect_right(ends, rank)
+            wanted.append((order, (parts[k][0] << 33) + rank - ends[k] + parts[k][1]))
+        chosen = pairs.sparkSession.createDataFrame(wanted, "order int, at long")
+        rows = ranked.join(F.broadcast(chosen), "at").select("order", "key").collect()
+    finally:
+        ranked.unpersist()
+    return pairs.sparkSession.createDataFrame(sorted((r.order, r.key) for r in rows), f"order int, {key} string")
 
 
 def hashed_sample(pairs: DataFrame, size: int, seed: int, key: str = "pair_key") -> DataFrame:

@@ -310,6 +310,16 @@ def test_exact_sample_is_pythons(spark):
         sampling.exact_sample(spark.createDataFrame([("a",)], "pair_key string"), 2, 1)
 
 
+def test_exact_sample_has_no_cap_and_fetches_ranks_only(spark, monkeypatch):
+    """Repeated keys over several partitions, with the former cap below their number."""
+    monkeypatch.setattr(sampling, "EXACT_KEYS", 10, raising=False)
+    keys = [f"{i % 700}||é{i % 3}" for i in range(1000)]
+    df = spark.createDataFrame([(k,) for k in keys], "pair_key string").repartition(7)
+    got = [r.pair_key for r in sampling.exact_sample(df, 40, 3).orderBy("order").collect()]
+    assert got == random.Random(3).sample(sorted(keys), 40)
+    assert sampling.exact_sample(df.limit(0), 0, 3).count() == 0
+
+
 def test_judgments(spark):
     good = {"main_resource": "a", "scope": None, "supporting_field": "title", "quote": "q", "reason": " subtype "}
     raws = [json.dumps(good), "{bad", "[1]", json.dumps(good | {"reason": "x"}), json.dumps(good | {"quote": " "}), json.dumps(good | {"supporting_field": "z"}), json.dumps(good | {"reason": "generic"}), json.dumps({"reason": "generic", "main_resource": "m"}), json.dumps({k: v for k, v in good.items() if k != "quote"}), None]
