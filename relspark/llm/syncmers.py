@@ -20,8 +20,8 @@ from .common import text_of
 
 #: Words in a run, words in an inner run, hashes in a fingerprint.
 K, S, SKETCH = 4, 2, 128
-#: Words under which a text is also taken by characters, and characters in a run.
-SHORT, GRAM = 48, 6
+#: Characters in a run, where a text has no chosen run of words.
+GRAM = 6
 #: Rows in a bucket of consecutive documents on average, and most buckets.
 BUCKET_ROWS, MOST_BUCKETS = 2_000, 16_384
 
@@ -70,16 +70,16 @@ def _grams(text: Column) -> Column:
 def sketch(text: Column) -> Column:
     """The least SKETCH 32-bit hashes, ascending; without words there is none.
 
-    A text of fewer than SHORT words also gives the syncmers of its runs of GRAM characters, so that a line, or a text
-    without blanks, has anchors; one too short for any is a single run.
+    Texts of any length are taken by words, so that all can be compared. Only one without a chosen run of words gives the
+    syncmers of its runs of GRAM characters; one too short for any is a single run.
     """
     none = F.array().cast("array<bigint>")
 
     def every(words: Column) -> Column:
         long = F.when(F.size(words) >= K, _chosen(words, lambda h, i: h)).otherwise(none)
-        short = F.when(F.size(words) >= SHORT, long).otherwise(F.concat(long, _chosen(_grams(text), lambda h, i: h)))
         whole = F.array(F.xxhash64(F.array_join(words, " ")))
-        return F.when(F.size(words) == 0, none).otherwise(let(short, lambda x: F.when(F.size(x) > 0, x).otherwise(whole)))
+        either = lambda x, other: let(x, lambda x: F.when(F.size(x) > 0, x).otherwise(other))
+        return F.when(F.size(words) == 0, none).otherwise(either(long, either(_chosen(_grams(text), lambda h, i: h), whole)))
 
     least = lambda x: F.slice(F.sort_array(F.array_distinct(F.transform(x, lambda h: F.shiftright(h, 32).cast("int")))), 1, SKETCH)
     return let(let(words_of(text), every), least)

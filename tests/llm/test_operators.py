@@ -217,6 +217,16 @@ def test_syncmers(spark):
         assert rows[i].next_fingerprint == rows[(i + 1) % len(xs)].fingerprint
 
 
+def test_sketches_of_all_lengths_are_alike(spark):
+    """A text and its own first words, on either side of 48 words; texts without a run of words still have anchors."""
+    from pyspark.sql import functions as F
+
+    base = words(60, 3, 10**6)
+    df = spark.createDataFrame([(" ".join(base[:n]), " ".join(base[:m])) for n, m in ((49, 46), (60, 47), (30, 28))] + [("abcdefghijklmnopqrstuvwxyz" * 4, "x")], "a string, b string")
+    got = df.select(syncmers.likeness(syncmers.sketch(F.col("a")), syncmers.sketch(F.col("b"))).alias("x"), F.size(syncmers.sketch(F.col("a"))).alias("n")).collect()
+    assert got[0].x > 0.8 and got[1].x > 0.6 and got[2].x > 0.8 and got[3].n > 1
+
+
 def test_next_document_over_buckets(spark):
     ids = [int(x**1.5) for x in range(9_000)]
     random.Random(1).shuffle(ids)
