@@ -415,11 +415,11 @@ def test_lm_probabilities_sum_to_one(spark):
     xs = [" ".join(words(80, i, 400)) for i in range(30)]
     df, begun = fitted_lm(spark, xs)
     m = lm._trained(begun, df, 0.4)
-    vocabulary = sorted({w for x in xs for w in lm.tokens(x)})
-    context = [b"w1", b"w2", b"w3"]
-    h, head, c, cell, listed, f = m.encoded([[*context, w] for w in vocabulary])
-    assert (head >= 0).all()
-    k = np.arange(3, len(h), 4)
+    vocabulary = sorted({w for x in xs for w in x.split()})
+    h, n = lm.hashed([f"w1 w2 w3 {w}".encode() for w in vocabulary] + [b"w1 w2 w3"])
+    head, c, cell, listed, f = m.encoded(h, n)
+    assert (head >= 0).all() and set(n) == {5, 4}
+    k = np.append(np.arange(3, len(h) - 4, 5), len(h) - 1)
     # class and slot depend on the context only, so the features of all last tokens agree
     assert (f[:, k] == f[:, k[:1]]).all()
     p = 10 ** lm.token_scores(m, c[k], cell[k], f[:, k]) * np.where(listed[k], 1, (m.counts[head[k]] + 1) / m.mass[cell[k]])
@@ -432,8 +432,8 @@ def test_lm_training_and_scores_equal_plain_python(spark):
     """Both rounds' sums, steps and the scores, token by token in dictionaries."""
     xs = [" ".join(words(60, i, 50)) for i in range(25)]
     df, m = fitted_lm(spark, xs)
-    docs = [lm.tokens(x) for x in xs]
-    h, head, c, cell, listed, f = m.encoded(docs)
+    h, n = lm.hashed([x.encode() for x in xs])
+    head, c, cell, listed, f = m.encoded(h, n)
     rows = [m.class_rows(f), m.word_rows(f, c)]
     weights = [{}, {}]
 
@@ -456,8 +456,8 @@ def test_lm_training_and_scores_equal_plain_python(spark):
         for level in (0, 1):
             for row, (o, e) in sums[level].items():
                 for t in range(len(o)):
-                    prior = lm.PRIOR * e[t] / sum(e)
-                    weights[level][row, t] = weights[level].get((row, t), 0.0) + step * np.log((o[t] + prior + 1e-9) / (e[t] + prior + 1e-9))
+                    prior = lm.PRIOR * max(e[t] / sum(e), lm.LEAST_SHARE)
+                    weights[level][row, t] = weights[level].get((row, t), 0.0) + step * np.log((o[t] + prior) / (e[t] + prior))
         m = lm._trained(m, df.repartition(5 if step == 0.4 else 2), step)
     assert all(abs(m.class_weight[k] - v) < 0.01 for k, v in weights[0].items()) and all(abs(m.word_weight[k] - v) < 0.01 for k, v in weights[1].items())
     want = [np.log10(probabilities(i, 0)[c[i]] * probabilities(i, 1)[cell[i] % lm.WORDS]) for i in range(len(h))]
@@ -475,15 +475,33 @@ def test_lm_features_and_rows():
     spread = np.arange(lm.ENDINGS) % lm.CLASSES
     first = np.concatenate(([0], np.cumsum(np.full(lm.CLASSES, 80))))
     m = lm.Model(*(np.empty(0, np.int64) for _ in range(3)), spread, np.ones(lm.CLASSES * lm.WORDS), None, None, first, 12)
-    _, _, c, cell, listed, f = m.encoded([[b"a", b"b", b"c", b"d"], [b"zebra", b"b", b"c", b"d"], [b"b"]])
-    assert c[0] != c[4]
-    assert f.shape == (4, 9) and [k for k in range(4) if f[k, 3] != f[k, 7]] == [3] and (f[:, 0] == f[:, 8]).all()
-    assert [k for k in range(4) if f[k, 2] != f[k, 6]] == [1, 2, 3]
+    _, c, cell, listed, f = m.encoded(*lm.hashed([b"a b c d", b"zebra b c d", b"b"]))
+    assert c[0] != c[5] and (c[[4, 9, 11]] == c[4]).all()
+    assert f.shape == (4, 12) and [k for k in range(4) if f[k, 3] != f[k, 8]] == [3] and (f[:, 0] == f[:, 10]).all()
+    assert [k for k in range(4) if f[k, 2] != f[k, 7]] == [1, 2, 3]
     assert (cell // lm.WORDS == c).all() and not listed.any() and (cell % lm.WORDS >= lm.TOP).all()
     r = m.word_rows(f, c)
     assert ((r >= m.first[c]) & (r < m.first[c + 1])).all()
 
 
+def test_lm_word_hashes(monkeypatch):
+    """Equal for equal words whatever stands around them and however the text is cut; different for different ones."""
+    r = random.Random(3)
+    xs = ["", " \t", "a", "The THE the", "x" * 70_000 + " y", "x" * 70_001, *(" ".join(words(r.randrange(200), i, 5_000)) for i in range(50)), "é\x0bÉ\x1ca\u2003b"]
+    whole = lm.hashed([x.encode() for x in xs])
+    monkeypatch.setattr(lm, "PART", 50)
+    for got in (lm.hashed([x.encode() for x in xs]), whole):
+        names, at = {}, 0
+        for x, n in zip(xs, got[1], strict=True):
+            toks = [*x.encode().lower().split(), b"\n"]
+            assert n == len(toks)
+            for w, h in zip(toks, got[0][at : at + n].tolist(), strict=True):
+                assert names.setdefault(w, h) == h
+            at += n
+        assert len(set(names.values())) == len(names) and at == len(got[0])
+    assert (lm.hashed([x.encode() for x in xs])[0] == whole[0]).all()
+
+
 def test_lm_rows_grow_with_distinct_words(spark):
     sizes = [fitted_lm(spark, [" ".join(words(3_000, k, n)) for k in range(8)])[1].bits for n in (50, 9_000)]
     assert sizes[0] == lm.LEAST_BITS < sizes[1] <= lm.MOST_BITS
