@@ -85,7 +85,7 @@ FROM d LEFT JOIN spans USING (row) GROUP BY d.row, d.doc_id
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharded(table(spark, sf_dir, "documents"))
+    return sharded(table(spark, sf_dir, "documents"), arrivals=4)
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -159,20 +159,54 @@ def test_sharding(spark, tmp_path):
     s = sharding.Shards(spark, f"file://{tmp_path}/s")
     for k in range(9):
         s.append(df.repartition(2).filter(f"pmod(hash(text), 9) = {k}"))
-    before = s.manifest()
-    after = s.compact(target=100_000, least=1_000)
-    assert after["version"] == before["version"] + 1 and len(after["shards"]) < len(before["shards"])
-    assert all(x["bytes"] <= 100_000 for x in after["shards"].values()) and sum(x["rows"] for x in after["shards"].values()) == 5_000
+    lines = lambda v=None: {r.shard: r for r in s.manifest(v).collect()}
+    old = s.versions()[-1]
+    before, new = lines(), s.compact(target=100_000, least=1_000)
+    after = lines()
+    assert new == old + 1 and len(after) < len(before)
+    assert all(x.bytes <= 100_000 for x in after.values()) and sum(x.rows for x in after.values()) == 5_000
     key = lambda d: Counter((r.doc_id, r.text) for r in d.select("doc_id", "text").collect())
-    assert key(s.read()) == key(df) == key(s.read(before["version"]))
-    assert not sharding.planned({n: x["bytes"] for n, x in after["shards"].items()}, 100_000, 1_000)
+    assert key(s.read()) == key(df) == key(s.read(old))
+    assert Counter(r._shard for r in s.read().select("_shard").collect()) == {n: x.rows for n, x in after.items()}
+    assert s.compact(target=100_000, least=1_000) == new
     with pytest.raises(RuntimeError):
-        s._commit(before["version"], {})
+        s._commit(old, s.manifest(old))
     s.vacuum()
     assert key(s.read()) == key(df)
+    assert {f"{p.parent.parent.name}/{p.parent.name}/{p.name}" for p in (tmp_path / "s/data").rglob("part-*")} == set(after)
     assert sharding.sharded(df.limit(0)).count() == 0
-    got = sharding.sharded(df).groupBy("shard", "shard_rows").count().collect()
-    assert all(r["shard_rows"] == r["count"] for r in got) and sum(r["count"] for r in got) == 5_000
+    got = sharding.sharded(df, arrivals=4).groupBy("shard", "shard_rows").count().collect()
+    assert all(r["shard_rows"] == r["count"] for r in got) and sum(r["count"] for r in got) == 5_000 and all("merged" in r.shard for r in got)
+
+
+def test_shards_outlive_dead_writers(spark, tmp_path):
+    """A writer that dies before its commit leaves orphans; one that dies within it leaves a void version."""
+    df = table(spark, ["a", "b", None])
+    s = sharding.Shards(spark, f"file://{tmp_path}/s", stale=0)
+    s.append(df)
+    s._written(df, "data/arrivals-00000002-dead", 2)
+    (tmp_path / "s/versions/v00000002").write_text("abc")  # no line break: its writer died
+    assert s.versions() == [1] and s.read().count() == 3
+    patient = sharding.Shards(spark, s.root)
+    with pytest.raises(RuntimeError):
+        patient.append(df)
+    assert s.append(df) == 3 and s.read().count() == 6
+    s.vacuum()
+    assert s.read().count() == 6 and not (tmp_path / "s/data/arrivals-00000002-dead").exists()
+
+
+def test_sharding_of_clashing_names(spark):
+    df = spark.createDataFrame([(1, "x", 2, 3, 4, "m")] * 5, "doc_id long, text string, _to int, _shard int, TEXT2 int, text2 string")
+    assert sharding.stored_names(["a", "A", "b", "a_2"]) == ["a", "A_2", "b", "a_2_2"]
+    assert sharding.sharded(df, arrivals=5).count() == 5
+
+
+def test_merges_are_planned_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "PLANNED", 50)
+    lines = spark.createDataFrame([(f"data/x/{i}", "data/x", 300, 1, 1_000 + i, i) for i in range(300)], sharding.LINES)
+    rows = sharding.plan(lines, 20_000, 500, 4).collect()
+    tos = Counter(r.to for r in rows)
+    assert len({r.shard for r in rows}) == len(rows) > 250 and set(tos) == set(range(len(tos))) and min(tos.values()) > 1
 
 
 def test_planned_merges_are_of_one_tier():
