@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,17 +17,13 @@ BROADCAST_ROWS = 200_000
 BATCH_ROWS = 256
 
 
-def session_of(df: DataFrame) -> SparkSession:
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return spark
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), a temporary one is set for the session."""
+    """The folder of spark.checkpoint.dir. Where that is unset: a folder of the warehouse, which a cluster shares, or with
+    a local master (tests) a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
-        at = getattr(spark, "_own_shared_dir", None) or "file://" + tempfile.mkdtemp(prefix="relspark-", dir="/tmp")
+        local = re.match(r"local(\[|$)", spark.sparkContext.master)
+        at = getattr(spark, "_own_shared_dir", None) or ("file://" + tempfile.mkdtemp(prefix="relspark-", dir="/tmp") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_relspark")
         spark._own_shared_dir = at
     return at.rstrip("/")
 
@@ -42,6 +39,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    spark._own_tables = [*getattr(spark, "_own_tables", []), path]
     return out
 
 
@@ -59,6 +57,12 @@ def release(*tables: DataFrame) -> None:
             delete(df.sparkSession, path)
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Deletes all tables that stored() has written in this session; to be called when results have been written."""
+    delete(spark, *getattr(spark, "_own_tables", []))
+    spark._own_tables = []
+
+
 def small_or_shuffled(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A hint to broadcast df if its counted rows are within limit; else a sort-merge join, which AQE can split."""
     return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df.hint("merge")
@@ -69,12 +73,19 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def sliced(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """At most BATCH_ROWS rows at a time, whatever the session's Arrow batches are (Spark bounds their bytes)."""
+    for batch in it:
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(at, BATCH_ROWS)
+
+
 def batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """df through f, an Arrow batch at a time."""
+    """df through f, BATCH_ROWS rows at a time."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            if batch.num_rows and (out := f(batch)) is not None:
+        for batch in sliced(it):
+            if (out := f(batch)) is not None:
                 yield out
 
     return df.mapInArrow(run, schema)
