@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, session_of, text_of
+from .common import batches, text_of
 
 BITS = 18
 #: Most labelled rows that a model is fitted on.
@@ -134,7 +134,6 @@ def trained(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model
 
     Null ids and labels are left out; a doc_id with several labels counts by their mean.
     """
-    session_of(docs)
     one = labels.filter("doc_id is not null and label is not null").groupBy("doc_id").agg(F.avg("label").alias("label"))
     chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
@@ -159,7 +158,7 @@ def trained(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """docs (doc_id, text) with score from 0 to 1. Null and empty texts score by the bias; repeated rows stay; other columns are ignored."""
-    spark = session_of(docs)
+    spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -171,7 +170,6 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 def passed(docs: DataFrame, model: Model, least: float) -> DataFrame:
     """The rows of docs, with all columns, that score least or more."""
-    session_of(docs)
     shared, names, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns, docs.columns.index("text")
     schema = ", ".join(f"`c{i}` {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
 

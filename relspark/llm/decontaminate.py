@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, session_of, text_of
+from .common import batches, sliced, text_of
 
 BLOCK_WORDS = 2_000_000
 #: Word bytes after lower-casing: 0-9, a-z and all of characters outside ASCII; others separate words.
@@ -94,7 +94,7 @@ def counted(docs: DataFrame, vocab: dict[bytes, int]) -> np.ndarray:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, get = np.zeros(len(words.value) + 1, np.int64), words.value.get
-        for b in it:
+        for b in sliced(it):
             found = [w for text in b.column(0).to_pylist() for w in words_of(text)]
             total += np.bincount(np.fromiter(map(get, found, repeat(len(total) - 1)), np.int64, len(found)), minlength=len(total))
         seen = np.flatnonzero(total[:-1])
@@ -114,7 +114,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, carry:
     not among items; several rows of one item_id are one item. Repeated documents stay repeated. Other columns are
     ignored but for those of carry, which come last as c0, c1 ...; with an empty benchmark nothing is hit.
     """
-    spark = session_of(docs)
+    spark = docs.sparkSession
     more = [F.col(x).alias(f"c{i}") for i, x in enumerate(carry or [])]
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), *more)
     types = "".join(f", c{i} {docs.schema[x].dataType.simpleString()}" for i, x in enumerate(carry or []))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, release, session_of, small_or_shuffled, stored, text_of
+from .common import batches, release, small_or_shuffled, stored, text_of
 
 #: 32 bands of 4 coordinates: a pair with a similarity of 0.8 shares none with a probability of (1 - 0.8^4)^32 < 5e-8.
 BANDS, ROWS = 32, 4
@@ -221,7 +221,6 @@ def blockwise(nodes: DataFrame, texts: DataFrame, width: int, percent: int, bloc
 
 def _decided(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(doc_id, key, n_shingles, component_id, lead): lead tells the rows of the component's least (doc_id, key)."""
-    session_of(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     rows = stored(sketched(docs, width), "sketches")
     classes = stored(rows.filter("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")

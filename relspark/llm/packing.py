@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import session_of, small_or_shuffled, stored, text_of
+from .common import sliced, small_or_shuffled, stored, text_of
 
 #: Fixed value: how the byte-level tokenizer cuts a text before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -64,11 +64,10 @@ def pieces(docs: DataFrame, tokenizer: str, size: int, end: int | None = 2, with
 
     part and nth number the pieces of a length within a task; with_ids adds the ids themselves.
     """
-    session_of(docs)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
-        for b in it:
+        for b in sliced(it):
             rows: list[list] = [[] for _ in range(7 + with_ids)]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids = np.array(encode(text) + ([] if end is None else [end]), "<u4")
@@ -183,7 +182,7 @@ def packed(docs: DataFrame, tokenizer: str, size: int = 1024, end: int | None =
     Null and empty texts are the end token alone, or no piece where end is None. Repeated rows and doc_ids are packed
     as often as they stand; other columns are ignored; an empty table gives no rows.
     """
-    spark = session_of(docs)
+    spark = docs.sparkSession
     rows = stored(pieces(docs, tokenizer, size, end, with_ids), "pieces")
     counts = stored(rows.groupBy("length", "part").agg(F.count("*").alias("n")), "counts")
     histogram = {int(r.length): int(r.n) for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows

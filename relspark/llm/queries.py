@@ -150,7 +150,8 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = without_repeats(table(spark, sf_dir, "documents"), length=400)
     kept = F.octet_length("kept").cast("long")
-    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - kept).alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    removed = F.col("n_bytes") - kept
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), (removed > 0).alias("has_repeats"))
 
 
 OP8_SQL = """
@@ -160,7 +161,7 @@ hit AS (SELECT row, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count
 cut AS (SELECT row, min(i) AS a, max(i) + 400 AS z FROM (SELECT row, i, sum(opens) OVER (PARTITION BY row ORDER BY i) AS run FROM (SELECT row, i, CASE WHEN i > lag(i) OVER (PARTITION BY row ORDER BY i) + 400 THEN 1 ELSE 0 END AS opens FROM hit)) GROUP BY row, run),
 part AS (SELECT row, coalesce(lag(z) OVER (PARTITION BY row ORDER BY a), 0) AS a, a AS z FROM cut UNION ALL SELECT row, max(z), NULL FROM cut GROUP BY row UNION ALL SELECT row, 0, NULL FROM d WHERE row NOT IN (SELECT row FROM cut)),
 kept AS (SELECT row, string_agg(CASE WHEN coalesce(z, octet_length(b)) > a THEN hex(b[a + 1:coalesce(z, octet_length(b))]) ELSE '' END, '' ORDER BY a) AS x FROM part JOIN d USING (row) GROUP BY row)
-SELECT d.doc_id, octet_length(b) AS n_bytes, octet_length(b) - len(x) // 2 AS n_removed, coalesce(c.n, 0) AS n_spans, sha256(unhex(x)) AS kept_sha256
+SELECT d.doc_id, octet_length(b) AS n_bytes, octet_length(b) - len(x) // 2 AS n_removed, coalesce(c.n, 0) AS n_spans, sha256(unhex(x)) AS kept_sha256, octet_length(b) > len(x) // 2 AS has_repeats
 FROM d JOIN kept USING (row) LEFT JOIN (SELECT row, count(*) AS n FROM cut GROUP BY row) c USING (row)
 """
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, session_of, stored, text_of
+from .common import batches, sliced, stored, text_of
 from .minhash import mix
 
 #: Bytes under the rolling hash, bytes of text for each phrase on average, and most windows in a row.
@@ -34,7 +34,7 @@ BASE = 0x9E3779B97F4A7C15
 BYTES = mix(np.arange(256, dtype=np.uint64) + np.uint64(BASE))
 
 
-@lru_cache(maxsize=1)
+@lru_cache(maxsize=2)
 def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i under 2**bits."""
     out = []
@@ -101,8 +101,8 @@ def _named(docs: DataFrame) -> DataFrame:
 
 #: Where the windows of a row stand.
 PLACE = np.dtype([("row", "<i8"), ("first", "<i4"), ("n", "<i4")])
-#: Rows that a task holds before it merges those with equal key and context.
-HELD = 400_000
+#: Rows that a task holds before it merges those with equal key and context, and places in a merged row.
+HELD, PLACES = 300_000, 4_096
 
 
 def _binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
@@ -122,10 +122,14 @@ def _merged_rows(named: DataFrame, length: int) -> DataFrame:
             order = np.lexsort((context, key))
             key, context = key[order], context[order]
             first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (context[1:] != context[:-1])))
+            size = np.diff(first, append=len(key))
+            far = size > PLACES  # a row holds so many places at most; the next one goes on
+            if far.any():
+                first = np.union1d(first, np.concatenate([np.arange(a, a + n, PLACES) for a, n in zip(first[far], size[far], strict=True)]))
             held.clear()
             return pa.record_batch([pa.array(key[first]), pa.array(context[first]), _binary(place[order], np.diff(first, append=len(key)))], ["key", "context", "places"])
 
-        for b in it:
+        for b in sliced(it):
             for row, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 key, context, first, n = window_rows(text, length)
                 if len(key):
@@ -147,7 +151,7 @@ def _settled(rows: DataFrame) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[int, int, bytes]] = []
-        for b in it:
+        for b in sliced(it):
             key = np.concatenate((np.array([k[0] for k in kept], np.int64), b.column(0).to_numpy()))
             context = np.concatenate((np.array([k[1] for k in kept], np.int64), b.column(1).to_numpy()))
             places = [k[2] for k in kept] + b.column(2).to_pylist()
@@ -185,7 +189,6 @@ def without_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     A byte goes if it is within a string of `length` bytes that also starts anywhere else in the texts, whichever
     copy. Null texts are empty; repeated rows count as further copies; other columns are ignored.
     """
-    session_of(docs)
     named = _named(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")))
 
     settled = stored(_settled(_merged_rows(named, length)), "settled")

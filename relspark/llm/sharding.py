@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete, new_path, release, small_or_shuffled, stored
+from .common import delete, new_path, small_or_shuffled, stored
 
 #: Rows of an arrival shard, bytes of text that a shard is merged up to, bytes of the lowest tier, runs that are merged at once.
 ARRIVAL_ROWS, TARGET_BYTES, LEAST_BYTES, FANOUT = 2_048, 64 << 20, 1 << 20, 4
