@@ -29,6 +29,12 @@ def clipped(x: Column, n: int) -> Column:
 
 
 def document_text(x: Column) -> Column:
+    """The normalised text, whole."""
+    return squeezed(x)
+
+
+def model_text(x: Column) -> Column:
+    """What of a normalised text an embedding model is given."""
     return clipped(squeezed(x), MODEL_CHARS)
 
 
@@ -55,7 +61,7 @@ def query_text(x: Column) -> Column:
 
 def without_markup(x: Column) -> Column:
     """Tags, then URLs, replaced by blanks."""
-    return F.regexp_replace(F.regexp_replace(x, r"<[^>]+>", " "), r"(?iU)https?://\S+|www\.\S+", " ")
+    return F.regexp_replace(F.regexp_replace(x, r"<[^>]+>", " "), r"(?U)[hH][tT][tT][pP][sS]?://\S+|[wW][wW][wW]\.\S+", " ")
 
 
 @F.pandas_udf(StringType())
@@ -82,6 +88,7 @@ class Analyzer:
     """What an index term goes through; a morphology is a function from a token list to a token list, run on Arrow batches.
 
     Built-in expressions do everything but entities, accents and morphology, each of which is only planned if asked for.
+    Whole texts are analysed unless `chars` says how many characters (LEXICAL_CHARS is the usual clip).
     """
 
     stopwords: tuple[str, ...] = ()
@@ -91,11 +98,12 @@ class Analyzer:
     numbers: bool = True
     least: int = 2
     morphology: Callable[[list[str]], list[str]] | None = None
+    chars: int | None = None
 
     def __call__(self, x: Column) -> Column:
-        x = clipped(x, LEXICAL_CHARS)
+        x = x if self.chars is None else clipped(x, self.chars)
         x = unescaped(x) if self.entities else x
-        x = squeezed(without_markup(x) if self.markup else x)
+        x = without_markup(x) if self.markup else x
         found = tokens(x if self.accents else without_accents(x), (), self.least)
         found = found if self.numbers else F.filter(found, lambda t: ~t.rlike("^[0-9]+$"))
         found = F.filter(found, lambda t: ~t.isin(*self.stopwords)) if self.stopwords else found

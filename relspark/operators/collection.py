@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from ..functions.text import CELL_CHARS, CONTENT_CHARS, CONTENT_ROWS, MODEL_CHARS, composed_content, document_text, header_line, squeezed
+from ..functions.text import CELL_CHARS, CONTENT_CHARS, CONTENT_ROWS, MODEL_CHARS, composed_content, model_text, header_line, squeezed
 from .contracts import all_rows
 
 
@@ -127,8 +127,8 @@ def dataset_records(df: DataFrame) -> DataFrame:
         F.trim(F.coalesce("description", F.lit(""))).alias("description"),
         F.coalesce(header_line(F.col("field_names"), F.col("delimiter")), F.lit("")).alias("header"),
         composed_content(F.col("rows_text"), F.col("columns_text")).alias("content"),
-        document_text(F.col("title")).alias("dense_title_text"),
-        document_text(F.col("description")).alias("dense_description_text"),
+        model_text(F.col("title")).alias("dense_title_text"),
+        model_text(F.col("description")).alias("dense_description_text"),
     )
     return out.filter("title != '' and description != ''")
 

@@ -17,7 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DoubleType
 
 from ..config import ContractError
-from ..functions.text import Analyzer, document_text, query_text
+from ..functions.text import Analyzer, model_text, query_text
 from ..sources.writers import write_tables
 
 K1, B, DIGITS = 1.2, 0.75, 6
@@ -34,9 +34,8 @@ INSTRUCTION = "Retrieve semantically similar text"
 
 
 def analysed(df: DataFrame, fields: Sequence[str], analyzer: Analyzer = PLAIN) -> DataFrame:
-    """(id, field, terms) of df (id and fields)."""
-    rows = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields]))
-    return df.select("id", rows.alias("r")).select("id", "r.field", analyzer(F.col("r.text")).alias("terms"))
+    """(id, fields): the terms of each field of df (id and fields)."""
+    return df.select("id", *[analyzer(F.col(f)).alias(f) for f in fields])
 
 
 def saturated(tf, length, mean):
@@ -44,67 +43,120 @@ def saturated(tf, length, mean):
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, fields: Sequence[str] = ("title", "description"), analyzer: Analyzer = PLAIN) -> DataFrame:
-    """(id_query, id, field, score) by Okapi BM25 for each field, both sides with saturated term weights.
+def bm25(docs: DataFrame, queries: DataFrame, fields: Sequence[str] = ("title", "description"), analyzer: Analyzer = PLAIN, top: int | None = None) -> DataFrame:
+    """(id_query, id, a score for each field, score) by Okapi BM25, both sides with saturated term weights.
 
-    docs has id and fields, queries id_query and query.
+    docs has unique ids and fields, queries id_query and query. score is the sum of the fields' scores, missing ones as
+    0; pairs without a common term are left out. With top, at least the first `top` of each query are in the result.
     """
-    return scored_terms(analysed(docs, fields, analyzer), queries, analyzer)
-
-
-def scored_terms(d: DataFrame, queries: DataFrame, analyzer: Analyzer = PLAIN) -> DataFrame:
-    """bm25 over analysed documents (id, field, terms), from a plan or from a stored index.
-
-    Document frequencies of the queries' terms are one aggregate of theirs alone. Then each Arrow batch of documents is
-    a product of its weights with those of a block of at most LEXICAL_BLOCK queries, so a common term costs arithmetic
-    and not a row for each document and query that share it, and nothing is shuffled before fields are fused.
+    return scored_terms(analysed(docs, fields, analyzer), queries, fields, analyzer, top)
+
+
+def _term_counts(index: DataFrame, fields: Sequence[str], shared) -> dict[str, tuple[int, float, np.ndarray]]:
+    """Per field: documents, mean length and the document frequency of each term of the shared vocabulary, by one pass
+    of which each task returns one row for a field and term that it met."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = shared.value[0]
+        total = np.zeros((len(fields), len(vocabulary) + 2), np.int64)
+        for b in it:
+            for f in range(len(fields)):
+                terms = b.column(f).to_pylist()
+                total[f, -2] += len(terms)
+                total[f, -1] += sum(map(len, terms))
+                met = Counter(vocabulary[t] for ts in terms for t in {*ts} if t in vocabulary)
+                if met:
+                    total[f, list(met)] += list(met.values())
+        f, i = np.nonzero(total)
+        yield pa.record_batch([pa.array(f, pa.int32()), pa.array(i, pa.int32()), pa.array(total[f, i])], ["field", "place", "n"])
+
+    size = len(shared.value[0])
+    total = np.zeros((len(fields), size + 2), np.int64)
+    for r in index.select(*fields).mapInArrow(run, "field int, place int, n long").groupBy("field", "place").agg(F.sum("n").alias("n")).toLocalIterator():
+        total[r.field, r.place] = r.n
+    return {f: (int(n[-2]), n[-1] / n[-2] if n[-2] else 0.0, n[:-2]) for f, n in zip(fields, total, strict=True)}
+
+
+def _best(query: np.ndarray, score: np.ndarray, top: int) -> np.ndarray:
+    """Places of each query's first `top` scores and of those that rounding could tie with them."""
+    order = np.lexsort((-score, query))
+    q = query[order]
+    first = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
+    last = np.minimum(first + top, np.append(first[1:], len(q))) - 1
+    edge = np.repeat(score[order][last], np.diff(np.append(first, len(q))))
+    return order[score[order] >= edge - 2 * 10.0**-DIGITS]
+
+
+def scored_terms(index: DataFrame, queries: DataFrame, fields: Sequence[str] = ("title", "description"), analyzer: Analyzer = PLAIN, top: int | None = None) -> DataFrame:
+    """bm25 over analysed documents (id, fields as term lists), from a plan or from a stored index.
+
+    Each Arrow batch of documents is a product of its weights with those of a block of at most LEXICAL_BLOCK queries,
+    field by field, and fields are summed there, so a common term costs arithmetic and not a row for each document and
+    query that share it. With `top`, a task passes on little more than `top` rows for each query, so what is shuffled
+    for the ranking is bounded by tasks x queries x top, whatever the corpus.
     """
-    spark, n = d.sparkSession, queries.count()
-    sizes = {r.field: (r.docs, r.mean) for r in d.groupBy("field").agg(F.count("*").alias("docs"), F.avg(F.size("terms").cast("double")).alias("mean")).collect()}  # a row for each field
-    id_type, query_type = (to_arrow_type(x) for x in (d.schema["id"].dataType, queries.schema["id_query"].dataType))
-    schema = f"id_query {queries.schema['id_query'].dataType.simpleString()}, id {d.schema['id'].dataType.simpleString()}, field string, score double"
+    spark, n = index.sparkSession, queries.count()
+    id_type, query_type = (to_arrow_type(x) for x in (index.schema["id"].dataType, queries.schema["id_query"].dataType))
+    columns = [f"{f}_score" for f in fields] + ["score"]
+    schema = f"id_query {queries.schema['id_query'].dataType.simpleString()}, id {index.schema['id'].dataType.simpleString()}, " + ", ".join(f"`{c}` double" for c in columns)
     asked, out = queries.select("id_query", analyzer(F.col("query")).alias("terms")), None
-    for k in range(max(1, -(-n // LEXICAL_BLOCK))):
-        block = asked if n <= LEXICAL_BLOCK else asked.filter(F.pmod(F.xxhash64("id_query"), F.lit(-(-n // LEXICAL_BLOCK))) == k)
-        rows = block.collect()
+    blocks = max(1, -(-n // LEXICAL_BLOCK))
+    for k in range(blocks):
+        rows = (asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("id_query"), F.lit(blocks)) == k)).collect()
         vocabulary = {t: i for i, t in enumerate(sorted({t for r in rows for t in r.terms}))}
-        known = spark.createDataFrame([(t,) for t in vocabulary], "term string")
-        found = d.select("field", F.explode(F.array_distinct("terms")).alias("term")).join(F.broadcast(known), "term", "left_semi").groupBy("field", "term").agg(F.count("*").alias("n"))
-        weights = {f: np.zeros((len(vocabulary), len(rows))) for f in sizes}
-        idf = {f: np.zeros(len(vocabulary)) for f in sizes}
-        for r in found.collect():
-            idf[r.field][vocabulary[r.term]] = np.log1p((sizes[r.field][0] - r.n + 0.5) / (r.n + 0.5))
-        for f, (_, mean) in sizes.items():
+        counts = _term_counts(index, fields, spark.sparkContext.broadcast((vocabulary,)))
+        weights = {}
+        for f, (docs, mean, df) in counts.items():
+            idf, weights[f] = np.log1p((docs - df + 0.5) / (df + 0.5)) * (df > 0), np.zeros((len(vocabulary), len(rows)))
             for j, r in enumerate(rows):
                 for t, tf in Counter(r.terms).items():
-                    i = vocabulary[t]
-                    weights[f][i, j] = idf[f][i] * saturated(tf, len(r.terms), mean) if mean else 0.0
-        shared = spark.sparkContext.broadcast((vocabulary, [r.id_query for r in rows], sizes, weights))
+                    if mean:
+                        weights[f][vocabulary[t], j] = idf[vocabulary[t]] * saturated(tf, len(r.terms), mean)
+        shared = spark.sparkContext.broadcast((vocabulary, [r.id_query for r in rows], {f: c[1] for f, c in counts.items()}, weights))
 
         def run(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            vocabulary, names, sizes, weights = shared.value
-            names = pa.array(names, query_type)
+            vocabulary, names, means, weights = shared.value
+            names, held = pa.array(names, query_type), []
+
+            def passed(q: np.ndarray, ids: pa.Array, scores: np.ndarray) -> pa.RecordBatch:
+                return pa.record_batch([names.take(pa.array(q)), ids.cast(id_type), *[pa.array(scores[:, c].copy()) for c in range(scores.shape[1])]], ["id_query", "id", *columns])
+
+            def pruned() -> tuple[np.ndarray, pa.Array, np.ndarray]:
+                q, scores = np.concatenate([h[0] for h in held]), np.concatenate([h[2] for h in held])
+                ids = pa.concat_arrays([h[1] for h in held])
+                at = _best(q, scores[:, -1], top)
+                return q[at], ids.take(pa.array(at)), scores[at]
+
             for b in it:
-                for at in range(0, b.num_rows, 512):
+                for at in range(0, b.num_rows if len(names) else 0, 512):
                     part = b.slice(at, 512)
-                    field = np.array(part.column(1).to_pylist(), object)
-                    terms = part.column(2).to_pylist()
-                    for f in sizes:
-                        own = np.flatnonzero(field == f)
-                        length = np.array([len(terms[i]) for i in own])
-                        place = [[vocabulary[t] for t in terms[i] if t in vocabulary] for i in own]
+                    scores = np.zeros((len(fields) + 1, part.num_rows, len(names)))
+                    for f, field in enumerate(fields):
+                        terms = part.column(1 + f).to_pylist()
+                        length = np.fromiter(map(len, terms), float, len(terms))
+                        place = [[vocabulary[t] for t in ts if t in vocabulary] for ts in terms]
                         column = np.array([c for p in place for c in p], np.int64)
-                        if not len(column):
-                            continue
-                        used, column = np.unique(column, return_inverse=True)
-                        tf = np.bincount(np.repeat(np.arange(len(own)), [len(p) for p in place]) * len(used) + column, minlength=len(own) * len(used)).reshape(len(own), len(used))
-                        scores = saturated(tf.astype(float), length[:, None], sizes[f][1]) @ weights[f][used]
-                        i, j = np.nonzero(scores)
-                        yield pa.record_batch([names.take(pa.array(j)), part.column(0).take(pa.array(own[i])).cast(id_type), pa.array([f] * len(i), pa.string()), pa.array(scores[i, j])], ["id_query", "id", "field", "score"])
-
-        hits = d.select("id", "field", "terms").mapInArrow(run, schema)
+                        if len(column):
+                            used, column = np.unique(column, return_inverse=True)
+                            tf = np.bincount(np.repeat(np.arange(len(terms)), [len(p) for p in place]) * len(used) + column, minlength=len(terms) * len(used)).reshape(len(terms), len(used))
+                            scores[f] = saturated(tf.astype(float), length[:, None], means[field]) @ weights[field][used]
+                    scores[-1] = scores[:-1].sum(0)
+                    i, j = np.nonzero(scores[-1])
+                    if not len(i):
+                        continue
+                    found = j, part.column(0).take(pa.array(i)), scores[:, i, j].T
+                    if top is None:
+                        yield passed(*found)
+                        continue
+                    held.append(found)
+                    if sum(len(h[0]) for h in held) > max(200_000, 4 * top * len(names)):
+                        held = [pruned()]
+            if held:
+                yield passed(*pruned())
+
+        hits = index.select("id", *fields).mapInArrow(run, schema)
         out = hits if out is None else out.unionByName(hits)
-    return out
+    return out.select("id_query", "id", *columns[:-1], F.round("score", DIGITS).alias("score"))
 
 
 def fused(scores: DataFrame, fields: Sequence[str] = ("title", "description")) -> DataFrame:
@@ -220,7 +272,7 @@ class Retriever:
         return df.withColumn("vector", embed(text)).select(key, *[c for c in ("field",) if c in df.columns], "vector")
 
     def index(self, name: str) -> DataFrame:
-        """(id, field, terms) or (id, field, vector)."""
+        """(id, fields as term lists) or (id, field, vector)."""
         name = self.ALIASES.get(name, name)
         if name in self.stored:
             return self.stored[name]
@@ -228,7 +280,7 @@ class Retriever:
             return analysed(self.records, self.fields, self.lexical[name])
         if name not in self.encoders:
             raise ContractError(f"there is no profile {name}")
-        rows = self.records.select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in self.fields])).alias("r")).select("id", "r.field", document_text(F.col("r.text")).alias("text"))
+        rows = self.records.select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in self.fields])).alias("r")).select("id", "r.field", model_text(F.col("r.text")).alias("text"))
         return self._vectors(rows, "id", F.col("text"), self.encoders[name])
 
     def build(self, path: str, overwrite: bool = False) -> None:
@@ -245,7 +297,7 @@ class Retriever:
         name = self.ALIASES.get(name, name)
         index = self.index(name)
         if name in self.lexical:
-            return ranked(fused(scored_terms(index, queries, self.lexical[name]), self.fields), top)
+            return ranked(scored_terms(index, queries, self.fields, self.lexical[name], top), top)
         asked = self._vectors(queries.select("id_query", query_prompt(F.col("query")).alias("text")), "id_query", F.col("text"), self.encoders[name])
         parts = [dense(index.filter(F.col("field") == f), asked, K_MAX).withColumn("field", F.lit(f)).drop("rank") for f in self.fields]
         rows = parts[0]

@@ -303,7 +303,7 @@ def queries_of(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("id_query"), F.col("text").alias("query"))
 
 
-RAW_TOKENS = "list_filter(regexp_extract_all(lower(trim(regexp_replace(regexp_replace(regexp_replace({x}[:20000], '<[^>]+>', ' ', 'g'), 'https?://\\S+|www\\.\\S+', ' ', 'gi'), '\\s+', ' ', 'g'))), '[a-zA-ZÀ-ÿ0-9_]+'), lambda t: len(t) >= 2)"
+RAW_TOKENS = "list_filter(regexp_extract_all(lower(trim(regexp_replace(regexp_replace(regexp_replace(coalesce({x}, ''), '<[^>]+>', ' ', 'g'), 'https?://\\S+|www\\.\\S+', ' ', 'gi'), '\\s+', ' ', 'g'))), '[a-zA-ZÀ-ÿ0-9_]+'), lambda t: len(t) >= 2)"
 BM25 = f"""
 ds AS (SELECT doc_id AS id, string_split(text, chr(10))[1] AS title, text AS description FROM documents),
 terms AS (SELECT id, 'title' AS field, {RAW_TOKENS.format(x="title")} AS w FROM ds UNION ALL SELECT id, 'description', {RAW_TOKENS.format(x="description")} FROM ds),
@@ -321,18 +321,14 @@ lex AS (SELECT *, row_number() OVER (PARTITION BY id_query ORDER BY score DESC,
 """
 
 
-def lexical_of(spark, sf):
-    return retrieval.fused(retrieval.bm25(datasets_of(spark, sf), queries_of(spark, sf)))
-
-
 @query("WITH " + BM25 + " SELECT id_query, id, score, CAST(rank AS INTEGER) AS rank FROM lex WHERE rank <= 50")
 def bm25_topk(spark, sf):
-    return retrieval.ranked(lexical_of(spark, sf), 50).select("id_query", "id", "score", "rank")
+    return retrieval.ranked(retrieval.bm25(datasets_of(spark, sf), queries_of(spark, sf), top=50), 50).select("id_query", "id", "score", "rank")
 
 
 @query("WITH " + BM25 + " SELECT id_query, id, title_score, description_score, score FROM fu")
 def field_fusion(spark, sf):
-    return rounded(lexical_of(spark, sf))
+    return rounded(retrieval.bm25(datasets_of(spark, sf), queries_of(spark, sf)))
 
 
 DENSE = """
@@ -487,11 +483,17 @@ def sample_summary(spark, sf):
     return sampling.sample_summary(pairs_of(spark, sf).join(table(spark, sf, "labels"), "doc_id", "left_semi"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g'))[:2048] AS normalized FROM documents")
+@query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS normalized FROM documents")
 def text_normalize(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.document_text(F.col("text")).alias("normalized"))
 
 
+@query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g'))[:2048] AS model_text FROM documents")
+def model_text(spark, sf):
+    """What an embedding model is given: the first 2,048 characters of a normalised text, a limit that is the feature."""
+    return table(spark, sf, "documents").select("doc_id", T.model_text(F.col("text")).alias("model_text"))
+
+
 @query(f"SELECT doc_id, len(w) AS n_tokens, md5(array_to_string(w, ' ')) AS tokens_md5 FROM (SELECT doc_id, {RAW_TOKENS.format(x='text')} AS w FROM documents)")
 def bm25_tokens(spark, sf):
     w = T.lexical_tokens(F.col("text"), entities=False)

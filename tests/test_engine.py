@@ -165,7 +165,7 @@ def test_bm25_against_plain_python(spark):
     docs = [("1", "red fox", "a red fox jumps"), ("2", "blue", "the blue fox fox"), ("3", "", "nothing here"), ("4", "red red", "red")]
     q = "red fox red"
     d = spark.createDataFrame(docs, "id string, title string, description string")
-    got = {(r.id, r.field): r.score for r in retrieval.bm25(d, spark.createDataFrame([(1, q)], "id_query int, query string")).collect()}
+    got = {(r.id, f): r[f"{f}_score"] for r in retrieval.bm25(d, spark.createDataFrame([(1, q)], "id_query int, query string")).collect() for f in ("title", "description")}
     for f, at in (("title", 1), ("description", 2)):
         bags = {x[0]: [t for t in x[at].split() if len(t) > 1] for x in docs}
         mean = sum(map(len, bags.values())) / 4
@@ -197,6 +197,17 @@ def test_pool_order_and_provenance(spark):
         pool.select(retrieval.renamed_profiles(F.col("retrieval"), {"b": "a"})).collect()
 
 
+def test_bm25_keeps_the_best_of_each_query(spark, monkeypatch):
+    """What tasks pass on holds the first `top` of each query, ties included, over several blocks of queries."""
+    docs = spark.createDataFrame([(i, " ".join(f"t{(i * k) % 23}" for k in range(1, 9)), f"t{i % 7} t{i % 5}") for i in range(1_500)], "id long, title string, description string").repartition(5)
+    q = spark.createDataFrame([(i, f"t{i} t{i + 3} t{i % 4}") for i in range(12)], "id_query int, query string")
+    key = lambda df: [(r.id_query, r.id, r.score, r.rank) for r in retrieval.ranked(df, 10).orderBy("id_query", "rank").collect()]
+    whole = key(retrieval.bm25(docs, q))
+    monkeypatch.setattr(retrieval, "LEXICAL_BLOCK", 5)
+    few = retrieval.bm25(docs, q, top=10)
+    assert key(few) == whole and few.count() < retrieval.bm25(docs, q).count()
+
+
 def test_retriever_profiles(spark, tmp_path):
     docs = spark.createDataFrame([("1", "red fox", "jumps"), ("2", "blue", "fox"), ("3", "x", "y")], "id string, title string, description string")
     q = spark.createDataFrame([(1, "red fox"), (2, "blue")], "id_query int, query string")
