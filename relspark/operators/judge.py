@@ -49,17 +49,31 @@ def prompts(pairs: DataFrame, blueprint: str = "tabular", fields: Sequence[str]
     return pairs.withColumn("prompt", F.concat_ws("\n", F.lit(head), *parts, F.lit(b["answer"])))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body reads it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def parsed(raw: Column, relevance: Mapping[str, bool] = RELEVANCE, evidence: Sequence[str] = EVIDENCE_FIELDS) -> Column:
     """A judgment of a model's raw answer, as ANSWER: its values and derived relevance, or error with detail and raw_output.
 
     Negative judgments lose their evidence; a positive one needs a field among `evidence` and a quote that isn't blank.
+    The answer is cleaned, parsed and its values read once each.
     """
-    text = cleaned_output(raw)
-    value = F.try_parse_json(text)
-    kind = F.schema_of_variant(value)
-    is_object = kind.startswith("OBJECT")
-    names = F.coalesce(F.json_object_keys(F.when(is_object, text)), F.array().cast("array<string>"))
-    get = {k: F.try_variant_get(value, f"$.{k}", "string") for k in KEYS}
+    read = lambda x: F.struct(
+        x["text"].alias("text"),
+        x["value"].isNull().alias("broken"),
+        F.coalesce(F.schema_of_variant(x["value"]).startswith("OBJECT"), F.lit(False)).alias("is_object"),
+        F.coalesce(F.json_object_keys(x["text"]), F.array().cast("array<string>")).alias("names"),
+        *[F.try_variant_get(x["value"], f"$.{k}", "string").alias(k) for k in KEYS],
+    )
+    value = lambda text: F.struct(text.alias("text"), F.try_parse_json(text).alias("value"))
+    return let(let(let(cleaned_output(raw), value), read), lambda x: _judgment(x, relevance, evidence))
+
+
+def _judgment(x: Column, relevance: Mapping[str, bool], evidence: Sequence[str]) -> Column:
+    """The judgment of what parsed() has read of an answer."""
+    text, is_object, names, get = x["text"], x["is_object"], x["names"], {k: x[k] for k in KEYS}
     reason = F.trim(get["reason"])
     rel = relevance_of(reason, None, relevance)
     missing = F.filter(F.array(*[F.lit(k) for k in sorted(KEYS) if k in ("reason", "supporting_field", "quote", "main_resource")]), lambda k: ~F.array_contains(names, k))
@@ -71,10 +85,10 @@ def parsed(raw: Column, relevance: Mapping[str, bool] = RELEVANCE, evidence: Seq
         .when(rel & ~F.coalesce(get["supporting_field"].isin(*evidence), F.lit(False)), F.lit("supporting_field is no evidence field"))
         .when(rel & (F.trim(F.coalesce(get["quote"], F.lit(""))) == ""), F.lit("quote is missing"))
     )
-    error = F.when(value.isNull(), "invalid_json").when(detail.isNotNull(), "invalid_schema")
+    error = F.when(x["broken"], "invalid_json").when(detail.isNotNull(), "invalid_schema")
     fine = error.isNull()
     shown = lambda k: F.when(fine & (rel | F.lit(k not in ("supporting_field", "quote"))), reason if k == "reason" else get[k])
-    return F.struct(*[shown(k).alias(k) for k in KEYS], error.alias("error"), F.when(value.isNotNull(), detail).alias("detail"), F.when(error.isNotNull(), text).alias("raw_output"), F.when(fine, rel).alias("relevance"))
+    return F.struct(*[shown(k).alias(k) for k in KEYS], error.alias("error"), F.when(~x["broken"], detail).alias("detail"), F.when(error.isNotNull(), text).alias("raw_output"), F.when(fine, rel).alias("relevance"))
 
 
 def judged(pairs: DataFrame, judges: Mapping[str, Callable[[Sequence[str]], Sequence[str]]], attempts: int = 6, accept: Callable[[str], bool] | None = None) -> DataFrame:
