@@ -176,6 +176,16 @@ def plan(histogram: dict[int, int], size: int, groups: int = 96, small: int | No
     return rows
 
 
+def sequences(rows: list[tuple[int, int, int, int, int]]) -> int:
+    return max((s + high - low for _, low, high, s, _ in rows), default=0)
+
+
+def best_plan(histogram: dict[int, int], size: int, groups: int = 96) -> list[tuple[int, int, int, int, int]]:
+    """The plan with the fewest sequences, by which lengths are grouped: from a quarter of the size on, from an eighth, a
+    third or a half, or none, which is best fit decreasing alone. Of equal plans the first."""
+    return min((plan(histogram, size, groups, small) for small in (size // 4, size // 8, size // 3, size // 2, size)), key=sequences)
+
+
 def packed(docs: DataFrame, tokenizer: str, size: int = 1024, end: int | None = 2, groups: int = 96, with_ids: bool = False) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (gapless from 0), and ids if asked.
 
@@ -186,10 +196,10 @@ def packed(docs: DataFrame, tokenizer: str, size: int = 1024, end: int | None =
     rows = stored(pieces(docs, tokenizer, size, end, with_ids), "pieces")
     counts = stored(rows.groupBy("length", "part").agg(F.count("*").alias("n")), "counts")
     histogram = {int(r.length): int(r.n) for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `size` rows
-    places = spark.createDataFrame(plan(histogram, size, groups), "length long, low long, high long, sequence long, offset long")
+    places = spark.createDataFrame(best_plan(histogram, size, groups), "length long, low long, high long, sequence long, offset long")
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n"))
     ranked = rows.join(small_or_shuffled(before.select("length", "part", "before")), ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth"))
     here = (F.col("p.length") == F.col("r.length")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))
-    found = ranked.alias("r").join(F.broadcast(places.alias("p")), here)
+    found = ranked.alias("r").join(F.broadcast(places.alias("p")), here)  # runs of the plan: bounded by size and groups, not by the corpus
     more = ["r.ids"] if with_ids else []
     return found.select("r.doc_id", "r.piece", "r.start", "r.length", "r.ids_crc32", (F.col("sequence") + F.col("rank") - F.col("low")).alias("sequence_id"), F.col("p.offset").alias("offset"), *more)
