@@ -125,8 +125,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, cost: float = 1.0, epochs: i
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
-    """True for the rows that no label is learnt from."""
-    return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(folds)) == 0
+    """True for the rows that no label is learnt from; also for those with a null doc_id."""
+    return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(folds)) == 0, F.lit(True))
 
 
 def trained(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
