@@ -31,6 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with four-word sets of 0.8 or more alike, over the whole table."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
@@ -50,6 +51,7 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = compon
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base matches and entropy spans of every whole text."""
     found = scanned(table(spark, sf_dir, "documents"))
     counts = [count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
     return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
@@ -85,10 +87,12 @@ FROM d LEFT JOIN spans USING (row) GROUP BY d.row, d.doc_id
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table in four arrivals, compacted: where each row is stored."""
     return sharded(table(spark, sf_dir, "documents"), arrivals=4)
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of every document, learnt from the labels that are not held out."""
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").filter(~classifier.held_out()).select("doc_id", F.col("quality").alias("label"))
     found = classifier.scored(docs, classifier.trained(docs, labels))
@@ -96,10 +100,11 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text, of its edited text, and their likeness to it and to the next document."""
     found = fingerprinted(table(spark, sf_dir, "documents")).withColumnsRenamed({"fingerprint": "own", "edited_fingerprint": "other", "next_fingerprint": "following"})
     own, edited, following = F.col("own"), F.col("other"), F.col("following")
     texts = [F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256")]
-    return found.select("doc_id", *texts, written(own).alias("fingerprint"), written(edited).alias("edited_fingerprint"), likeness(own, edited).alias("near_edited"), likeness(own, following).alias("near_next"))
+    return found.select("doc_id", *texts, written(own).alias("fingerprint"), written(edited).alias("edited_fingerprint"), likeness(own, edited).alias("near_edited"), likeness(own, following).alias("near_next"), F.col("aligned").cast("long").alias("n_aligned"))
 
 
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,10 +149,12 @@ SELECT capture_id, host, day, coalesce(n, 0) AS n_active, coalesce(matches, '')
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of at most 1,024 tokens."""
     return packed(table(spark, sf_dir, "documents"), tokenizer_path(), size=1024, end=2)
 
 
 def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without the bytes that any 400-byte string covers which starts elsewhere too; has_repeats tells whether any went."""
     found = without_repeats(table(spark, sf_dir, "documents"), length=400)
     kept = F.octet_length("kept").cast("long")
     removed = F.col("n_bytes") - kept
@@ -167,6 +174,7 @@ FROM d JOIN kept USING (row) LEFT JOIN (SELECT row, count(*) AS n FROM cut GROUP
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which words of every document lie in ten-word windows of which benchmark items."""
     found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
     n_hit = F.size("at").cast("long")
@@ -174,6 +182,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and model scores of every document, learnt from those that are not held out."""
     found = lm.scored(table(spark, sf_dir, "documents"), training=lm.in_training())
     return found.select("doc_id", (~lm.in_training()).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 

@@ -2,8 +2,9 @@
 
 A run of K words is chosen if the least hash of its inner runs of S words lies at its start or its end. The choice
 depends on nothing outside the run, so two texts that share a passage choose the same runs within it, wherever it
-stands. The fingerprint is the SKETCH least hashes of the distinct chosen runs; the likeness of two fingerprints
-estimates the Jaccard similarity of their chosen runs, from the least hashes of the two together.
+stands; two texts are matched by place where they have the same run at the same word (aligned). The fingerprint is the
+SKETCH least hashes of the distinct chosen runs, or all below BOUND where those are more, so it grows with the text; the
+likeness of two fingerprints estimates the Jaccard similarity of their chosen runs, from the hashes that both would hold.
 
 Scale: fingerprints need no shuffle. Documents meet their successor in ascending doc_id by one shuffle: quantiles of
 doc_id cut the table into buckets of a bounded size, and the rows that open a bucket are also sent to the one before.
@@ -18,12 +19,14 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-#: Words in a run, words in an inner run, hashes in a fingerprint.
+#: Words in a run, words in an inner run, least hashes in a fingerprint.
 K, S, SKETCH = 4, 2, 128
+#: Under this a 32-bit hash is always held: one of 16.
+BOUND = -(2**31) + 2**28
 #: Characters in a run, where a text has no chosen run of words.
 GRAM = 6
-#: Rows in a bucket of consecutive documents on average, and most buckets.
-BUCKET_ROWS, MOST_BUCKETS = 2_000, 16_384
+#: Rows in a bucket of consecutive documents on average, and most buckets: of a larger table they get longer, and sorts spill.
+BUCKET_ROWS, MOST_BUCKETS = 2_000, 65_536
 
 
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
@@ -68,7 +71,7 @@ def _grams(text: Column) -> Column:
 
 
 def sketch(text: Column) -> Column:
-    """The least SKETCH 32-bit hashes, ascending; without words there is none.
+    """The least SKETCH 32-bit hashes, and all others below BOUND, ascending; without words there is none.
 
     Texts of any length are taken by words, so that all can be compared. Only one without a chosen run of words gives the
     syncmers of its runs of GRAM characters; one too short for any is a single run.
@@ -81,10 +84,17 @@ def sketch(text: Column) -> Column:
         either = lambda x, other: let(x, lambda x: F.when(F.size(x) > 0, x).otherwise(other))
         return F.when(F.size(words) == 0, none).otherwise(either(long, either(_chosen(_grams(text), lambda h, i: h), whole)))
 
-    least = lambda x: F.slice(F.sort_array(F.array_distinct(F.transform(x, lambda h: F.shiftright(h, 32).cast("int")))), 1, SKETCH)
+    low = lambda x: F.slice(x, F.lit(1), F.greatest(F.lit(SKETCH), F.size(F.filter(x, lambda h: h < BOUND))))
+    least = lambda x: let(F.sort_array(F.array_distinct(F.transform(x, lambda h: F.shiftright(h, 32).cast("int")))), low)
     return let(let(words_of(text), every), least)
 
 
+def aligned(a: Column, b: Column) -> Column:
+    """How many chosen runs two texts have at the same place."""
+    places = lambda t: F.transform(anchors(t), lambda x: F.xxhash64(x["hash"], x["place"]))
+    return F.size(F.array_intersect(places(a), places(b)))
+
+
 def written(fingerprint: Column) -> Column:
     """Eight hex digits for each hash."""
     return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), "")
@@ -92,23 +102,27 @@ def written(fingerprint: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """From 0 to 1. Two empty fingerprints are alike."""
-    u = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    part = let(u, lambda u: F.size(F.array_intersect(u, F.array_intersect(a, b))) / F.size(u))
+    whole = lambda x: F.when(F.size(x) < SKETCH, F.lit(2**31 - 1)).otherwise(F.element_at(x, -1))  # noqa: E731  up to where a sketch has all
+    held = lambda x, top: F.size(F.filter(x, lambda h: h <= top))
+    part = let(F.least(whole(a), whole(b)), lambda top: held(F.array_intersect(a, b), top) / held(F.array_union(a, b), top))
     return F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(part)
 
 
 def with_next(df: DataFrame, columns: list[str]) -> DataFrame:
     """df with next_<c> for each of columns: those of the row that follows by doc_id, then text; the last is followed by the first.
 
-    Rows with a null doc_id come last.
+    Rows with a null doc_id have no place in the order: each is followed by itself and follows no other, however many
+    there are, so they aren't shuffled.
     """
+    alone = df.filter("doc_id is null").select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
+    df = df.filter("doc_id is not null")
     n = df.count()
     if not n:
-        return df.select("*", *[F.col(c).alias(f"next_{c}") for c in columns])
-    key = F.coalesce(F.col("doc_id"), F.lit(2**63 - 1))
+        return alone
+    key = F.col("doc_id")
     buckets = max(1, min(MOST_BUCKETS, n // BUCKET_ROWS))
     at = [i / buckets for i in range(buckets)]
-    bounds = sorted(set(df.select(F.percentile_approx(key, at, 100_000).alias("q"), F.min(key).alias("m")).select(F.array_union(F.array("m"), "q")).first()[0]))
+    bounds = sorted(set(df.select(F.percentile_approx(key, at, max(100_000, 4 * buckets)).alias("q"), F.min(key).alias("m")).select(F.array_union(F.array("m"), "q")).first()[0]))
     width = max(1, int(len(bounds) ** 0.5))
     every, top = F.array(*[F.lit(b) for b in bounds]), F.array(*[F.lit(b) for b in bounds[::width]])
     block = F.size(F.filter(top, lambda b: b <= F.col("_key"))) - 1
@@ -119,18 +133,19 @@ def with_next(df: DataFrame, columns: list[str]) -> DataFrame:
     dealt = placed.withColumn("_to", F.explode(both)).withColumn("_b", F.col("_to.b")).withColumn("_g", F.col("_to.g"))
     order = Window.partitionBy("_b").orderBy("_g", "_key", "text")
     led = dealt.select(*df.columns, "_g", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
-    return led.filter("_g = 0").drop("_g")
+    return led.filter("_g = 0").drop("_g").unionByName(alone)
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, text, fingerprint (array), edited (the text with the last half of its
-    code points replaced by as many of the next document's first, or all), edited_fingerprint, next_fingerprint.
+    code points replaced by as many of the next document's first, or all), edited_fingerprint, next_fingerprint, aligned
+    (runs that the text and the edited text have at the same place).
 
-    Null texts count as empty; of rows with one doc_id the order is that of their texts; a single row is followed by
-    itself; other columns are ignored.
+    Null texts count as empty; of rows with one doc_id the order is that of their texts; a single row and one with a null
+    doc_id is followed by itself; other columns are ignored.
     """
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).withColumn("fingerprint", sketch(F.col("text")))
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
     out = with_next(df, ["text", "fingerprint"]).withColumn("edited", edited)
-    return out.select("doc_id", "text", "fingerprint", "edited", sketch(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint")
+    return out.select("doc_id", "text", "fingerprint", "edited", sketch(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint", aligned(F.col("text"), F.col("edited")).alias("aligned"))

@@ -262,6 +262,39 @@ def test_sketches_of_all_lengths_are_alike(spark):
     assert got[0].x > 0.8 and got[1].x > 0.6 and got[2].x > 0.8 and got[3].n > 1
 
 
+def test_fingerprints_equal_plain_python(spark):
+    """Chosen runs by hashes that Spark gives for the inner runs; sketch, likeness and places in plain Python."""
+    from pyspark.sql import functions as F
+
+    base = words(4_000, 8, 700)
+    xs = [" ".join(base), " ".join(base[:2_000] + words(2_000, 9, 700)), " ".join(base[5:300]), " ".join(base[:300]), "a b c d e", ""]
+    df = table(spark, xs)
+    lists = [x.split() for x in xs]
+    grams = sorted({tuple(w[i : i + n]) for w in lists for n in (1, 2) for i in range(len(w) - n + 1)})
+    one = dict(zip([g for g in grams if len(g) == 1], [r[0] for r in spark.createDataFrame([(g[0],) for g in grams if len(g) == 1], "a string").coalesce(1).select(F.xxhash64("a")).collect()], strict=True))
+    pairs = [g for g in grams if len(g) == 2]
+    two = dict(zip(pairs, [r[0] for r in spark.createDataFrame([(one[g[:1]], one[g[1:]]) for g in pairs], "a long, b long").coalesce(1).select(F.xxhash64("a", "b")).collect()], strict=True))
+    chosen = []
+    for w in lists:
+        m = [two[tuple(w[i : i + 2])] for i in range(len(w) - 1)]
+        chosen.append([(m[i], m[i + 2], i) for i in range(len(m) - 2) if min(m[i], m[i + 2]) <= m[i + 1]])
+    ends = sorted({c[:2] for cs in chosen for c in cs})
+    name = dict(zip(ends, [r[0] for r in spark.createDataFrame(ends, "a long, b long").coalesce(1).select(F.xxhash64("a", "b")).collect()], strict=True))
+    sketches = []
+    for cs in chosen:
+        h = sorted({name[c[:2]] >> 32 for c in cs})
+        sketches.append(h[: max(syncmers.SKETCH, sum(x < syncmers.BOUND for x in h))])
+    got = {r.doc_id: r.s for r in df.select("doc_id", syncmers.sketch(F.col("text")).alias("s")).collect()}
+    assert all(got[i] == s for i, s in enumerate(sketches) if chosen[i]) and len(got[0]) > syncmers.SKETCH
+    both = [(i, j) for i in range(4) for j in range(4)]
+    rows = spark.createDataFrame([(i, j, sketches[i], sketches[j], xs[i], xs[j]) for i, j in both], "i int, j int, a array<int>, b array<int>, x string, y string")
+    for r in rows.select("i", "j", syncmers.likeness(F.col("a"), F.col("b")).alias("v"), syncmers.aligned(F.col("x"), F.col("y")).alias("n")).collect():
+        a, b = ({name[c[:2]] >> 32 for c in chosen[k]} for k in (r.i, r.j))
+        top = min(s[-1] if len(s) >= syncmers.SKETCH else 2**31 for s in (sketches[r.i], sketches[r.j]))
+        assert r.v == len([x for x in a & b if x <= top]) / len([x for x in a | b if x <= top]) and abs(r.v - len(a & b) / len(a | b)) < 0.12
+        assert r.n == len({(name[c[:2]], c[2]) for c in chosen[r.i]} & {(name[c[:2]], c[2]) for c in chosen[r.j]})
+
+
 def test_next_document_over_buckets(spark):
     ids = [int(x**1.5) for x in range(9_000)]
     random.Random(1).shuffle(ids)
@@ -270,7 +303,9 @@ def test_next_document_over_buckets(spark):
     order = sorted(ids)
     assert got == {i: f"t{j}" for i, j in zip(order, order[1:] + order[:1], strict=True)}
     two = syncmers.with_next(table(spark, ["b", "a", "z", None], [1, 1, None, 3]), ["text"]).collect()
-    assert {(r.doc_id, r.text): r.next_text for r in two} == {(1, "a"): "b", (1, "b"): None, (3, None): "z", (None, "z"): "a"}
+    assert {(r.doc_id, r.text): r.next_text for r in two} == {(1, "a"): "b", (1, "b"): None, (3, None): "a", (None, "z"): "z"}
+    many = syncmers.with_next(table(spark, [str(i) for i in range(5_000)], [None] * 4_990 + [*range(10)]), ["text"]).collect()
+    assert len(many) == 5_000 and all(r.next_text == r.text for r in many if r.doc_id is None) and {r.doc_id: r.next_text for r in many if r.doc_id is not None} == {i: str(4_990 + (i + 1) % 10) for i in range(10)}
     assert syncmers.with_next(df.limit(0), ["text"]).count() == 0
 
 
@@ -332,7 +367,8 @@ def test_packing_plan(seed):
     r = random.Random(seed)
     h = Counter(min(1023, max(1, int(r.lognormvariate(5.5, 1)))) if seed % 2 else r.randrange(1, 1024) for _ in range((3, 50, 20_000)[seed % 3]))
     h[1024] = seed
-    rows = packing.plan(dict(h), 1024)
+    rows = packing.best_plan(dict(h), 1024)
+    assert packing.sequences(rows) <= min(packing.sequences(packing.plan(dict(h), 1024, 96, s)) for s in (256, 1024))
     used = Counter()
     for length, low, high, first, _ in rows:
         for k in range(high - low):
@@ -342,7 +378,7 @@ def test_packing_plan(seed):
         runs = sorted((low, high) for x, low, high, _, _ in rows if x == length)
         assert [0] * bool(n) == [low for low, _ in runs[:1]] and sum(b - a for a, b in runs) == n and all(x[1] == y[0] for x, y in itertools.pairwise(runs))
     if sum(h.values()) > 1_000:
-        assert len(used) <= 1.012 * sum(k * n for k, n in h.items()) / 1024 + 1
+        assert len(used) <= 1.003 * sum(k * n for k, n in h.items()) / 1024 + 1
 
 
 def brute_repeats(xs, length):

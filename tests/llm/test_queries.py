@@ -15,7 +15,7 @@ COLUMNS = {
     "op2_": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
     "op3_": "doc_id bigint, shard string, shard_rows bigint, shard_bytes bigint, version bigint",
     "op4_": "doc_id bigint, held_out boolean, score double, predicted int",
-    "op5_": "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
+    "op5_": "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_aligned bigint",
     "op6_": "capture_id bigint, host string, day int, n_active bigint, matches string, blocked boolean",
     "op7_": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
     "op8_": "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, has_repeats boolean",
