@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+import hashlib
 import json
 import math
 from dataclasses import dataclass, field
@@ -125,6 +127,20 @@ def parse_named(text: str) -> list[tuple[str, str]]:
     return out
 
 
+def provenance(settings: Settings, inputs: dict[str, str], models: dict | None = None) -> dict:
+    """What a run's results depend on: all settings, the MD5 of each input's text, and the model registry."""
+    require(bool(inputs) and all(isinstance(v, str) for v in inputs.values()), "inputs must map names to texts")
+    plain = json.loads(json.dumps(dataclasses.asdict(settings), sort_keys=True))
+    return {"settings": plain, "inputs": {k: hashlib.md5(v.encode()).hexdigest() for k, v in sorted(inputs.items())}, "models": checked_registry(models) if models else {}}
+
+
+def resumable(stored: dict | None, now: dict, ignored: tuple[str, ...] = ("attempts",)) -> None:
+    """Raises where a run's stored provenance is of other settings, inputs or models than the one that would go on."""
+    require(stored is not None, "results without provenance can't be resumed")
+    for part in ("settings", "inputs", "models"):
+        require(same_run(stored.get(part, {}), now[part], ignored), f"{part} differ from those of the results: {[k for k in now[part] if stored.get(part, {}).get(k) != now[part][k]]}")
+
+
 def same_run(old: dict, new: dict, ignored: tuple[str, ...] = ("max_attempts",)) -> bool:
     """Whether results of two runs can be mixed: equal but for the ignored keys, at any depth."""
 

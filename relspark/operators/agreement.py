@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
@@ -74,6 +74,30 @@ def mean_kappa(predicted: DataFrame, humans: DataFrame) -> DataFrame:
     return k.groupBy("source").agg(F.count("*").alias("humans"), F.when(F.count("kappa") == F.count("*"), F.avg("kappa")).alias("mean_kappa"))
 
 
+def kappas_by_rater(predicted: DataFrame, humans: DataFrame, raters: Sequence[str]) -> DataFrame:
+    """Per source: kappa_<rater> against every rater, and mean_kappa, null if one of them is. Raters are columns, so all
+    kappas are one aggregate."""
+    counts = _source_counts(predicted.join(columns_of(humans, raters), "item"), len(raters), F.lit(1), ["source"])
+    return counts.select("source", *_source_kappas(raters))
+
+
+def _source_counts(x: DataFrame, raters: int, w: Column, keys: Sequence[str]) -> DataFrame:
+    """Weighted n, pa, pb and pab of label against each of r0, r1 ..."""
+    s = lambda c: F.sum(F.when(c, w).otherwise(0))
+    p, out = F.col("label"), []
+    for i in range(raters):
+        t = F.col(f"r{i}")
+        both = p.isNotNull() & t.isNotNull()
+        out += [s(both).alias(f"n{i}"), s(both & p).alias(f"pa{i}"), s(both & t).alias(f"pb{i}"), s(p & t).alias(f"pab{i}")]
+    return x.groupBy(*keys).agg(*out)
+
+
+def _source_kappas(raters: Sequence[str]) -> list[Column]:
+    k = [M.cohen_kappa(*[F.col(f"{c}{i}") for c in ("n", "pa", "pb", "pab")]) for i in range(len(raters))]
+    mean = sum(k[1:], k[0]) / len(k)  # null if one is
+    return [*[x.alias(f"kappa_{r}") for x, r in zip(k, raters, strict=True)], mean.alias("mean_kappa")]
+
+
 def best_source(scores: DataFrame) -> DataFrame:
     """The source with the greatest mean kappa; the least name of equal ones."""
     return scores.filter("mean_kappa is not null").orderBy(F.desc("mean_kappa"), "source").limit(1)
@@ -146,6 +170,55 @@ def bootstrap_intervals(confusions: DataFrame, weights: DataFrame, confidence: f
     return per.groupBy("source").agg(F.count("*").alias("iterations"), *bounds)
 
 
+def _bounds(values: DataFrame, keys: Sequence[str], names: Sequence[str], confidence: float) -> DataFrame:
+    """Percentile intervals over the rows of each of keys, as <name>_ci_low and <name>_ci_high."""
+    tail = (1 - confidence) / 2
+    ends = [F.percentile(F.col(m), q).alias(f"{m}_ci_{e}") for m in names for q, e in ((tail, "low"), (1 - tail, "high"))]
+    return values.groupBy(*keys).agg(F.count("*").alias("iterations"), *ends)
+
+
+def human_intervals(labels: DataFrame, raters: Sequence[str], weights: DataFrame, confidence: float = 0.95) -> DataFrame:
+    """One row: percentile intervals of each two raters' kappa, of Fleiss' kappa and of exact agreement.
+
+    weights is (iteration, item, w), shared by all metrics, which come from one aggregate by iteration.
+    """
+    x, w, k = columns_of(labels, raters).join(weights, "item"), F.col("w"), len(raters)
+    r = [F.col(f"r{i}") for i in range(k)]
+    s = lambda c, v=w: F.sum(F.when(c, v).otherwise(0))
+    full, p = r[0].isNotNull(), r[0].cast("int")
+    for c in r[1:]:
+        full, p = full & c.isNotNull(), p + c.cast("int")
+    sums = [s(full).alias("n"), s(full, w * (p * p + (k - p) * (k - p) - k) / (k * (k - 1))).alias("same"), s(full, w * p).alias("positive"), s(full & ((p == 0) | (p == k))).alias("unanimous"), F.sum("w").alias("all")]
+    for i, j in combinations(range(k), 2):
+        both = r[i].isNotNull() & r[j].isNotNull()
+        sums += [s(both).alias(f"n_{i}_{j}"), s(both & r[i]).alias(f"pa_{i}_{j}"), s(both & r[j]).alias(f"pb_{i}_{j}"), s(r[i] & r[j]).alias(f"pab_{i}_{j}")]
+    share = M.ratio(F.col("positive"), F.col("n") * k)
+    out = {f"cohen_kappa_{raters[i]}_{raters[j]}": M.cohen_kappa(*[F.col(f"{c}_{i}_{j}") for c in ("n", "pa", "pb", "pab")]) for i, j in combinations(range(k), 2)}
+    out |= {"fleiss_kappa": M.kappa_of(M.ratio(F.col("same"), F.col("n")), share * share + (1 - share) * (1 - share)), "exact_agreement": M.ratio(F.col("unanimous"), F.col("all"))}
+    return _bounds(x.groupBy("iteration").agg(*sums).select(*[v.alias(n) for n, v in out.items()]), [], list(out), confidence)
+
+
+def rater_intervals(predicted: DataFrame, humans: DataFrame, raters: Sequence[str], weights: DataFrame, confidence: float = 0.95) -> DataFrame:
+    """Per source: percentile intervals of its kappa against each rater and of their mean."""
+    x = predicted.join(columns_of(humans, raters), "item").join(weights, "item")
+    per = _source_counts(x, len(raters), F.col("w"), ["source", "iteration"]).select("source", *_source_kappas(raters))
+    return _bounds(per, ["source"], [*[f"kappa_{r}" for r in raters], "mean_kappa"], confidence)
+
+
+def reason_intervals(reasons: DataFrame, raters: int, categories: Sequence[str], weights: DataFrame, confidence: float = 0.95) -> DataFrame:
+    """One row: percentile intervals of Fleiss' kappa over reasons and of the rate of unanimous ones."""
+    per = reasons.groupBy("item").agg(*[F.count_if(F.col("reason") == c).alias(f"c{i}") for i, c in enumerate(categories)])
+    c, w = [F.col(f"c{i}") for i in range(len(categories))], F.col("w")
+    total, squares = sum(c[1:], c[0]), sum((x * x for x in c[1:]), c[0] * c[0])
+    x = per.withColumn("full", total == raters).withColumn("same", (squares - raters) / (raters * (raters - 1))).join(weights, "item")
+    s = lambda v: F.sum(F.when(F.col("full"), v).otherwise(0))
+    sums = x.groupBy("iteration").agg(s(w).alias("n"), s(w * F.col("same")).alias("same"), s(F.when(F.col("same") == 1, w).otherwise(0)).alias("unanimous"), F.sum("w").alias("all"), *[s(w * k).alias(f"t{i}") for i, k in enumerate(c)])
+    share = [M.ratio(F.col(f"t{i}"), F.col("n") * raters) for i in range(len(c))]
+    chance = sum((x * x for x in share[1:]), share[0] * share[0])
+    values = sums.select(M.kappa_of(M.ratio(F.col("same"), F.col("n")), chance).alias("fleiss_kappa"), M.ratio(F.col("unanimous"), F.col("all")).alias("unanimous_rate"))
+    return _bounds(values, [], ["fleiss_kappa", "unanimous_rate"], confidence)
+
+
 def human_report(labels: DataFrame, raters: Sequence[str]) -> DataFrame:
     """pairwise_kappa with Fleiss' kappa and exact agreement on every row."""
     one = fleiss_kappa(labels, len(raters), "label").select("fleiss_kappa").crossJoin(F.broadcast(exact_agreement(labels, len(raters)).select("exact_agreement")))  # one row each

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .contracts import all_rows, none_of, same_keys, unique
+from .contracts import enforced, none_of, same_keys
 
 KEYS = ["id_query", "id_dataset"]
 
@@ -15,7 +15,7 @@ KEYS = ["id_query", "id_dataset"]
 def audits(humans: DataFrame, raters: int) -> DataFrame:
     """Per pair of humans (id_query, id_dataset, annotator, relevance, reason): labels by annotator, the strict majority's relevance and reason.
 
-    Raises unless every pair has all raters once.
+    The plan fails at a pair that lacks one of the raters or has one twice.
     """
     rows = humans.groupBy(*KEYS).agg(
         F.count("*").alias("n"),
@@ -23,7 +23,7 @@ def audits(humans: DataFrame, raters: int) -> DataFrame:
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("annotator", F.struct("relevance", "reason"))))).alias("labels"),
         (2 * F.count_if("relevance") > raters).alias("majority_relevance"),
     )
-    all_rows(rows.select(*KEYS, "n", "annotators"), (F.col("n") == raters) & (F.col("annotators") == raters), "pairs without all annotators")
+    rows = enforced(rows, (F.col("n") == raters) & (F.col("annotators") == raters), "pairs without all annotators", *KEYS)
     most = humans.filter("reason is not null").groupBy(*KEYS, "reason").agg(F.count("*").alias("c")).groupBy(*KEYS).agg(F.max(F.struct("c", "reason")).alias("top"))
     reason = F.when(2 * F.col("top.c") > raters, F.col("top.reason"))
     return rows.join(most, KEYS, "left").select(*KEYS, F.struct("labels", "majority_relevance", reason.alias("majority_reason")).alias("human_audit"))
@@ -32,18 +32,19 @@ def audits(humans: DataFrame, raters: int) -> DataFrame:
 def assembled(pool: DataFrame, annotations: DataFrame, default_judge: str, audit: DataFrame | None = None, judges: Sequence[str] | None = None) -> DataFrame:
     """pool (id_query, id_dataset, fields, retrieval) with annotations by judge, the default judge's relevance and the audit of sampled pairs.
 
-    Raises if pairs repeat, judges differ from those configured, or the default judge has no valid judgment of a pair.
+    The plan fails if pairs repeat, judges differ from those configured, or the default judge has no valid judgment of a
+    pair. The checks are part of it, so inputs are read once, and the count of a pair's rows shares the join's shuffle.
     """
-    unique(pool, *KEYS)
+    pool = enforced(pool.withColumn("_rows", F.count("*").over(Window.partitionBy(*KEYS))), F.col("_rows") == 1, "duplicates of a pair", *KEYS).drop("_rows")
     own = annotations.groupBy(*KEYS).agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("judge", F.struct("reason", "relevance", "error"))))).alias("annotations"),
         F.max(F.when(F.col("judge") == default_judge, F.col("relevance"))).alias("default_relevance"),
     )
     out = pool.join(own, KEYS, "left").withColumn("default_relevance_source", F.lit(default_judge))
-    all_rows(out.select(*KEYS, "default_relevance"), F.col("default_relevance").isNotNull(), "no valid default judgment")
+    out = enforced(out, F.col("default_relevance").isNotNull(), "no valid default judgment", *KEYS)
     if judges is not None:
         names = F.array_sort(F.array(*[F.lit(j) for j in judges]))
-        all_rows(out.select(*KEYS, F.array_sort(F.map_keys("annotations")).alias("judges")), F.col("judges") == names, "unexpected judges")
+        out = enforced(out, F.array_sort(F.map_keys("annotations")) == names, "unexpected judges", *KEYS)
     return out if audit is None else out.join(audit, KEYS, "left")
 
 

@@ -23,6 +23,12 @@ def all_rows(df: DataFrame, condition: Column, message: str) -> DataFrame:
     return df
 
 
+def enforced(df: DataFrame, condition: Column, message: str, *shown: str) -> DataFrame:
+    """df, whose plan itself fails at a row without the condition; nothing runs before the result is read."""
+    what = F.concat(F.lit(f"{message}: "), F.to_json(F.struct(*shown)))
+    return df.filter(F.when(F.coalesce(condition, F.lit(False)), F.lit(True)).otherwise(F.raise_error(what).cast("boolean")))
+
+
 def unique(df: DataFrame, *keys: str) -> DataFrame:
     none_of(df.groupBy(*keys).agg(F.count("*").alias("rows")).filter("rows > 1"), f"duplicates of {keys}")
     return df

@@ -228,6 +228,14 @@ def renamed_profiles(retrieval: Column, aliases: Mapping[str, str]) -> Column:
     return F.transform_keys(retrieval, lambda k, _: F.coalesce(F.element_at(names, k), k)) if aliases else retrieval
 
 
+def payload(hits: DataFrame, fields: Sequence[str], fallbacks: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """Hits with each field as trimmed text: its own, the first of its fallbacks that isn't blank, or empty. Other columns stay."""
+    text = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit(""))
+    have = set(hits.columns)
+    out = {f: F.coalesce(*[text(c) for c in (f, *(fallbacks or {}).get(f, ())) if c in have], F.lit("")) for f in fields}
+    return hits.withColumns(out)
+
+
 def memberships(pool: DataFrame) -> DataFrame:
     """(id_query, id, profile, rank, score), a row for each profile of a pooled pair."""
     return pool.select("id_query", "id", F.explode("retrieval").alias("profile", "hit")).select("id_query", "id", "profile", "hit.rank", "hit.score")

@@ -278,20 +278,78 @@ SELECT source, count(*) AS iterations, """ + ", ".join(f"round(quantile_cont({m}
   SELECT source, it, {KAPPA} AS kappa, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1
   FROM (SELECT *, (tp + tn) / n AS po, ((tp + fp) * (tp + fn) + (n - tp - fp) * (n - tp - fn)) / (n * n) AS pe FROM (
     SELECT judge AS source, it, sum(w)::DOUBLE AS n, coalesce(sum(w) FILTER (relevance AND truth), 0)::DOUBLE AS tp, coalesce(sum(w) FILTER (NOT relevance AND NOT truth), 0)::DOUBLE AS tn, coalesce(sum(w) FILTER (relevance AND NOT truth), 0)::DOUBLE AS fp, coalesce(sum(w) FILTER (NOT relevance AND truth), 0)::DOUBLE AS fn
-    FROM (SELECT doc_id, judge, relevance, truth FROM v JOIN t USING (id_dataset) WHERE relevance IS NOT NULL) JOIN (SELECT it, doc_id, 1 + (it * 7 + doc_id * 13) % 3 AS w FROM range(40) r(it), documents) USING (doc_id) GROUP BY ALL)))
+    FROM (SELECT doc_id, judge, relevance, truth FROM v JOIN t USING (id_dataset) WHERE relevance IS NOT NULL) JOIN (SELECT it, doc_id, 1 + (it * 7 + doc_id * 13) % 3 AS w FROM range(200) r(it), documents) USING (doc_id) GROUP BY ALL)))
 GROUP BY source""", TRUTH))
 def bootstrap_intervals(spark, sf):
     """Weights by arithmetic, so that SQL has them too; the tests hold the seeded resamples against plain Python."""
     both = predicted_of(spark, sf).join(truth_of(spark, sf).select("item", F.col("label").alias("truth")), "item")
     pos = F.substring("item", F.lit(2), F.length("item")).cast("long")
     it = F.col("iteration")
-    weights = table(spark, sf, "documents").select(F.explode(F.sequence(F.lit(0), F.lit(39))).alias("iteration"), F.col("doc_id").alias("pos")).select("iteration", "pos", (1 + (it * 7 + F.col("pos") * 13) % 3).alias("w"))
+    weights = table(spark, sf, "documents").select(F.explode(F.sequence(F.lit(0), F.lit(199))).alias("iteration"), F.col("doc_id").alias("pos")).select("iteration", "pos", (1 + (it * 7 + F.col("pos") * 13) % 3).alias("w"))
     return rounded(agreement.bootstrap_intervals(both.withColumn("pos", pos), weights))
 
 
 @query()
 def bootstrap_resamples(spark, sf):
-    return agreement.resamples(spark, 300, 200, 0)
+    """The seeded resamples of an audit: 300 items, 10,000 times."""
+    return agreement.resamples(spark, 300, 10_000, 0)
+
+
+#: Resamples of the queries over all documents.
+ITERATIONS = 200
+WEIGHTS = f"wts AS (SELECT it, doc_id, 1 + (it * 7 + doc_id * 13) % 3 AS w FROM range({ITERATIONS}) r(it), documents)"
+WIDE = "hw AS (SELECT doc_id, " + ", ".join(f"max(CASE WHEN annotator = '{h}' THEN relevance::INT END) AS {h}" for h in HUMANS) + " FROM h GROUP BY doc_id)"
+
+
+def weights_of(spark, sf):
+    """(iteration, item, w) by arithmetic, so that SQL has the same."""
+    it = F.col("iteration")
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("item"), F.explode(F.sequence(F.lit(0), F.lit(ITERATIONS - 1))).alias("iteration"))
+    return d.select("iteration", "item", (1 + (it * 7 + F.col("item") * 13) % 3).alias("w"))
+
+
+def _kappa_sql(n: str, pa: str, pb: str, pab: str) -> str:
+    po, pe = f"(({n} - {pa} - {pb} + 2 * {pab}) / {n})", f"(({pa} * {pb} + ({n} - {pa}) * ({n} - {pb})) / ({n} * {n}))"
+    return f"(CASE WHEN 1 - {pe} = 0 THEN CASE WHEN abs({po} - 1) <= 1e-9 THEN 1.0 ELSE 0.0 END ELSE ({po} - {pe}) / (1 - {pe}) END)"
+
+
+def _bounds_sql(names) -> str:
+    return ", ".join(f"round(quantile_cont({m}, {q}), 6) AS {m}_ci_{e}" for m in names for q, e in ((0.025, "low"), (0.975, "high")))
+
+
+def _items_long(df, name):
+    return df.select(F.col("doc_id").alias("item"), F.col(name).alias("source"), F.col("relevance").alias("label"))
+
+
+PAIRS = [("h1", "h2"), ("h1", "h3"), ("h2", "h3")]
+
+
+@query(with_base("SELECT count(*) AS iterations, " + _bounds_sql([f"cohen_kappa_{a}_{b}" for a, b in PAIRS] + ["fleiss_kappa", "exact_agreement"]) + " FROM (SELECT " + ", ".join(_kappa_sql("n", a, b, f"{a}{b}") + f" AS cohen_kappa_{a}_{b}" for a, b in PAIRS)
+    + ", (same / n - (q * q + (1 - q) * (1 - q))) / (1 - (q * q + (1 - q) * (1 - q))) AS fleiss_kappa, una / n AS exact_agreement FROM (SELECT *, (h1 + h2 + h3) / (3 * n) AS q FROM (SELECT it, sum(w)::DOUBLE AS n, "
+    + ", ".join(f"sum(w * {h})::DOUBLE AS {h}" for h in HUMANS) + ", " + ", ".join(f"sum(w * {a} * {b})::DOUBLE AS {a}{b}" for a, b in PAIRS)
+    + ", sum(w * CASE WHEN h1 + h2 + h3 IN (0, 3) THEN 1.0 ELSE 1.0 / 3 END) AS same, sum(w * CASE WHEN h1 + h2 + h3 IN (0, 3) THEN 1 ELSE 0 END)::DOUBLE AS una FROM hw JOIN wts USING (doc_id) GROUP BY it)))", WIDE, WEIGHTS))
+def human_agreement_intervals(spark, sf):
+    return rounded(agreement.human_intervals(items(humans_of(spark, sf), "annotator"), HUMANS, weights_of(spark, sf)))
+
+
+BY_HUMAN = "bh AS (SELECT judge AS source, {it} " + ", ".join(f"sum(w)::DOUBLE AS n, sum(w * v.relevance::INT)::DOUBLE AS pa, sum(w * {h})::DOUBLE AS pb_{h}, sum(w * v.relevance::INT * {h})::DOUBLE AS pab_{h}" if h == "h1" else f"sum(w * {h})::DOUBLE AS pb_{h}, sum(w * v.relevance::INT * {h})::DOUBLE AS pab_{h}" for h in HUMANS) + " FROM v JOIN hw USING (doc_id) JOIN {w} USING (doc_id) WHERE v.relevance IS NOT NULL GROUP BY ALL), kh AS (SELECT source, " + ", ".join(_kappa_sql("n", "pa", f"pb_{h}", f"pab_{h}") + f" AS kappa_{h}" for h in HUMANS) + " FROM bh)"
+
+
+@query(with_base("SELECT source, " + ", ".join(f"round(kappa_{h}, 6) AS kappa_{h}" for h in HUMANS) + ", round((kappa_h1 + kappa_h2 + kappa_h3) / 3, 6) AS mean_kappa FROM kh", WIDE, BY_HUMAN.format(it="", w="(SELECT doc_id, 1 AS w FROM documents)")))
+def mean_kappa_by_human(spark, sf):
+    return rounded(agreement.kappas_by_rater(_items_long(votes_of(spark, sf), "judge"), items(humans_of(spark, sf), "annotator"), HUMANS))
+
+
+@query(with_base("SELECT source, count(*) AS iterations, " + _bounds_sql([f"kappa_{h}" for h in HUMANS] + ["mean_kappa"]) + " FROM (SELECT *, (kappa_h1 + kappa_h2 + kappa_h3) / 3 AS mean_kappa FROM kh) GROUP BY source", WIDE, WEIGHTS, BY_HUMAN.format(it="it,", w="wts")))
+def mean_kappa_intervals(spark, sf):
+    return rounded(agreement.rater_intervals(_items_long(votes_of(spark, sf), "judge"), items(humans_of(spark, sf), "annotator"), HUMANS, weights_of(spark, sf)))
+
+
+@query(with_base("SELECT count(*) AS iterations, " + _bounds_sql(["fleiss_kappa", "unanimous_rate"]) + " FROM (SELECT (same / n - pe) / (1 - pe) AS fleiss_kappa, una / n AS unanimous_rate FROM (SELECT *, " + " + ".join(f"(t{i} / (3 * n)) * (t{i} / (3 * n))" for i in range(len(REASONS)))
+    + " AS pe FROM (SELECT it, sum(w)::DOUBLE AS n, sum(w * (" + " + ".join(f"c{i} * c{i}" for i in range(len(REASONS))) + " - 3) / 6.0) AS same, sum(CASE WHEN greatest(" + ", ".join(f"c{i}" for i in range(len(REASONS))) + ") = 3 THEN w ELSE 0 END)::DOUBLE AS una, " + ", ".join(f"sum(w * c{i})::DOUBLE AS t{i}" for i in range(len(REASONS)))
+    + " FROM (SELECT doc_id, " + ", ".join(f"count(*) FILTER (reason = '{r}') AS c{i}" for i, r in enumerate(REASONS)) + " FROM h GROUP BY doc_id) JOIN wts USING (doc_id) GROUP BY it)))", WEIGHTS))
+def reason_agreement_intervals(spark, sf):
+    return rounded(agreement.reason_intervals(items(humans_of(spark, sf), "annotator"), 3, REASONS, weights_of(spark, sf)))
 
 
 def datasets_of(spark: SparkSession, sf: str) -> DataFrame:
@@ -411,9 +469,11 @@ def missing_pairs_anti(spark, sf):
     return pairs_of(spark, sf).join(table(spark, sf, "labels"), "doc_id", "left_anti").select("id_query", "id_dataset")
 
 
-@query("SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'missing' ELSE 'extra' END AS side FROM (SELECT DISTINCT o_custkey AS k FROM orders) a FULL JOIN (SELECT DISTINCT c_custkey AS k FROM customer) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL")
+@query("SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'missing' ELSE 'extra' END AS side FROM (SELECT DISTINCT o_custkey + 5 AS k FROM orders) a FULL JOIN (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_custkey % 10 <> 3) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL")
 def coverage_full_outer(spark, sf):
-    return contracts.key_differences(table(spark, sf, "orders").select(F.col("o_custkey").alias("k")), table(spark, sf, "customer").select(F.col("c_custkey").alias("k")), ["k"])
+    """Keys of one side only, of both sides: those of orders are shifted, and some customers are left out."""
+    b = table(spark, sf, "customer").filter("c_custkey % 10 != 3").select(F.col("c_custkey").alias("k"))
+    return contracts.key_differences(table(spark, sf, "orders").select((F.col("o_custkey") + 5).alias("k")), b, ["k"])
 
 
 @query(with_base("SELECT pairs.id_query, pairs.id_dataset, a.majority_relevance, a.majority_reason, a.majority_relevance IS NOT NULL AS audited FROM pairs LEFT JOIN (SELECT id_dataset, truth AS majority_relevance, why AS majority_reason FROM t WHERE id_dataset IN (SELECT 'd' || doc_id FROM labels)) a USING (id_dataset)", TRUTH))
@@ -516,8 +576,7 @@ def llm_output_clean(spark, sf):
     i = F.col("doc_id").cast("string")
     reason = F.when(F.col("doc_id") % 2 == 0, "direct_match").otherwise("generic")
     raw = F.concat(F.lit('```json\n{"reason": "'), reason, F.lit('",\r "n": [1, '), i, F.lit(', ],}\n```'))
-    fixed = F.regexp_replace(T.cleaned_output(raw), r",\s*\]", "]")
-    return table(spark, sf, "documents").select("doc_id", F.regexp_replace(fixed, '",  ?"n"', '", "n"').alias("cleaned"))
+    return table(spark, sf, "documents").select("doc_id", T.cleaned_output(raw).alias("cleaned"))
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'invalid_json' WHEN doc_id % 4 IN (1, 3) THEN 'invalid_schema' END AS error, CASE WHEN doc_id % 4 = 2 THEN 'subtype' END AS reason, CASE WHEN doc_id % 4 = 2 THEN true END AS relevance FROM documents""")
@@ -593,10 +652,10 @@ def header_compose(spark, sf):
     return table(spark, sf, "documents").select(T.header_line(names, F.lit("|")).alias("header")).distinct()
 
 
-@query("SELECT doc_id AS id, string_split(text, chr(10))[1] AS title FROM documents WHERE trim(string_split(text, chr(10))[1]) <> '' AND doc_id % 5 <> 0")
+@query("SELECT doc_id AS id, trim(string_split(text, chr(10))[1]) AS title, md5(trim(text)) AS description_md5, 'x' AS header, 'r' || chr(10) || 'c' AS content, trim(regexp_replace(string_split(text, chr(10))[1], '\\s+', ' ', 'g'))[:2048] AS dense_title_text, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))[:2048]) AS dense_description_md5 FROM documents WHERE trim(string_split(text, chr(10))[1]) <> '' AND doc_id % 5 <> 0")
 def dataset_records(spark, sf):
     d = datasets_of(spark, sf).select(F.col("id").cast("string").alias("identifier"), F.lit("m").alias("meta_file"), "title", F.when(F.col("id") % 5 != 0, F.col("description")).alias("description"), F.array(F.lit("x")).alias("field_names"), F.lit(";").alias("delimiter"), F.lit("r").alias("rows_text"), F.lit("c").alias("columns_text"))
-    return collection.dataset_records(d).select(F.col("id").cast("long").alias("id"), "title")
+    return collection.dataset_records(d).select(F.col("id").cast("long").alias("id"), "title", F.md5("description").alias("description_md5"), "header", "content", "dense_title_text", F.md5("dense_description_text").alias("dense_description_md5"))
 
 
 @query("WITH " + POOL + " SELECT profile, count(*) AS memberships, count(DISTINCT id_query) AS queries, (SELECT count(*) FROM (SELECT DISTINCT id_query, id FROM top)) AS pool_pairs FROM top GROUP BY profile")
@@ -641,10 +700,11 @@ def first_resource_with_path(spark, sf):
     return collection.first_with_path(r).select("meta_file", F.col("doc_id").alias("first_doc"))
 
 
-@query("SELECT item_id, 'Instruct: Retrieve semantically similar text' || chr(10) || 'Query: ' AS head FROM benchmark")
+@query("SELECT item_id, 'Instruct: Retrieve semantically similar text' || chr(10) || 'Query: ' || lower(trim(regexp_replace(text, '[^a-zA-Z0-9]+', ' ', 'g'))) || '! yes, ' || item_id || '?!' AS prompt FROM benchmark")
 def query_prompts(spark, sf):
-    p = retrieval.query_prompt(F.col("text"))
-    return table(spark, sf, "benchmark").select("item_id", F.regexp_extract(p, r"(?s)^(.*?Query: )", 1).alias("head"))
+    """Whole prompts: the texts without marks, so that SQL can say what the marks that are added become."""
+    q = F.concat(F.regexp_replace("text", "[^a-zA-Z0-9]+", "  "), F.lit("!!!yes ,"), F.col("item_id"), F.lit("??!?"))
+    return table(spark, sf, "benchmark").select("item_id", retrieval.query_prompt(q).alias("prompt"))
 
 
 @query("WITH " + BM25 + " SELECT id_query, id, score, CAST(rank AS INTEGER) AS rank FROM lex WHERE rank <= 20")
@@ -655,8 +715,12 @@ def profile_retrieval(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import formats  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import formats  # noqa: F401
+
     return dict(SQL)

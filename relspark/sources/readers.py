@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ContractError
 from ..functions.text import pair_key, parsed_pair, strict_bool
-from ..operators.contracts import all_rows, checked_queries, none_of, not_empty, unique
+from ..operators.contracts import all_rows, checked_queries, none_of, not_empty, same_keys, unique
 
 FIELDS = ("id", "title", "description", "header", "content", "metadato_fileName", "resource_fileName")
 HIT = "struct<" + ", ".join(f"{f}:string" for f in FIELDS) + ", retrieval:map<string,struct<rank:int,score:double>>{}>"
@@ -100,6 +102,51 @@ def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
     return not_empty(spark.read.json(path), "the benchmark is empty")
 
 
+def _covering(rows: DataFrame, sample: DataFrame | None) -> DataFrame:
+    if sample is not None:
+        same_keys(sample, rows, ["pair_key"])
+    return rows
+
+
+def read_aggregation(spark: SparkSession, path: str, sample: DataFrame | None = None) -> DataFrame:
+    """Panels of a CSV: 0 to 3 valid votes, a label if and only if there are three, a pair once a panel; with a sample
+    (pair_key), exactly its pairs."""
+    rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    missing = {"pair_key", "combination", "valid_votes", "aggregated_relevance"} - set(rows.columns)
+    if missing:
+        raise ContractError(f"{path} lacks {sorted(missing)}")
+    label = strict_bool(F.col("aggregated_relevance"))
+    rows = rows.withColumn("valid_votes", F.expr("try_cast(valid_votes as int)")).withColumn("_known", F.col("aggregated_relevance").isNull() | label.isNotNull()).withColumn("aggregated_relevance", label)
+    all_rows(rows, F.col("valid_votes").between(0, 3) & F.col("_known") & ((F.col("valid_votes") == 3) == F.col("aggregated_relevance").isNotNull()), "panels that break the contract")
+    return _covering(unique(rows.drop("_known"), "pair_key", "combination"), sample)
+
+
+def read_majority(spark: SparkSession, path: str, sample: DataFrame | None = None) -> DataFrame:
+    """Human majorities of a CSV: strict booleans, a pair once; with a sample (pair_key), exactly its pairs."""
+    rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    missing = {"pair_key", "majority_relevance"} - set(rows.columns)
+    if missing:
+        raise ContractError(f"{path} lacks {sorted(missing)}")
+    rows = rows.withColumn("majority_relevance", strict_bool(F.col("majority_relevance")))
+    return _covering(unique(all_rows(rows, F.col("majority_relevance").isNotNull(), "majorities must be true or false"), "pair_key"), sample)
+
+
+def validated_benchmark(df: DataFrame, default_judge: str, judges: Sequence[str] | None = None) -> DataFrame:
+    """A benchmark with its fields, a pair once, labels of the named default judge, its judges, and a relevant pair for
+    every query; raises otherwise."""
+    needed = {"id_query", "id_dataset", "default_relevance", "default_relevance_source", "annotations"}
+    if missing := needed - set(df.columns):
+        raise ContractError(f"the benchmark lacks {sorted(missing)}")
+    all_rows(df.select("id_query", "id_dataset", "default_relevance", "default_relevance_source"), F.col("id_query").isNotNull() & (F.trim("id_dataset") != "") & F.col("default_relevance").isNotNull() & (F.col("default_relevance_source") == default_judge), "pairs that break the contract")
+    unique(df, "id_query", "id_dataset")
+    if judges is not None:
+        fields = set(df.schema["annotations"].dataType.names) if hasattr(df.schema["annotations"].dataType, "names") else None
+        if fields is not None and fields != set(judges):
+            raise ContractError(f"annotations are of {sorted(fields)}")
+    none_of(df.groupBy("id_query").agg(F.count_if("default_relevance").alias("relevant")).filter("relevant = 0"), "queries without a relevant pair")
+    return df
+
+
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """(meta_file, ord, doc): raw JSON texts of meta_* files in order of name. Keys keep their order in the text."""
     from pyspark.sql import Window

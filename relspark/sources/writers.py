@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ContractError
@@ -44,5 +45,36 @@ def write_jsonl(df: DataFrame, path: str, overwrite: bool = False) -> None:
     published(df, path, "json", overwrite, ignoreNullFields="false")
 
 
+def workspace(spark: SparkSession, name: str) -> str:
+    """A new path for intermediate files in the folder that executors share: that of spark.checkpoint.dir, or the warehouse."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir") + "/_relspark"
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def write_query_documents(df: DataFrame, path: str, overwrite: bool = False) -> None:
+    """A JSON document for each row, query_<id_query>.json; files are renamed, their content stays on executors."""
+    fs, p = _fs(df, path)
+    if fs.exists(p(path)) and not overwrite:
+        raise ContractError(f"{path} exists")
+    stage = f"{path.rstrip('/')}._stage-{uuid.uuid4().hex[:8]}"
+    rows = df.select("id_query", F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+    rows.repartition("id_query").write.partitionBy("id_query").text(stage)
+    if overwrite:
+        fs.delete(p(path), True)
+    fs.mkdirs(p(path))
+    for folder in fs.listStatus(p(stage)):
+        number = folder.getPath().getName().rpartition("=")[2]
+        for f in fs.listStatus(folder.getPath()) if folder.isDirectory() else ():
+            if f.getPath().getName().startswith("part-") and not fs.rename(f.getPath(), p(f"{path}/query_{number}.json")):
+                raise ContractError(f"query {number} can't be published")
+    fs.delete(p(stage), True)
+
+
+def write_summary(df: DataFrame, path: str, settings: dict | None = None, overwrite: bool = False) -> None:
+    """The one row of df as a JSON document {summary, settings}."""
+    given = F.lit(json.dumps(settings or {}, sort_keys=True))
+    published(df.coalesce(1).select(F.struct(*df.columns).alias("summary"), given.alias("settings")), path, "json", overwrite, ignoreNullFields="false")
+
+
 def write_tables(df: DataFrame, path: str, overwrite: bool = False) -> None:
     published(df, path, "parquet", overwrite)

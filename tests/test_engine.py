@@ -386,10 +386,14 @@ def test_assembly_and_round_trip(spark, tmp_path):
         writers.write_jsonl(bench, path)
     with pytest.raises(ContractError):
         assemble.verified(bench, back.limit(1), ["annotations"])
-    with pytest.raises(ContractError):
-        assemble.audits(humans.limit(2), 3)
-    with pytest.raises(ContractError):
-        assemble.assembled(pool, ann.filter("id_dataset = 'a'"), "j1")
+    with pytest.raises(Exception, match="pairs without all annotators"):
+        assemble.audits(humans.limit(2), 3).collect()
+    with pytest.raises(Exception, match="no valid default judgment"):
+        assemble.assembled(pool, ann.filter("id_dataset = 'a'"), "j1").collect()
+    with pytest.raises(Exception, match="duplicates of a pair"):
+        assemble.assembled(pool.unionByName(pool), ann, "j1").count()
+    with pytest.raises(Exception, match="unexpected judges"):
+        assemble.assembled(pool, ann, "j1", None, ["j1"]).select("id_query").collect()
 
 
 def test_readers(spark, tmp_path):
@@ -451,3 +455,79 @@ def test_settings():
         with pytest.raises(ContractError):
             config.parse_named(bad)
     assert config.same_run({"a": {"max_attempts": 1, "b": 2}}, {"a": {"b": 2, "max_attempts": 9}}) and not config.same_run({"a": 1}, {"a": 2})
+
+
+def test_readers_of_labels_raise(spark, tmp_path):
+    def csv(name, text):
+        (tmp_path / name).write_text(text)
+        return f"file://{tmp_path}/{name}"
+
+    head = "pair_key,combination,valid_votes,aggregated_relevance\n"
+    fine = csv("a.csv", head + "1||a,x,3,True\n1||b,x,2,\n")
+    assert readers.read_aggregation(spark, fine).count() == 2
+    for k, bad in enumerate(("1||a,x,4,True\n", "1||a,x,3,\n", "1||a,x,2,True\n", "1||a,x,,\n", "1||a,x,3,yes\n", "1||a,x,3,True\n1||a,x,3,True\n")):
+        with pytest.raises(ContractError):
+            readers.read_aggregation(spark, csv(f"bad{k}.csv", head + bad))
+    with pytest.raises(ContractError, match="lacks"):
+        readers.read_aggregation(spark, csv("c.csv", "pair_key\n1\n"))
+    sample = spark.createDataFrame([("1||a",)], "pair_key string")
+    with pytest.raises(ContractError, match="unexpected"):
+        readers.read_aggregation(spark, fine, sample)
+    assert readers.read_majority(spark, csv("m.csv", "pair_key,majority_relevance\n1||a,False\n"), sample).first().majority_relevance is False
+    for k, bad in enumerate(("1||a,\n", "1||a,maybe\n", "1||a,true\n1||a,true\n", "1||b,true\n")):
+        with pytest.raises(ContractError):
+            readers.read_majority(spark, csv(f"m{k}.csv", "pair_key,majority_relevance\n" + bad), sample)
+
+
+def test_validated_benchmark_raises(spark):
+    make = lambda rows: spark.createDataFrame(rows, "id_query int, id_dataset string, default_relevance boolean, default_relevance_source string, annotations map<string,string>")
+    fine = [(1, "a", True, "j", {}), (1, "b", False, "j", {})]
+    assert readers.validated_benchmark(make(fine), "j").count() == 2
+    for bad in ([(1, "a", None, "j", {})], [(1, "a", True, "k", {})], [(1, " ", True, "j", {})], [*fine, fine[0]], [(2, "c", False, "j", {}), *fine]):
+        with pytest.raises(ContractError):
+            readers.validated_benchmark(make(bad), "j")
+    with pytest.raises(ContractError, match="lacks"):
+        readers.validated_benchmark(make(fine).drop("annotations"), "j")
+
+
+def test_provenance_guards_a_resume():
+    old = config.provenance(config.Settings(judges=("a",)), {"queries": "q", "pool": "p"}, {"m": {"platform": "ollama"}})
+    config.resumable(old, config.provenance(config.Settings(judges=("a",), attempts=9), {"queries": "q", "pool": "p"}, {"m": {"platform": "ollama"}}))
+    for settings, inputs, models in ((config.Settings(judges=("b",)), {"queries": "q", "pool": "p"}, {"m": {"platform": "ollama"}}), (config.Settings(judges=("a",)), {"queries": "q2", "pool": "p"}, {"m": {"platform": "ollama"}}), (config.Settings(judges=("a",)), {"queries": "q", "pool": "p"}, {"m": {"platform": "openai"}})):
+        with pytest.raises(ContractError, match="differ"):
+            config.resumable(old, config.provenance(settings, inputs, models))
+    with pytest.raises(ContractError):
+        config.resumable(None, old)
+
+
+def test_payload_falls_back(spark):
+    df = spark.createDataFrame([(" a ", "x", None), ("", "b", "c"), (None, None, None)], "title string, name string, other string")
+    got = retrieval.payload(df, ("title", "none"), {"title": ("name", "other")}).select("title", "none").collect()
+    assert [tuple(r) for r in got] == [("a", ""), ("b", ""), ("", "")]
+
+
+def test_intervals_against_plain_python(spark):
+    """Kappas, agreement and their bounds for drawn weights, against sums in Python."""
+    r = random.Random(4)
+    labels = {(i, h): r.random() < 0.4 + 0.2 * (i % 3) for i in range(40) for h in ("h1", "h2", "h3") if (i, h) != (3, "h2")}
+    weights = [(it, i, r.randrange(3)) for it in range(25) for i in range(40)]
+    df = spark.createDataFrame([(i, h, x) for (i, h), x in labels.items()], "item int, rater string, label boolean")
+    w = spark.createDataFrame(weights, "iteration int, item int, w int")
+
+    def kappa(pairs):
+        n, pa, pb, pab = (sum(w for _, _, w in pairs), sum(w for a, _, w in pairs if a), sum(w for _, b, w in pairs if b), sum(w for a, b, w in pairs if a and b))
+        po, pe = (n - pa - pb + 2 * pab) / n, (pa * pb + (n - pa) * (n - pb)) / (n * n)
+        return (po - pe) / (1 - pe)
+
+    by = {}
+    for it, i, x in weights:
+        by.setdefault(it, []).append((i, x))
+    want = sorted(kappa([(labels[i, "h1"], labels[i, "h3"], x) for i, x in rows]) for rows in by.values())
+    got = agreement.human_intervals(df, ["h1", "h2", "h3"], w).first()
+    at = lambda q: (lambda p: want[int(p)] + (p - int(p)) * (want[min(int(p) + 1, 24)] - want[int(p)]))(q * 24)
+    assert abs(got.cohen_kappa_h1_h3_ci_low - at(0.025)) < 1e-9 and abs(got.cohen_kappa_h1_h3_ci_high - at(0.975)) < 1e-9 and got.iterations == 25
+    one = spark.createDataFrame([(i, "s", labels[i, "h1"]) for i in range(40)], "item int, source string, label boolean")
+    row = agreement.kappas_by_rater(one, df, ["h1", "h2", "h3"]).first()
+    assert abs(row.kappa_h1 - 1) < 1e-9 and abs(row.mean_kappa - (row.kappa_h1 + row.kappa_h2 + row.kappa_h3) / 3) < 1e-9
+    flat = agreement.rater_intervals(one, df, ["h1", "h3"], w).first()
+    assert flat.kappa_h1_ci_low == flat.kappa_h1_ci_high == 1 and abs(flat.kappa_h3_ci_low - at(0.025)) < 1e-9
