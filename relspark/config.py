@@ -74,7 +74,7 @@ class Settings:
     def __post_init__(self) -> None:
         unique_strings(list(self.judges), "judges", 0)
         unique_strings(list(self.profiles), "profiles", 0)
-        for name, least in (("panel_size", 1), ("pool_depth", 1), ("sample_size", 1), ("annotators", 1), ("bootstrap_iterations", 1), ("content_limit", 1), ("attempts", 1)):
+        for name, least in (("panel_size", 1), ("pool_depth", 1), ("sample_size", 1), ("annotators", 1), ("bootstrap_iterations", 1), ("content_limit", 0), ("attempts", 1)):
             whole_value(getattr(self, name), name, least)
         require(self.panel_size == 3, "panels have three judges")
         require(0 < number_value(self.confidence, "confidence") < 1, "confidence must be between 0 and 1")
@@ -91,6 +91,102 @@ class Settings:
         return Settings(**{k: tuple(v) if isinstance(v, list) else v for k, v in raw.items()})
 
 
+def _whole(least: int | None = None):
+    return lambda x, name: whole_value(x, name, least)
+
+
+def _flag(*allowed: bool):
+    def check(x: object, name: str) -> None:
+        require(isinstance(x, bool) and (not allowed or x in allowed), f"{name} must be {' or '.join(str(a).lower() for a in allowed or (True, False))}")
+
+    return check
+
+
+def _one_of(*allowed: object):
+    def check(x: object, name: str) -> None:
+        x = x.strip() if isinstance(x, str) else x
+        close = isinstance(x, float) and any(isinstance(a, float) and math.isclose(x, a) for a in allowed)
+        require(close or (not isinstance(x, bool) and x in allowed), f"{name} must be one of {list(allowed)}")
+
+    return check
+
+
+#: The parts of a benchmark configuration, by section, and what each must be.
+BENCHMARK_FORMAT = {
+    "benchmark.default_relevance_source": text_value,
+    "collection.filtering.require_title": _flag(),
+    "collection.filtering.require_description": _flag(),
+    "collection.filtering.minimum_data_rows": _whole(1),
+    "collection.resource_selection.resources_per_dataset": _whole(1),
+    "collection.content_sampling.maximum_rows": _whole(1),
+    "collection.content_sampling.random_seed": _whole(),
+    "collection.content_sampling.file_order": _one_of("filesystem", "sorted"),
+    "candidate_pool.pooling_depth": _whole(1),
+    "llm_annotation.content_character_limit": _whole(0),
+    "llm_annotation.maximum_attempts": _whole(1),
+    "llm_annotation.few_shots": _flag(),
+    "llm_annotation.few_shot_examples": _whole(0),
+    "llm_annotation.prompt_blueprint": text_value,
+    "llm_annotation.models": unique_strings,
+    "llm_annotation.input_components": unique_strings,
+    "llm_annotation.reason_labels": unique_strings,
+    "llm_annotation.positive_evidence_fields": unique_strings,
+    "llm_annotation.invalid_output_policy": _one_of("missing"),
+    "human_audit.sample_size": _whole(1),
+    "human_audit.sample_seed": _whole(),
+    "human_audit.annotators": _whole(1),
+    "human_audit.sampling": _one_of("simple_random_without_replacement"),
+    "human_audit.human_majority.binary_rule": _one_of("2_out_of_3"),
+    "judge_aggregation.judge_combination_size": _one_of(3),
+    "judge_aggregation.number_of_combinations": _whole(1),
+    "judge_aggregation.aggregation_rule": _one_of("2_out_of_3_majority_vote"),
+    "judge_aggregation.require_all_three_valid_judgments": _flag(True),
+    "judge_aggregation.missing_judgment_policy": _one_of("missing"),
+    "evaluation.bootstrap.confidence_level": _one_of(0.95),
+    "evaluation.bootstrap.method": _one_of("percentile"),
+    "evaluation.bootstrap.iterations": _whole(1),
+    "evaluation.bootstrap.seed": _whole(),
+    "evaluation.bootstrap.resampling_unit": _one_of("query_dataset_pair"),
+    "evaluation.bootstrap.paired": _flag(True),
+}
+
+
+def part_of(raw: object, path: str) -> object:
+    """The value at a dotted path; whatever is on the way must be an object."""
+    at = []
+    for key in path.split("."):
+        require(isinstance(raw, dict), f"{'.'.join(at) or 'the configuration'} must be an object")
+        at.append(key)
+        raw = raw.get(key)
+    return raw
+
+
+def benchmark_settings(raw: dict) -> Settings:
+    """Settings of a benchmark configuration, each part checked by itself, then parts against each other."""
+    got = {path: part_of(raw, path) for path in BENCHMARK_FORMAT}
+    for path, check in BENCHMARK_FORMAT.items():
+        check(got[path], path)
+    llm = lambda name: got[f"llm_annotation.{name}"]
+    require(not llm("few_shots") or llm("few_shot_examples") > 0, "few_shot_examples must be above 0 where few_shots is true")
+    inputs, reasons, evidence = llm("input_components"), llm("reason_labels"), llm("positive_evidence_fields")
+    require("query" in inputs, "input_components must contain query")
+    meaning = part_of(raw, "llm_annotation.relevance_mapping")
+    require(isinstance(meaning, dict) and set(meaning) == set(reasons) and all(isinstance(v, bool) for v in meaning.values()), f"relevance_mapping must map exactly {reasons} to booleans")
+    require("query" not in evidence and set(evidence) <= set(inputs), "positive_evidence_fields must be input components other than query")
+    cleared = part_of(raw, "llm_annotation.negative_evidence_normalization")
+    require(cleared == {"supporting_field": None, "quote": None}, "negative_evidence_normalization must set supporting_field and quote to null")
+    judges = llm("models")
+    require(got["judge_aggregation.number_of_combinations"] == math.comb(len(judges), 3), "number_of_combinations must be that of three of the models")
+    require(got["benchmark.default_relevance_source"] in judges, "default_relevance_source must be one of the models")
+    profiles = part_of(raw, "candidate_pool.profiles") or {}
+    require(isinstance(profiles, dict), "candidate_pool.profiles must be an object")
+    return Settings(
+        judges=tuple(judges), profiles=tuple(profiles), relevance=dict(meaning), evidence_fields=tuple(evidence), pool_depth=got["candidate_pool.pooling_depth"],
+        default_judge=got["benchmark.default_relevance_source"], sample_size=got["human_audit.sample_size"], sample_seed=got["human_audit.sample_seed"], annotators=got["human_audit.annotators"],
+        bootstrap_iterations=got["evaluation.bootstrap.iterations"], bootstrap_seed=got["evaluation.bootstrap.seed"], confidence=float(got["evaluation.bootstrap.confidence_level"]), content_limit=llm("content_character_limit"), attempts=llm("maximum_attempts"),
+    )
+
+
 #: Keys that a registry entry of each backend may have.
 BACKEND_KEYS = {"ollama": {"model", "platform", "generation"}, "openai": {"model", "platform", "generation", "api"}, "vertex": {"model", "platform", "generation", "project", "location"}}
 

@@ -114,6 +114,20 @@ class Analyzer:
         return lemmas(found)
 
 
+def singular(word: str) -> str:
+    """The S-stemmer of Harman (1991), for English: only plural endings go. An Analyzer's morphology for whole lists is
+    `singulars`."""
+    if len(word) > 3 and word.endswith("ies") and word[-4] not in "ae":
+        return word[:-3] + "y"
+    if len(word) > 3 and word.endswith("es") and word[-3] not in "aeo":
+        return word[:-1]
+    return word[:-1] if len(word) > 2 and word.endswith("s") and word[-2] not in "us" else word
+
+
+def singulars(words: list[str]) -> list[str]:
+    return [singular(w) for w in words]
+
+
 def read_stopwords(text: str) -> tuple[str, ...]:
     """Words of a stopword file's text: one a line, # starts a comment."""
     return tuple(dict.fromkeys(w.lower() for line in text.splitlines() if (w := line.partition("#")[0].strip())))

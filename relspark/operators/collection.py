@@ -57,6 +57,25 @@ def file_name_of(file_name: Column, path: Column) -> Column:
     return F.coalesce(F.nullif(file_name, F.lit("")), F.regexp_extract(F.coalesce(path, F.lit("")), "([^/]+)/*$", 1), F.lit(""))
 
 
+def invalid_identifier(container: Column, key: Column, file_name: Column, path: Column) -> Column:
+    """What an invalid resource is called: its key in an object of resources, else its file name or path."""
+    return F.when(container == "dict", key).otherwise(F.coalesce(F.nullif(file_name, F.lit("")), path))
+
+
+def resource_name(file_name: Column, name: Column, title: Column) -> Column:
+    """File name, name or title, the first that isn't empty."""
+    return F.coalesce(*[F.nullif(x, F.lit("")) for x in (file_name, name, title)], F.lit("Recurso"))  # the last is a fixed value
+
+
+def resource_path(path: Column, download: Column, access: Column) -> Column:
+    return F.coalesce(*[F.nullif(x, F.lit("")) for x in (path, download, access)])
+
+
+def unpadded_lines(content: Column) -> Column:
+    """Lines without white space, separators and quotes that pad their ends."""
+    return F.transform(F.split(content, r"\r\n|\r|\n", -1), lambda line: F.regexp_replace(line, r"(?U)\s+$", ""))
+
+
 def delimiter_of(declared: Column, name: Column, default: str = ";", tsv_first: bool = False) -> Column:
     """The declared delimiter, a tab for .tsv, or the default; tsv_first puts the ending before the declaration."""
     said = F.when(declared == "\t", declared).otherwise(F.nullif(F.trim(F.coalesce(declared, F.lit(""))), F.lit("")))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import EVIDENCE_FIELDS, RELEVANCE, ContractError
+from ..config import EVIDENCE_FIELDS, RELEVANCE, ContractError, checked_registry
 from ..functions.text import cleaned_output
 from .contracts import none_of
 from .votes import relevance_of
@@ -26,6 +27,55 @@ BLUEPRINTS = {
 }
 
 
+#: A second set of texts, for judges with little context.
+BLUEPRINTS["short"] = {
+    "instructions": "Does the dataset answer the query?",
+    "answer": BLUEPRINTS["tabular"]["answer"],
+    "example": "{query} / {title}: {answer}",
+}
+
+
+def blueprint_part(blueprint: str, part: str) -> str:
+    """The instructions, answer form or example form of a blueprint."""
+    if blueprint not in BLUEPRINTS or part not in BLUEPRINTS[blueprint]:
+        raise ContractError(f"there is no {part} of a blueprint {blueprint}")
+    return BLUEPRINTS[blueprint][part]
+
+
+def few_shots(blueprint: str, examples: Sequence[Mapping[str, str]], shots: int) -> list[str]:
+    """The texts of the first `shots` examples; fewer than that raise."""
+    if shots > len(examples):
+        raise ContractError(f"{shots} examples are asked for, {len(examples)} are there")
+    return [blueprint_part(blueprint, "example").format(**e) for e in examples[:shots]]
+
+
+class PerProcess:
+    """A function whose costly part, made by `factory`, is built once in each worker process, at its first call."""
+
+    _built: dict[str, Callable] = {}
+
+    def __init__(self, name: str, factory: Callable[[], Callable]):
+        self.name, self.factory = name, factory
+
+    def __call__(self, *args):
+        if self.name not in PerProcess._built:
+            PerProcess._built[self.name] = self.factory()
+        return PerProcess._built[self.name](*args)
+
+
+def dispatched(models: dict, connectors: Mapping[str, Callable[[str, dict], Callable[[Sequence[str]], Sequence[str]]]]) -> dict[str, Callable[[Sequence[str]], Sequence[str]]]:
+    """A judge for each model of a checked registry, by the connector of its platform, connected once a process.
+
+    A connector takes the model's name and settings and returns a function from prompts to answers.
+    """
+    out = {}
+    for model, backend in checked_registry(models).items():
+        if backend not in connectors:
+            raise ContractError(f"{model} needs a connector to {backend}")
+        out[model] = PerProcess(f"judge {model}", functools.partial(connectors[backend], model, models[model]))
+    return out
+
+
 def input_fields(components: Sequence[str]) -> list[str]:
     """What a judge sees of a dataset: all components but the query."""
     return [c for c in components if c != "query"]
@@ -41,7 +91,7 @@ def response_schema(relevance: Mapping[str, bool] = RELEVANCE, evidence: Sequenc
 def prompts(pairs: DataFrame, blueprint: str = "tabular", fields: Sequence[str] = ("title", "description", "header", "content"), limits: Mapping[str, int] | None = None, examples: Sequence[Mapping[str, str]] = (), shots: int = 0) -> DataFrame:
     """pairs with a prompt: instructions, the first `shots` examples, the query and the fields cut to their limits."""
     b, limits = BLUEPRINTS[blueprint], {"content": 500} if limits is None else limits
-    head = "\n\n".join([b["instructions"], *(b["example"].format(**e) for e in examples[:shots])])
+    head = "\n\n".join([b["instructions"], *few_shots(blueprint, examples, shots)])
     parts = [F.concat(F.lit("Query: "), F.col("query"))]
     for f in fields:
         value = F.coalesce(F.col(f), F.lit(""))
@@ -147,6 +197,24 @@ def unchanged_evidence(stored: DataFrame, pool: DataFrame, fields: Sequence[str]
     none_of(x.filter("there is null or not (old <=> now)").select(*keys), "evidence has changed under judgments")
 
 
+def has_valid(done: DataFrame, model: str) -> bool:
+    """Whether any judgment of a model can be used again."""
+    return not done.filter((F.col("model") == model) & F.col("error").isNull()).isEmpty()
+
+
+def stored_contract(annotations: DataFrame) -> DataFrame:
+    """annotations with ok: an error, or else a relevance that follows from the reason."""
+    fine = F.col("relevance").isNotNull() & (F.col("relevance") == relevance_of(F.col("reason")))
+    return annotations.withColumn("ok", F.col("error").isNotNull() | F.coalesce(fine, F.lit(False)))
+
+
+def by_judge(annotations: DataFrame, sample: DataFrame, judges: Sequence[str]) -> DataFrame:
+    """Per pair of the sample (pair_key): each judge's relevance and reason in columns of their own, by one aggregate."""
+    own = annotations.join(sample.select("pair_key").distinct(), "pair_key", "left_semi")
+    pick = lambda j, c: F.max(F.when(F.col("judge") == j, F.col(c))).alias(f"{j}_{c}")
+    return own.groupBy("pair_key").agg(*[pick(j, c) for j in judges for c in ("relevance", "reason")])
+
+
 def consistent(annotations: DataFrame, relevance: Mapping[str, bool] = RELEVANCE) -> DataFrame:
     """annotations with relevance from their reasons; raises where a stored relevance contradicts it."""
     derived = relevance_of(F.col("reason"), F.col("error"), relevance)

@@ -276,3 +276,56 @@ def reason_counts(spark, sf):
     """Reasons that have a meaning; every one is among those of the settings."""
     v = votes_of(spark, sf).filter("reason is not null")
     return contracts.enforced(v, F.col("reason").isin(*REASONS), "unknown reason", "reason").groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query("WITH " + RESOURCES + " SELECT meta_file, res_key, CASE WHEN container = 'dict' THEN res_key WHEN k = 0 THEN 'p' || (doc_id * 3) ELSE 'f' || k || '.csv' END AS identifier, CASE k WHEN 0 THEN 'n' WHEN 1 THEN 'f1.csv' ELSE 'f2.csv' END AS name, CASE k WHEN 1 THEN 'd' ELSE 'p' || (doc_id * 3 + k) END AS location FROM res")
+def resource_names(spark, sf):
+    """What invalid resources are called, and the name and location of each by their fallbacks."""
+    r = readers.resources_of(_metadata(spark, sf))
+    file = F.when(F.col("ord") > 0, F.col("file_name")).otherwise("")
+    path = F.when(F.col("ord") != 1, F.col("path"))
+    found = collection.invalid_identifier(F.col("container"), F.col("res_key"), file, F.col("path"))
+    return r.select("meta_file", "res_key", found.alias("identifier"), collection.resource_name(file, F.lit("n"), F.lit("t")).alias("name"), collection.resource_path(path, F.lit("d"), F.lit("a")).alias("location"))
+
+
+@query("SELECT doc_id, md5(array_to_string(list_transform(string_split_regex(text, '\\r\\n|\\r|\\n'), lambda x: rtrim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13) || chr(10))), '|')) AS lines_md5 FROM documents".replace("\\\\", "\\"))
+def unpadded_lines(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.md5(F.array_join(collection.unpadded_lines(F.col("text")), "|")).alias("lines_md5"))
+
+
+@query(with_base("SELECT id_query || '||' || id_dataset AS pair_key, " + ", ".join(f"max(CASE WHEN judge = '{j}' THEN relevance END) AS {j}_relevance, max(CASE WHEN judge = '{j}' THEN reason END) AS {j}_reason" for j in JUDGES) + " FROM v WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY ALL"))
+def sampled_labels_by_judge(spark, sf):
+    v = votes_of(spark, sf).withColumn("pair_key", T.pair_key(F.col("id_query"), F.col("id_dataset")))
+    sample = pairs_of(spark, sf).join(table(spark, sf, "labels"), "doc_id", "left_semi").select(T.pair_key(F.col("id_query"), F.col("id_dataset")).alias("pair_key"))
+    return judge.by_judge(v, sample, JUDGES)
+
+
+@query(with_base("SELECT id_query, id_dataset, judge, doc_id % 4 <> 1 OR relevance IS NULL AS ok FROM v"))
+def stored_annotation_contract(spark, sf):
+    """Judgments with an error, or a relevance that follows from their reason; every fourth was turned round."""
+    v = votes_of(spark, sf).withColumn("error", F.when(F.col("relevance").isNull(), "invalid_json"))
+    v = v.withColumn("relevance", F.when(F.col("doc_id") % 4 == 1, ~F.col("relevance")).otherwise(F.col("relevance")))
+    return judge.stored_contract(v).select("id_query", "id_dataset", "judge", "ok")
+
+
+@query("SELECT doc_id, 'query address city toe ' || lang AS terms FROM documents")
+def stemmed_terms(spark, sf):
+    """An Analyzer with a morphology."""
+    x = F.concat(F.lit("Queries ADDRESS cities toes "), F.col("lang"))
+    return table(spark, sf, "documents").select("doc_id", F.array_join(T.Analyzer(entities=False, morphology=T.singulars)(x), " ").alias("terms"))
+
+
+@query("SELECT conv_id, turn, md5('Does the dataset answer the query?' || chr(10) || chr(10) || 'q1 / t1: yes' || chr(10) || 'Query: ' || role || chr(10) || 'Title: ' || coalesce(text, '') || chr(10) || 'Answer with one JSON object with the keys \"main_resource\", \"scope\", \"supporting_field\", \"quote\" and \"reason\".') AS prompt_md5 FROM conversations")
+def prompt_with_examples(spark, sf):
+    """Another blueprint, one example, and no limit."""
+    p = table(spark, sf, "conversations").select("conv_id", "turn", F.col("role").alias("query"), F.col("text").alias("title"))
+    shots = [{"query": "q1", "title": "t1", "answer": "yes"}, {"query": "q2", "title": "t2", "answer": "no"}]
+    return judge.prompts(p, "short", ("title",), {}, shots, 1).select("conv_id", "turn", F.md5("prompt").alias("prompt_md5"))
+
+
+@query(with_base("SELECT id_query, id_dataset, model, 1 AS attempts, '{\"reason\": \"' || reason || '\"}' AS raw FROM pairs, (VALUES ('small', 'generic'), ('large', 'subtype')) t(model, reason)"))
+def dispatched_judges(spark, sf):
+    """Judges by the platform of their registry entry, connected once in each process."""
+    connector = lambda reason: lambda model, entry: lambda prompts: [f'{{"reason": "{reason}"}}'] * len(prompts)
+    models = {"small": {"platform": "Ollama"}, "large": {"platform": "OpenAI API"}}
+    return judge.judged(pairs_of(spark, sf).withColumn("prompt", F.col("id_dataset")), judge.dispatched(models, {"ollama": connector("generic"), "openai": connector("subtype")}))

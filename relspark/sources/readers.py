@@ -71,8 +71,11 @@ def read_pair_filter(spark: SparkSession, path: str) -> DataFrame:
     return unique(not_empty(out, "the pair filter is empty"), "id_query", "id_dataset")
 
 
-def read_humans(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """Annotations of each named annotator's CSV, with annotator; empty cells are null and relevance is a strict boolean."""
+def read_humans(spark: SparkSession, paths: dict[str, str], sample: DataFrame | None = None) -> DataFrame:
+    """Annotations of each named annotator's CSV, with annotator; empty cells are null and relevance is a strict boolean.
+
+    With a sample (pair_key), each annotator has exactly its pairs.
+    """
     out = None
     for name, path in paths.items():
         part = spark.read.csv(path, header=True, multiLine=True, escape='"').withColumn("annotator", F.lit(name))
@@ -81,6 +84,7 @@ def read_humans(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
             raise ContractError(f"{path} lacks {sorted(missing)}")
         part = part.withColumn("label", strict_bool(F.col("relevance")))
         part = unique(all_rows(part, F.col("label").isNotNull(), "relevance must be true or false"), "pair_key").withColumn("relevance", F.col("label")).drop("label")
+        part = _covering(part, sample)
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 

@@ -76,5 +76,19 @@ def write_summary(df: DataFrame, path: str, settings: dict | None = None, overwr
     published(df.coalesce(1).select(F.struct(*df.columns).alias("summary"), given.alias("settings")), path, "json", overwrite, ignoreNullFields="false")
 
 
+def copied(spark: SparkSession, source: str, target: str) -> bool:
+    """source copied to target through Hadoop's file systems, if it is there; whether it was."""
+    p, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    a, b = p(source), p(target)
+    if not a.getFileSystem(conf).exists(a):
+        return False
+    return bool(spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, True, conf))
+
+
+def in_query_order(df: DataFrame, *more: str) -> DataFrame:
+    """Rows by query number, then dataset id, then more: the order in which tables are published."""
+    return df.orderBy(F.expr("try_cast(id_query as bigint)"), *[c for c in ("id_dataset",) if c in df.columns], *more)
+
+
 def write_tables(df: DataFrame, path: str, overwrite: bool = False) -> None:
     published(df, path, "parquet", overwrite)

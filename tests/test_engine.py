@@ -531,3 +531,55 @@ def test_intervals_against_plain_python(spark):
     assert abs(row.kappa_h1 - 1) < 1e-9 and abs(row.mean_kappa - (row.kappa_h1 + row.kappa_h2 + row.kappa_h3) / 3) < 1e-9
     flat = agreement.rater_intervals(one, df, ["h1", "h3"], w).first()
     assert flat.kappa_h1_ci_low == flat.kappa_h1_ci_high == 1 and abs(flat.kappa_h3_ci_low - at(0.025)) < 1e-9
+
+
+def benchmark_config():
+    return {
+        "benchmark": {"default_relevance_source": "a"},
+        "collection": {"filtering": {"require_title": True, "require_description": True, "minimum_data_rows": 1}, "resource_selection": {"resources_per_dataset": 1}, "content_sampling": {"maximum_rows": 20, "random_seed": 0, "file_order": "sorted"}},
+        "candidate_pool": {"pooling_depth": 50, "profiles": {"bm25": {}}},
+        "llm_annotation": {
+            "models": ["a", "b", "c"], "few_shots": True, "few_shot_examples": 2, "input_components": ["query", "title"], "content_character_limit": 0, "maximum_attempts": 6, "prompt_blueprint": "tabular",
+            "reason_labels": ["x", "y"], "relevance_mapping": {"x": True, "y": False}, "positive_evidence_fields": ["title"], "invalid_output_policy": "missing", "negative_evidence_normalization": {"supporting_field": None, "quote": None},
+        },
+        "human_audit": {"sample_size": 300, "sample_seed": 1, "annotators": 3, "sampling": "simple_random_without_replacement", "human_majority": {"binary_rule": "2_out_of_3"}},
+        "judge_aggregation": {"judge_combination_size": 3, "number_of_combinations": 1, "aggregation_rule": "2_out_of_3_majority_vote", "require_all_three_valid_judgments": True, "missing_judgment_policy": "missing"},
+        "evaluation": {"bootstrap": {"confidence_level": 0.95, "method": "percentile", "iterations": 10_000, "seed": 0, "resampling_unit": "query_dataset_pair", "paired": True}},
+    }
+
+
+def test_benchmark_configuration():
+    s = config.benchmark_settings(benchmark_config())
+    assert s.judges == ("a", "b", "c") and s.default_judge == "a" and s.bootstrap_iterations == 10_000 and s.relevance == {"x": True, "y": False} and s.profiles == ("bm25",)
+    bad = [("llm_annotation.few_shot_examples", 0), ("llm_annotation.input_components", ["title"]), ("llm_annotation.relevance_mapping", {"x": True}), ("llm_annotation.relevance_mapping", {"x": True, "y": 1}), ("llm_annotation.positive_evidence_fields", ["query"]),
+           ("llm_annotation.positive_evidence_fields", ["header"]), ("llm_annotation.negative_evidence_normalization", {"quote": None}), ("llm_annotation.invalid_output_policy", "drop"), ("judge_aggregation.judge_combination_size", 5), ("judge_aggregation.number_of_combinations", 10),
+           ("evaluation.bootstrap.confidence_level", 0.9), ("evaluation.bootstrap.paired", False), ("benchmark.default_relevance_source", "z"), ("collection.content_sampling.file_order", "any"), ("candidate_pool", None), ("human_audit.sample_size", True), ("llm_annotation.models", ["a", "a"])]
+    for path, value in bad:
+        c = benchmark_config()
+        at = c
+        *way, last = path.split(".")
+        for k in way:
+            at = at[k]
+        at[last] = value
+        with pytest.raises(ContractError):
+            config.benchmark_settings(c)
+
+
+def test_small_operators(spark, tmp_path):
+    assert [T.singular(w) for w in ("ponies", "eies", "boxes", "shoes", "glass", "bus", "cats", "s", "is")] == ["pony", "eie", "boxe", "shoe", "glass", "bus", "cat", "s", "is"]
+    with pytest.raises(ContractError):
+        judge.few_shots("tabular", [], 1)
+    with pytest.raises(ContractError):
+        judge.blueprint_part("tabular", "poem")
+    with pytest.raises(ContractError):
+        judge.dispatched({"m": {"platform": "vertex"}}, {})
+    done = spark.createDataFrame([("a", None), ("b", "x")], "model string, error string")
+    assert judge.has_valid(done, "a") and not judge.has_valid(done, "b")
+    (tmp_path / "x.txt").write_text("x")
+    assert writers.copied(spark, f"file://{tmp_path}/x.txt", f"file://{tmp_path}/y.txt") and (tmp_path / "y.txt").read_text() == "x"
+    assert not writers.copied(spark, f"file://{tmp_path}/none", f"file://{tmp_path}/z")
+    rows = writers.in_query_order(spark.createDataFrame([("10", "a"), ("9", "b"), ("9", "B")], "id_query string, id_dataset string")).collect()
+    assert [(r.id_query, r.id_dataset) for r in rows] == [("9", "B"), ("9", "b"), ("10", "a")]
+    with pytest.raises(ContractError, match="missing"):
+        (tmp_path / "h.csv").write_text("pair_key,id_query,id_dataset,reason,relevance\n1||a,1,a,x,true\n")
+        readers.read_humans(spark, {"h": f"file://{tmp_path}/h.csv"}, spark.createDataFrame([("1||a",), ("1||b",)], "pair_key string"))
