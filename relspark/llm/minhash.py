@@ -14,61 +14,89 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, release, small_or_shuffled, stored, text_of
+from .words import GOLD, M1, M2, grouped, mix, places, plain, scanned
 
 #: 32 bands of 4 coordinates: a pair with a similarity of 0.8 shares none with a probability of (1 - 0.8^4)^32 < 5e-8.
 BANDS, ROWS = 32, 4
 T = BANDS * ROWS
-M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-GOLD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """The finalizer of splitmix64."""
-    x = (x ^ (x >> np.uint64(30))) * M1
-    x = (x ^ (x >> np.uint64(27))) * M2
-    return x ^ (x >> np.uint64(31))
-
-
-def words_of(text: str) -> list[bytes]:
-    """Words between ASCII white space, A-Z in lower case."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
-
-
-def shingles(words: list[bytes], width: int) -> np.ndarray:
-    """Distinct 64-bit hashes of runs of width words; of all words, where there are fewer."""
-    n = len(words)
-    if not n:
-        return np.empty(0, np.uint64)
-    w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
-    k = min(width, n)
-    h = np.full(n - k + 1, k, np.uint64)
-    for i in range(k):
-        h = mix(h + w[i : n - k + 1 + i] + GOLD)
-    h.sort()
-    return h[np.concatenate(([True], h[1:] != h[:-1]))]
-
-
-def sketch(elements: np.ndarray) -> np.ndarray:
-    """T coordinates of a set of hashes that isn't empty. The round is in the top bits, so the least value is of the first round."""
-    n, top = len(elements), np.uint64(0xFFFFFFFFFFFFFFFF)
-    out, r = np.full(T, top, np.uint64), 0
-    while r < 2 * T and (out == top).any():
-        rounds = np.arange(r, r := min(2 * T, r + max(1, 2048 // n)), dtype=np.uint64)
-        h = mix(elements[None, :] + mix(rounds + GOLD)[:, None])
-        bins = np.where((rounds < T)[:, None], h & np.uint64(T - 1), (rounds % np.uint64(T))[:, None])
-        np.minimum.at(out, bins.ravel().astype(np.int64), ((rounds << np.uint64(52))[:, None] | (h >> np.uint64(12))).ravel())
+def shingled(h: np.ndarray, n: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, how many) of the distinct runs of width words of texts of n words with hashes h, sorted within each text.
+
+    With fewer words, all of them are one run; without words there is none.
+    """
+    first, size = np.cumsum(n) - n, np.maximum(n - width + 1, np.minimum(n, 1))
+    start = np.repeat(first, size) + places(size)
+    out = np.repeat(np.minimum(n, width), size).astype(np.uint64)
+    short = np.repeat(n, size) < width
+    for i in range(width):
+        if short.any():
+            on = i < np.repeat(n, size)
+            out[on] = mix(out[on] + h[start[on] + i] + GOLD)
+        else:
+            out = mix(out + h[start + i] + GOLD)
+    bounds = np.cumsum(size)
+    for a, z in zip((bounds - size).tolist(), bounds.tolist(), strict=True):
+        out[a:z].sort()
+    new = np.append(True, out[1:] != out[:-1])[: len(out)]
+    new[(bounds - size)[size > 0]] = True
+    return out[new], np.diff(np.concatenate(([0], np.cumsum(new)))[np.concatenate(([0], bounds))])
+
+
+def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
+    """The distinct shingles of each text, sorted."""
+    raw, out = [t.encode("utf-8", "surrogatepass") for t in texts], []
+    for part in grouped(raw):
+        n, (h,) = scanned(raw[part], plain)
+        s, size = shingled(h, n, width)
+        out += np.split(s, np.cumsum(size)[:-1])
+    return out
+
+
+def _keys(h: np.ndarray, n: np.ndarray) -> list[bytes | None]:
+    """16 bytes that name the sequence of words of each text; null without words."""
+    if not len(h):
+        return [None] * len(n)
+    at, first = places(n).astype(np.uint64) * GOLD, (np.cumsum(n) - n)[n > 0]
+    both = np.stack([np.add.reduceat(mix(mix(h * odd + at) + odd), first) for odd in (M1, M2)], 1)
+    named = iter(both.view("V16").ravel().tolist())
+    return [next(named) if k else None for k in n.tolist()]
+
+
+def text_keys(texts: list[str]) -> list[bytes | None]:
+    raw, out = [t.encode("utf-8", "surrogatepass") for t in texts], []
+    for part in grouped(raw):
+        n, (h,) = scanned(raw[part], plain)
+        out += _keys(h, n)
     return out
 
 
+def sketches(elements: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """T coordinates of each of consecutive sets of hashes, none of them empty. The round is in the top bits, so the least
+    value is of the first round; a set whose coordinates are all filled takes part in no further one."""
+    top = np.uint64(0xFFFFFFFFFFFFFFFF)
+    out, own = np.full(len(size) * T, top, np.uint64), np.repeat(np.arange(len(size)) * T, size)
+    for r in range(2 * T):
+        h = mix(elements + mix(np.array([r], np.uint64) + GOLD))
+        bins = (h & np.uint64(T - 1)).astype(np.int64) if r < T else r % T
+        np.minimum.at(out, own + bins, np.uint64(r << 52) | (h >> np.uint64(12)))
+        if r < 4 or r % 4 == 3:
+            left = (out.reshape(-1, T) == top).any(1)
+            if not left.any():
+                break
+            on = left[own // T]
+            elements, own = elements[on], own[on]
+    return out.reshape(-1, T)
+
+
 def band_keys(coordinates: np.ndarray) -> np.ndarray:
-    parts, key = coordinates.reshape(BANDS, ROWS), np.arange(BANDS, dtype=np.uint64)
+    """BANDS keys of each line of coordinates."""
+    parts, key = coordinates.reshape(-1, BANDS, ROWS), np.arange(BANDS, dtype=np.uint64)[None, :]
     for i in range(ROWS):
-        key = mix(key * GOLD + parts[:, i] + np.uint64(i))
+        key = mix(key * GOLD + parts[:, :, i] + np.uint64(i))
     return key.view(np.int64)
 
 
@@ -76,17 +104,29 @@ def sketched(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, key: 16 bytes of the words' hash, null without words; n: set size; bands)."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        keys, sizes, bands, seen = [], [], [], {}
-        for text in b.column(1).to_pylist():
-            words = words_of(text)
-            key = xxhash.xxh3_128_digest(b" ".join(words)) if words else None
-            if key not in seen:
-                s = shingles(words, width)
-                seen[key] = len(s), band_keys(sketch(s)) if len(s) else []
-            keys.append(key)
-            sizes.append(seen[key][0])
-            bands.append(seen[key][1])
-        return pa.record_batch([b.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "key", "n", "bands"])
+        raw, keys, sizes, bands = b.column(1).cast(pa.binary()).to_pylist(), [], [], []
+        for part in grouped(raw):
+            n, (h,) = scanned(raw[part], plain)
+            own = _keys(h, n)
+            # texts with the same words are worked on once
+            place: dict[bytes | None, int] = {}
+            for i, k in enumerate(own):
+                place.setdefault(k, i)
+            once = np.fromiter(place.values(), np.int64, len(place))
+            mask = np.zeros(len(n), bool)
+            mask[once] = True
+            s, size = shingled(h[np.repeat(mask, n)], n[mask], width)
+            found = np.zeros((len(n), BANDS), np.int64)
+            full = np.flatnonzero(mask)[size > 0]
+            if len(full):
+                found[full] = band_keys(sketches(s, size[size > 0]))
+            count = np.zeros(len(n), np.int64)
+            count[mask] = size
+            at = np.array([place[k] for k in own])
+            keys += own
+            sizes.append(count[at])
+            bands += [found[i] if k is not None else [] for i, k in zip(at, own, strict=True)]
+        return pa.record_batch([b.column(0), pa.array(keys, pa.binary()), pa.array(np.concatenate(sizes)), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "key", "n", "bands"])
 
     return batches(docs, run, "doc_id long, key binary, n long, bands array<long>")
 
@@ -95,8 +135,7 @@ def keyed_texts(docs: DataFrame, wanted: DataFrame, count: int) -> DataFrame:
     """(key, text), one row for each wanted (doc_id, key)."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        keys = [xxhash.xxh3_128_digest(b" ".join(words_of(x))) for x in b.column(1).to_pylist()]
-        return pa.record_batch([pa.array(keys, pa.binary()), b.column(1)], ["key", "text"])
+        return pa.record_batch([pa.array(text_keys(b.column(1).to_pylist()), pa.binary()), b.column(1)], ["key", "text"])
 
     near = docs.join(small_or_shuffled(wanted.select("doc_id").distinct(), count), "doc_id", "left_semi")
     near = near.unionByName(docs.filter("doc_id is null"))  # no join finds these; the key below does
@@ -110,16 +149,12 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     rows = pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets: dict[bytes, np.ndarray] = {}
-
-        def get(key: bytes, text: str) -> np.ndarray:
-            if key not in sets:
-                sets[key] = shingles(words_of(text), width)
-            return sets[key]
-
+        cols = [batch.column(i).to_pylist() for i in range(4)]
+        texts = dict(zip(cols[0] + cols[1], cols[2] + cols[3], strict=True))
+        sets = dict(zip(texts, shingle_sets(list(texts.values()), width), strict=True))
         keep = []
-        for ka, kb, ta, tb in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            x, y = get(ka, ta), get(kb, tb)
+        for ka, kb in zip(cols[0], cols[1], strict=True):
+            x, y = sets[ka], sets[kb]
             both = np.concatenate((x, y))
             both.sort()
             common = int((both[1:] == both[:-1]).sum())
@@ -171,7 +206,7 @@ def able(members: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     nodes = members.select("key", "comp").distinct().join(texts, "key").select("key", "comp", "text")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(words_of(x), width).view(np.int64) for x in b.column(2).to_pylist()]
+        sets = [x.view(np.int64) for x in shingle_sets(b.column(2).to_pylist(), width)]
         at = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
         return pa.record_batch([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(np.concatenate(sets))], ["key", "comp", "shingle"])
 
@@ -200,7 +235,7 @@ def blockwise(nodes: DataFrame, texts: DataFrame, width: int, percent: int, bloc
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         names = {c: k for k, c in enumerate(sorted(set(comp)))}
         comps, owns = np.array([names[c] for c in comp]), np.array(own)
-        sets = [shingles(words_of(x), width) for x in table.column("text").to_pylist()]
+        sets = shingle_sets(table.column("text").to_pylist(), width)
         n = np.array([len(x) for x in sets])
         flat, ids = np.unique(np.concatenate(sets), return_inverse=True)
         docs = np.repeat(np.arange(len(sets)), n)[np.argsort(ids, kind="stable")]
@@ -281,8 +316,7 @@ def survivors(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     schema = ", ".join(f"`c{i}` {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        words = [words_of(x or "") for x in b.column(at).to_pylist()]
-        keys = pa.array([xxhash.xxh3_128_digest(b" ".join(w)) if w else None for w in words], pa.binary())
+        keys = pa.array(text_keys([x or "" for x in b.column(at).to_pylist()]), pa.binary())
         return pa.record_batch([*b.columns, keys], [f"c{i}" for i in range(b.num_columns)] + ["_key"])
 
     keyed = batches(docs.toDF(*[f"c{i}" for i in range(len(names))]), run, schema + ", _key binary").withColumn("_id", F.coalesce(F.col(f"c{names.index('doc_id')}").cast("long"), F.lit(-1)))

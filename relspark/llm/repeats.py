@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, sliced, stored, text_of
-from .minhash import mix
+from .words import mix
 
 #: Bytes under the rolling hash, bytes of text for each phrase on average, and most windows in a row.
 PHRASE, EVERY, BAND = 12, 64, 80
