@@ -17,45 +17,60 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, text_of
+from .words import GOLD, M1, M2, POWERS, VALUE, grouped, mix, places, scanned, spans, summed
 
 BITS = 18
 #: Most labelled rows that a model is fitted on.
 TRAIN_ROWS = 8_000
-SHAPE = bytes(88 if 65 <= c <= 90 else 120 if 97 <= c <= 122 or c > 127 else 57 if 48 <= c <= 57 else c for c in range(256))
-_seen: dict[bytes, tuple[int, int]] = {}
-
-
-def _hashes(word: bytes) -> tuple[int, int]:
-    """Of the lower-case word and of its shape: runs of upper, lower, digit and other characters."""
-    shape, last = bytearray(b"s"), -1
-    for c in word.translate(SHAPE):
-        if c != last:
-            shape.append(c)
-            last = c
-    return xxhash.xxh3_64_intdigest(word.lower()), xxhash.xxh3_64_intdigest(bytes(shape[:16]))
+#: Kinds of bytes in a word's shape: upper case, lower case and letters beyond ASCII, digits; any other is its own.
+SHAPE = np.array([88 if 65 <= c <= 90 else 120 if 97 <= c <= 122 or c > 127 else 57 if 48 <= c <= 57 else c for c in range(256)])
+#: Runs of a shape that count.
+RUNS = 15
+
+
+def _words(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, hash in lower case, hash of the shape: kinds of bytes, runs of one as one) of the words of bytes."""
+    start, end, at = spans(text)
+    if not len(start):
+        return start, np.empty(0, np.uint64), np.empty(0, np.uint64)
+    size = end - start
+    first = np.cumsum(size) - size
+    kind = SHAPE[text[at]]
+    opens = np.append(True, kind[1:] != kind[:-1])
+    opens[first] = True
+    run = np.cumsum(opens) - 1
+    run -= np.repeat(run[first], size)
+    value = np.where(opens & (run < RUNS), mix(kind.astype(np.uint64) + GOLD) * POWERS[np.minimum(run, RUNS)], np.uint64(0))
+    return start, mix(summed(VALUE[text[at]], first, size) + size.astype(np.uint64) * GOLD), mix(np.add.reduceat(value, first) + M2)
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    x.sort()
+    return x[np.append(True, x[1:] != x[:-1])[: len(x)]]
+
+
+def indicators(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(indicators, how many) of texts: those of a text are sorted and distinct; one without words has none."""
+    n, (h, shape) = scanned(texts, _words)
+    own, place = np.repeat(np.arange(len(n)), n), places(n)
+    after = np.flatnonzero(place)
+    again = np.bincount(own[after], h[after] == h[after - 1], len(n)).astype(np.int64)
+    new = np.bincount(_distinct((own << 40) | (h >> np.uint64(24)).astype(np.int64)) >> 40, minlength=len(n))
+    some = np.flatnonzero(n)
+    pair = lambda x: (x[after - 1] * GOLD) ^ (x[after] + np.uint64(1)) * M1
+    every = np.concatenate((h, shape, pair(h), pair(shape), (101 + 8 * again[some] // n[some]).astype(np.uint64), (201 + 8 * new[some] // n[some]).astype(np.uint64)))
+    at = np.concatenate((own, own, own[after], own[after], some, some))
+    found = _distinct((at << BITS) | (every * GOLD >> np.uint64(64 - BITS)).astype(np.int64))
+    return (found & ((1 << BITS) - 1)).astype(np.int32), np.bincount(found >> BITS, minlength=len(n))
 
 
 def features(text: str) -> np.ndarray:
-    """Sorted distinct indicators of a text; none for a text without words."""
-    words = text.encode("utf-8", "surrogatepass").split()
-    if not words:
-        return np.empty(0, np.int32)
-    if len(_seen) > 500_000:
-        _seen.clear()
-    for w in set(words).difference(_seen):
-        _seen[w] = _hashes(w)
-    h = np.array([_seen[w] for w in words], np.uint64)
-    gold = np.uint64(0x9E3779B97F4A7C15)
-    pairs = (h[:-1] * gold) ^ (h[1:] + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
-    again = 8 * int((h[1:, 0] == h[:-1, 0]).sum()) // len(words)
-    new = 8 * len(np.unique(h[:, 0])) // len(words)
-    every = np.concatenate((h.ravel(), pairs.ravel(), np.array([101 + again, 201 + new], np.uint64)))
-    return np.unique((every * gold) >> np.uint64(64 - BITS)).astype(np.int32)
+    """The indicators of one text."""
+    return indicators([text.encode("utf-8", "surrogatepass")])[0]
 
 
 MODEL = ["weight", "square", "bias", "slope", "shift"]
@@ -69,12 +84,19 @@ class Model:
     slope: float
     shift: float
 
+    def scores(self, texts: list[bytes]) -> np.ndarray:
+        """From 0 to 1, of many texts at once."""
+        out = []
+        for part in grouped(texts):
+            x, n = indicators(texts[part])
+            sums = lambda w, x=x, n=n: np.bincount(np.repeat(np.arange(len(n)), n), w[x], len(n))
+            margin = sums(self.weight) / np.maximum(1e-9, np.sqrt(sums(self.square))) + self.bias
+            out.append(1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -35, 35))))
+        return np.concatenate(out) if out else np.empty(0)
+
     def margin(self, x: np.ndarray) -> float:
         return float(self.weight[x].sum(dtype=np.float64) / max(1e-9, float(self.square[x].sum(dtype=np.float64)) ** 0.5)) + self.bias
 
-    def score(self, x: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(x) + self.shift, -35, 35))))
-
 
 def _margins(rows: list[np.ndarray], y: np.ndarray, cost: float, epochs: int, seed: int = 7) -> Model:
     """Ratios, then dual coordinate descent for the hinge loss, one document at a time in random order."""
@@ -162,8 +184,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        scores = [shared.value.score(features(x)) for x in b.column(1).to_pylist()]
-        return pa.record_batch([b.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
+        return pa.record_batch([b.column(0), pa.array(shared.value.scores(b.column(1).cast(pa.binary()).to_pylist()))], ["doc_id", "score"])
 
     return batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), run, "doc_id long, score double")
 
@@ -174,7 +195,8 @@ def passed(docs: DataFrame, model: Model, least: float) -> DataFrame:
     schema = ", ".join(f"`c{i}` {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        return b.filter(pa.array([shared.value.score(features(x or "")) >= least for x in b.column(at).to_pylist()], pa.bool_()))
+        texts = [(x or "").encode("utf-8", "surrogatepass") for x in b.column(at).to_pylist()]
+        return b.filter(pa.array(shared.value.scores(texts) >= least))
 
     found = batches(docs.toDF(*[f"c{i}" for i in range(len(names))]), run, schema)
     return found.select(*[F.col(f"c{i}").alias(x) for i, x in enumerate(names)])

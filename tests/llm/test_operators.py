@@ -12,6 +12,7 @@ import pytest
 
 from relspark.llm import classifier, lm, minhash, packing, repeats, secrets, sharding, syncmers, url_filters
 from relspark.llm.decontaminate import contaminated
+from relspark.llm import words as word_arrays
 from relspark.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, key string, band long, c0 int"
@@ -92,14 +93,17 @@ def test_near_copies_with_a_null_doc_id(spark):
 
 
 def test_sketch_estimates_similarity():
+    sketch = lambda x: minhash.sketches(x, np.array([len(x)]))[0]
     rng = np.random.default_rng(1)
     shared, errors = rng.integers(0, 2**63, 900).astype(np.uint64), []
     for k in range(20):
         a, b = (np.unique(np.concatenate((shared, rng.integers(0, 2**63, 50 * k + 1).astype(np.uint64)))) for _ in range(2))
         true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-        errors.append((minhash.sketch(a) == minhash.sketch(b)).mean() - true)
+        errors.append((sketch(a) == sketch(b)).mean() - true)
     assert np.abs(errors).max() < 0.2 and abs(np.mean(errors)) < 0.05
-    assert all((minhash.sketch(np.arange(n, dtype=np.uint64)) != np.uint64(2**64 - 1)).all() for n in (1, 2, 300))
+    assert all((sketch(np.arange(n, dtype=np.uint64)) != np.uint64(2**64 - 1)).all() for n in (1, 2, 300))
+    together = minhash.sketches(np.arange(303, dtype=np.uint64), np.array([1, 2, 300]))
+    assert (together[2] == sketch(np.arange(3, 303, dtype=np.uint64))).all() and (together[0] == sketch(np.arange(1, dtype=np.uint64))).all()
 
 
 def base_spans(t):
@@ -235,6 +239,46 @@ def test_classifier(spark):
     assert classifier.scored(docs, classifier.trained(docs, labels.limit(0))).first().score == 0.5
 
 
+def test_classifier_equals_plain_python():
+    """Indicators, ratios, dual coordinate descent and scores, in dictionaries and loops."""
+    r = random.Random(12)
+    texts = [" ".join(r.choice(("Good", "fine", "text,", "w9", "A-B", f"x{r.randrange(30)}")) for _ in range(r.randrange(1, 25))) for _ in range(60)]
+    texts = [x if i % 3 else x.replace("text,", "!!!") for i, x in enumerate(texts)]
+    xs, n = classifier.indicators([x.encode() for x in texts])
+    rows = np.split(xs, np.cumsum(n)[:-1])
+
+    def shape(w):
+        kind = lambda c: "X" if "A" <= c <= "Z" else "x" if "a" <= c <= "z" or c > "\x7f" else "9" if "0" <= c <= "9" else c
+        return "".join(k for k, _ in itertools.groupby(map(kind, w)))
+
+    def names(t):
+        w = t.split()
+        a, b = [("w", x.lower()) for x in w], [("s", shape(x)) for x in w]
+        return {*a, *b, *((("p", *x)) for x in itertools.pairwise(a)), *((("p", *x)) for x in itertools.pairwise(b)), ("again", 8 * sum(x == y for x, y in itertools.pairwise(a)) // len(w)), ("new", 8 * len(set(a)) // len(w))}
+
+    named = [names(t) for t in texts]
+    assert [len(x) for x in named] == [len(x) for x in rows]  # no two features of a text share an indicator here
+    y = np.array([1 if i % 3 else -1 for i in range(len(texts))])
+    m = classifier._margins(rows, y, 1.0, 5)
+    every, size = {f for x in named for f in x}, 1 << classifier.BITS
+    count = {s: Counter(f for x, t in zip(named, y, strict=True) if t == s for f in x) for s in (1, -1)}
+    total = {s: sum(count[s].values()) + size for s in (1, -1)}
+    ratio = {f: np.log((count[1][f] + 1) / total[1]) - np.log((count[-1][f] + 1) / total[-1]) for f in every}
+    norm = [sum(ratio[f] ** 2 for f in x) ** 0.5 for x in named]
+    w, bias, alpha, order = dict.fromkeys(every, 0.0), 0.0, [0.0] * len(y), np.random.default_rng(7)
+    for _ in range(5):
+        for i in order.permutation(len(y)):
+            g = y[i] * (sum(w[f] * ratio[f] / norm[i] for f in named[i]) + bias) - 1
+            new = min(max(alpha[i] - g / 2, 0.0), 1.0)
+            for f in named[i]:
+                w[f] += (new - alpha[i]) * y[i] * ratio[f] / norm[i]
+            bias += (new - alpha[i]) * y[i]
+            alpha[i] = new
+    want = [1 / (1 + np.exp(-(sum(w[f] * ratio[f] for f in x) / k + bias))) for x, k in zip(named, norm, strict=True)]
+    assert np.abs(m.scores([x.encode() for x in texts]) - want).max() < 1e-4
+    assert np.isfinite(m.scores([b"", b" \n"])).all()
+
+
 def test_syncmers(spark):
     from pyspark.sql import functions as F
 
@@ -562,7 +606,7 @@ def test_lm_word_hashes(monkeypatch):
     r = random.Random(3)
     xs = ["", " \t", "a", "The THE the", "x" * 70_000 + " y", "x" * 70_001, *(" ".join(words(r.randrange(200), i, 5_000)) for i in range(50)), "é\x0bÉ\x1ca\u2003b"]
     whole = lm.hashed([x.encode() for x in xs])
-    monkeypatch.setattr(lm, "PART", 50)
+    monkeypatch.setattr(word_arrays, "PART", 50)
     for got in (lm.hashed([x.encode() for x in xs]), whole):
         names, at = {}, 0
         for x, n in zip(xs, got[1], strict=True):
