@@ -19,6 +19,7 @@ from relspark.llm.minhash import survivors
 from relspark.llm.packing import packed
 from relspark.llm.queries import tokenizer_path
 from relspark.llm.secrets import without_secrets
+from relspark.sources.readers import spread
 
 #: Scores under this are rejected.
 LEAST_QUALITY = 0.3
@@ -60,7 +61,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for name, stage in STAGES:
         before, docs = docs, stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
         release(before)

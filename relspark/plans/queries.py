@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..config import EVIDENCE_FIELDS, RELEVANCE
 from ..functions import text as T
 from ..operators import agreement, assemble, collection, contracts, ireval, judge, retrieval, sampling, votes
+from ..sources.readers import spread
 
 JUDGES = ["judge_a", "judge_b", "judge_c", "judge_d", "judge_e"]
 HUMANS = ["h1", "h2", "h3"]
@@ -353,7 +354,7 @@ def reason_agreement_intervals(spark, sf):
 
 
 def datasets_of(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"))
     return d.select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("description"))
 
 
@@ -557,7 +558,7 @@ def model_text(spark, sf):
 @query(f"SELECT doc_id, len(w) AS n_tokens, md5(array_to_string(w, ' ')) AS tokens_md5 FROM (SELECT doc_id, {RAW_TOKENS.format(x='text')} AS w FROM documents)")
 def bm25_tokens(spark, sf):
     w = T.lexical_tokens(F.col("text"), entities=False)
-    return table(spark, sf, "documents").select("doc_id", w.alias("w")).select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.md5(F.array_join("w", " ")).alias("tokens_md5"))
+    return spread(table(spark, sf, "documents")).select("doc_id", w.alias("w")).select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.md5(F.array_join("w", " ")).alias("tokens_md5"))
 
 
 @query()

@@ -18,6 +18,17 @@ POOL = "id_query int, query string, hits array<" + HIT.format("") + ">, _corrupt
 ANNOTATED = "id_query int, query string, hits array<" + HIT.format(f", annotations:map<string,{ANNOTATION}>") + ">, _corrupt string"
 
 
+#: Bytes of a table for each core, under which its rows are dealt out again.
+SPREAD_BYTES = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt over all cores where it is small: one file of one row group would be read, and worked on, by one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < cores * SPREAD_BYTES else df
+
+
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
     """(id_query, query) of a comma- or tab-separated file; the header tells which."""
     head = spark.read.text(path).limit(1).collect()
