@@ -164,16 +164,40 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return batches(rows, run, "a binary, b binary")
 
 
+#: Edges that one task may join by itself.
+FEW_EDGES = 20_000
+
+
+def _joined(table: pa.Table) -> pa.Table:
+    """(key, root: the least key that it is linked with) of all ends of edges (a, b)."""
+    root: dict[bytes, bytes] = {}
+
+    def find(k: bytes) -> bytes:
+        while (up := root.setdefault(k, k)) != k:
+            root[k] = k = root[up]
+        return k
+
+    for a, b in zip(table.column("a").to_pylist(), table.column("b").to_pylist(), strict=True):
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    return pa.table([pa.array(list(root), pa.binary()), pa.array([find(k) for k in list(root)], pa.binary())], ["key", "root"])
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(key, comp) as a stored table: for each node, the least key that it is linked with. nodes (key), edges (a, b).
 
     Every node points to its least neighbour, if that is less than itself; pointers jump to their roots; edges between
     different roots are what the next level works on. A level at least halves the nodes, and stars, as buckets make
-    them, are gone after one. A hot node's neighbours are reduced by partial aggregates.
+    them, are gone after one. A hot node's neighbours are reduced by partial aggregates. Once FEW_EDGES or fewer are
+    left, one task joins them.
     """
     different = lambda df: df.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     edges, found = stored(different(edges.select("a", "b")), "edges"), None
     while True:
+        if edges.count() <= FEW_EDGES:
+            up = edges.groupBy(F.lit(0).alias("one")).applyInArrow(_joined, "key binary, root binary")
+            found = up.toDF("key", "comp") if found is None else found.join(up.toDF("comp", "root"), "comp", "left").select("key", F.coalesce("root", "comp").alias("comp"))
+            break
         both = edges.select(F.col("a").alias("key"), F.col("b").alias("other")).union(edges.select("b", "a"))
         up = stored(both.groupBy("key").agg(F.least(F.col("key"), F.min("other")).alias("root")), "roots")
         while True:
