@@ -25,7 +25,7 @@ SPREAD_BYTES = 4 << 20
 def spread(df: DataFrame) -> DataFrame:
     """df, dealt over all cores where it is small: one file of one row group would be read, and worked on, by one task."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(cores) if size < cores * SPREAD_BYTES else df
 
 
