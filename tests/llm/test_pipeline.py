@@ -1,6 +1,8 @@
 """The pipeline's stages on small tables against plain Python, and from end to end."""
 
+import itertools
 import random
+import re
 
 import pytest
 
@@ -73,3 +75,87 @@ def test_stages_take_empty_tables(spark, folder, tmp_path):
 
 def test_stage_list():
     assert [f.__name__ for _, f in P.STAGES] == ["quality", "near_dedup", "decontamination", "secrets", "packing"] and P.ORACLE_SQL is None
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def low(text, pattern):
+    return re.findall(pattern, (text or "").translate({c: c + 32 for c in range(65, 91)}))
+
+
+def test_stages_equal_brute_force_on_the_tables(spark, tmp_path):
+    """Each stage on all that the one before kept of the smallest tables, against plain Python."""
+    kept = lambda df, name: (df.write.parquet(f"file://{tmp_path}/{name}"), spark.read.parquet(f"file://{tmp_path}/{name}"))[1]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    good = kept(P.quality(spark, docs, SF), "good")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    ids = {r.doc_id for r in good.collect()}
+    right = [(i in ids) == (q == 1) for i, q in labels.items()]
+    assert sum(right) > 0.95 * len(right) and all(i in ids for i, q in labels.items() if q == 1)
+
+    rows = [(r.doc_id, r.text) for r in good.collect()]
+    sets = []
+    for _, t in rows:
+        w = low(t, r"[^\x20\x09-\x0D]+")
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least.setdefault(find(i), []).append(d)
+    once = kept(P.near_dedup(spark, good, SF), "once")
+    assert sorted(r.doc_id for r in once.collect()) == sorted(min(ds) for ds in least.values()) and len(least) < len(rows)
+
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    windows = set()
+    for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect():
+        w = low(r.text, word)
+        windows |= {tuple(w[i : i + min(10, len(w))]) for i in range(max(1, len(w) - 9))} if w else set()
+    sizes = {len(w) for w in windows}
+
+    def hit(text):
+        w = low(text, word)
+        return any(tuple(w[i : i + n]) in windows for n in sizes for i in range(len(w) - n + 1))
+
+    clean = kept(P.decontamination(spark, once, SF), "clean")
+    assert sorted(r.doc_id for r in clean.collect()) == sorted(r.doc_id for r in once.collect() if not hit(r.text))
+
+    base = [(r"(?i:(?:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 1, 12), (r"AKIA[A-Z0-9]+", 0, 18), (r"[0-9a-f]+", 0, 16)]
+    found = lambda t: [m for p, g, n in base for m in re.finditer(p, t) if len(m[g]) >= n]
+    safe = kept(P.secrets(spark, clean, SF), "safe")
+    before = {r.doc_id: r.text or "" for r in clean.collect()}
+    after = {r.doc_id: r.text or "" for r in safe.collect()}
+    assert before.keys() == after.keys() and any(found(t) for t in before.values())
+    for i, t in before.items():
+        if found(t):
+            assert "[REDACTED]" in after[i] and all(m[0] not in after[i] for m in found(t))
+        elif "[REDACTED]" not in after[i]:
+            assert after[i] == t
+
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(P.tokenizer_path())
+    pieces = P.packing(spark, safe, SF).collect()
+    total = {}
+    for r in pieces:
+        total[r.doc_id] = total.get(r.doc_id, 0) + r.length
+    assert total == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for i, t in after.items()}
+    lengths = sorted((r.length for r in pieces), reverse=True)
+    room = []  # best fit decreasing
+    for n in lengths:
+        fit = min((x for x in range(len(room)) if room[x] >= n), key=lambda x: room[x], default=None)
+        if fit is None:
+            room.append(1024 - n)
+        else:
+            room[fit] -= n
+    assert len({r.sequence_id for r in pieces}) <= len(room)
