@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from relspark.llm import classifier, lm, minhash, packing, repeats, secrets, sharding, syncmers, url_filters
+from relspark.llm import classifier, decontaminate, lm, minhash, packing, repeats, secrets, sharding, syncmers, url_filters
 from relspark.llm.decontaminate import contaminated
 from relspark.llm import words as word_arrays
 from relspark.llm.queries import tokenizer_path
@@ -93,6 +93,19 @@ def test_near_copies_with_a_null_doc_id(spark):
     assert [r.doc_id for r in minhash.survivors(df).collect()] == [5]
 
 
+def test_blockwise_links_over_many_blocks(spark):
+    """A cluster of several blocks: the links between different components, each once."""
+    base = words(120, 5, 10**6)
+    xs = {f"k{i:03}".encode(): " ".join(edited(base, 0.02 * (i % 5), 50 + i)) for i in range(60)}
+    comp = {k: b"a" if i % 7 == 0 else k for i, k in enumerate(xs)}
+    nodes = spark.createDataFrame([(b"c", k, comp[k]) for k in xs], "cluster binary, key binary, comp binary")
+    texts_ = spark.createDataFrame(list(xs.items()), "key binary, text string")
+    got = Counter((bytes(r.a), bytes(r.b)) for r in minhash.blockwise(nodes, texts_, 5, 80, block=9).collect())
+    sets = {k: {tuple(x.split()[i : i + 5]) for i in range(116)} for k, x in xs.items()}
+    want = {(a, b) for a, b in itertools.combinations(sorted(xs), 2) if comp[a] != comp[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert set(got) == want and len(want) > 50 and set(got.values()) == {1}
+
+
 def test_sketch_estimates_similarity():
     sketch = lambda x: minhash.sketches(x, np.array([len(x)]))[0]
     rng = np.random.default_rng(1)
@@ -454,6 +467,19 @@ def test_repeats(spark, length):
     assert repeats.without_repeats(df.limit(0), length).count() == 0
 
 
+def test_repeats_of_long_texts_and_many_places(spark, monkeypatch):
+    """Texts over 128 KB beside short ones, and a passage with more places than a row holds."""
+    monkeypatch.setattr(repeats, "PLACES", 7)
+    monkeypatch.setattr(repeats, "HELD", 5_000)
+    r = random.Random(16)
+    noise = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    line, long = noise(450), noise(140_000)
+    xs = [long, "x" + long[70_000:71_000], *(noise(30 + k) + line + noise(20) for k in range(40)), long[:300] + line]
+    df = table(spark, xs).repartition(3)
+    got = [(x.doc_id, x.n_bytes, len(x.spans) // 2, bytes(x.kept)) for x in repeats.without_repeats(df, 400).collect()]
+    assert Counter(got) == Counter((i, n, spans, kept) for i, (n, _, spans, kept) in enumerate(brute_repeats(xs, 400)))
+
+
 def test_hashes_of_substrings():
     t = random.Random(1).randbytes(5_000) * 2
     h = repeats.Hashes(t)
@@ -461,7 +487,7 @@ def test_hashes_of_substrings():
     assert (h(s, s + 300) == h(s + 5_000, s + 5_300)).all() and len(set(h(s, s + 300).tolist())) == 4_700
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     low = lambda t: word.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
     r = random.Random(8)
@@ -487,6 +513,9 @@ def test_decontamination(spark):
                     hit |= set(range(k, k + size))
                     names.add(n)
         assert (got[i].n_words, list(got[i]["at"]), list(got[i]["items"]), got[i].c0) == (len(w), sorted(hit), sorted(names), "k"), x
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 20)  # several blocks, items longer than one
+    blocks = {x.doc_id: x for x in contaminated(table(spark, xs), bench, 10, carry=["key"]).collect()}
+    assert all((blocks[i].n_words, list(blocks[i]["at"]), list(blocks[i]["items"])) == (x.n_words, list(x["at"]), list(x["items"])) for i, x in got.items())
     assert contaminated(table(spark, xs), bench.limit(0)).filter("size(at) > 0").count() == 0
     assert contaminated(table(spark, xs).limit(0), bench).count() == 0
 
