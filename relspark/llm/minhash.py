@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, release, small_or_shuffled, stored, text_of
+from .common import BROADCAST_ROWS, batches, release, small_or_shuffled, stored, text_of
 from .words import GOLD, M1, M2, grouped, mix, places, plain, scanned
 
 #: 32 bands of 4 coordinates: a pair with a similarity of 0.8 shares none with a probability of (1 - 0.8^4)^32 < 5e-8.
@@ -219,6 +219,20 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return stored(nodes.join(found, "key", "left").select("key", F.coalesce("comp", "key").alias("comp")), "components")
 
 
+#: Parts that the rows of a band are dealt to, where the bands are too many to be broadcast.
+SALT = 32
+
+
+def with_band(rows: DataFrame, bands: DataFrame) -> DataFrame:
+    """rows (band, key, ...) joined with bands, which has a row for each band; a band with many rows isn't one task's."""
+    bands = stored(bands, "bands")
+    n = bands.count()
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(bands), "band")
+    salted = bands.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("key"), F.lit(SALT)).cast("int")).join(salted, ["band", "_salt"]).drop("_salt")
+
+
 def able(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """(band, key, n, comp, c), stored, of the rows (band, key, n, comp) that can still have a link outside their component.
 
@@ -226,7 +240,7 @@ def able(members: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     near copy whose own edits exceed the rest is settled here, without pairs.
     """
     spread = members.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high")
-    members = members.join(spread.select("band"), "band", "left_semi")
+    members = with_band(members, spread.select("band"))
     nodes = members.select("key", "comp").distinct().join(texts, "key").select("key", "comp", "text")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -297,11 +311,11 @@ def _decided(docs: DataFrame, width: int, percent: int) -> DataFrame:
     alive = able(wide, texts, width, percent)
     if not alive.isEmpty():
         best = alive.groupBy("band").agg(F.max(F.struct(F.col("c") / F.col("n"), F.col("key"), F.col("comp"))).alias("lead"))
-        more = alive.join(best, "band").filter(F.col("comp") != F.col("lead.comp")).select(F.least("key", "lead.key").alias("a"), F.greatest("key", "lead.key").alias("b"))
+        more = with_band(alive, best).filter(F.col("comp") != F.col("lead.comp")).select(F.least("key", "lead.key").alias("a"), F.greatest("key", "lead.key").alias("b"))
         nearer = stored(links.unionByName(verified(more.distinct().join(pairs, ["a", "b"], "left_anti"), texts, width, percent)), "links")
         release(links, comps)
         least = alive.groupBy("band").agg(F.min("key").alias("a"))
-        tied = alive.select("band", F.col("key").alias("b")).join(least, "band").select("a", "b").distinct()
+        tied = with_band(alive.select("band", "key"), least).select("a", F.col("key").alias("b")).distinct()
         comps, clusters = components(nodes, nearer), components(alive.select("key").distinct(), tied)
         rest = stored(alive.select("key").distinct().join(comps, "key").join(clusters.withColumnRenamed("comp", "cluster"), "key"), "rest")
         links = stored(nearer.unionByName(blockwise(rest, texts, width, percent)), "links")

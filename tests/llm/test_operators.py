@@ -66,6 +66,7 @@ def brute_components(texts, width, percent):
 @pytest.mark.parametrize(("width", "few"), [(4, 20_000), (5, 20_000), (5, 3)])
 def test_near_duplicates(spark, texts, width, few, monkeypatch):
     monkeypatch.setattr(minhash, "FEW_EDGES", few)
+    monkeypatch.setattr(minhash, "BROADCAST_ROWS", 10 * few)
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(table(spark, texts), width).collect()}
     want = {i: (n, c, c == i) for i, (n, c) in enumerate(brute_components(texts, width, 80))}
     assert got == want
