@@ -329,3 +329,35 @@ def dispatched_judges(spark, sf):
     connector = lambda reason: lambda model, entry: lambda prompts: [f'{{"reason": "{reason}"}}'] * len(prompts)
     models = {"small": {"platform": "Ollama"}, "large": {"platform": "OpenAI API"}}
     return judge.judged(pairs_of(spark, sf).withColumn("prompt", F.col("id_dataset")), judge.dispatched(models, {"ollama": connector("generic"), "openai": connector("subtype")}))
+
+
+def _files(spark, sf):
+    """Forty metadata files, each with what its documents have in all."""
+    d = table(spark, sf, "documents").groupBy((F.col("doc_id") % 40).alias("number")).agg(F.count("*").alias("n"), F.sum("n_chars").alias("c"))
+    path = writers.workspace(spark, "metadata")
+    doc = F.concat(F.lit('{"title":"t","n":'), F.col("n"), F.lit(',"c":'), F.col("c"), F.lit("}"))
+    writers.write_documents(d.select("number", doc.alias("value")), path, "meta_{}.json")
+    return path
+
+
+FILES = "f AS (SELECT 'meta_' || (doc_id % 40) || '.json' AS meta_file, '{\"title\":\"t\",\"n\":' || count(*) || ',\"c\":' || CAST(sum(n_chars) AS BIGINT) || '}' AS doc FROM documents GROUP BY doc_id % 40)"
+
+
+@query("WITH " + FILES + " SELECT meta_file, CAST(row_number() OVER (ORDER BY meta_file) - 1 AS BIGINT) AS ord, doc FROM f")
+def metadata_files(spark, sf):
+    """Metadata records of files, in order of their names."""
+    return readers.read_metadata(spark, _files(spark, sf)).select("meta_file", F.col("ord").cast("long").alias("ord"), F.trim(F.regexp_replace("doc", "\n", "")).alias("doc"))
+
+
+@query("WITH " + FILES + " SELECT meta_file AS file_name, md5(doc || chr(10)) AS md5 FROM f")
+def file_hashes(spark, sf):
+    """Raw files by the hash of their bytes."""
+    return readers.read_files(spark, _files(spark, sf)).select("file_name", "md5")
+
+
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'hola... mundo! ' || doc_id WHEN 1 THEN 'temp 20° c, ok ' || doc_id WHEN 2 THEN '1,5 km (' || doc_id || ')' ELSE 'a #b?! ' || doc_id END AS normalized FROM documents")
+def query_rules(spark, sf):
+    """Texts that meet the rules of queries, and what those make of them."""
+    i, n = F.col("doc_id") % 4, F.col("doc_id").cast("string")
+    raw = F.when(i == 0, F.concat(F.lit("Hola.....  Mundo !!! "), n)).when(i == 1, F.concat(F.lit("Temp  20°C,ok "), n)).when(i == 2, F.concat(F.lit("1,5 KM ( "), n, F.lit(" )"))).otherwise(F.concat(F.lit("a##b ??!! "), n))
+    return table(spark, sf, "documents").select("doc_id", T.query_text(raw).alias("normalized"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,28 +47,42 @@ def write_jsonl(df: DataFrame, path: str, overwrite: bool = False) -> None:
     published(df, path, "json", overwrite, ignoreNullFields="false")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where that is unset: a folder of the warehouse, which a cluster shares, or with
+    a local master (tests) a temporary one."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        local = re.match(r"local(\[|$)", spark.sparkContext.master)
+        at = getattr(spark, "_own_shared_dir", None) or ("file://" + tempfile.mkdtemp(prefix="relspark-", dir="/tmp") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_relspark")
+        spark._own_shared_dir = at
+    return at.rstrip("/")
+
+
 def workspace(spark: SparkSession, name: str) -> str:
-    """A new path for intermediate files in the folder that executors share: that of spark.checkpoint.dir, or the warehouse."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir") + "/_relspark"
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path for intermediate files in the folder that executors share."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def write_query_documents(df: DataFrame, path: str, overwrite: bool = False) -> None:
-    """A JSON document for each row, query_<id_query>.json; files are renamed, their content stays on executors."""
+    """A JSON document for each row, query_<id_query>.json."""
+    write_documents(df.select("id_query", F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")), path, "query_{}.json", overwrite)
+
+
+def write_documents(df: DataFrame, path: str, name: str, overwrite: bool = False) -> None:
+    """A file for each row of df (a number, a text), named by the number; files are renamed, their content stays on executors."""
     fs, p = _fs(df, path)
     if fs.exists(p(path)) and not overwrite:
         raise ContractError(f"{path} exists")
     stage = f"{path.rstrip('/')}._stage-{uuid.uuid4().hex[:8]}"
-    rows = df.select("id_query", F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
-    rows.repartition("id_query").write.partitionBy("id_query").text(stage)
+    df.toDF("number", "value").repartition("number").write.partitionBy("number").text(stage)
     if overwrite:
         fs.delete(p(path), True)
     fs.mkdirs(p(path))
     for folder in fs.listStatus(p(stage)):
         number = folder.getPath().getName().rpartition("=")[2]
         for f in fs.listStatus(folder.getPath()) if folder.isDirectory() else ():
-            if f.getPath().getName().startswith("part-") and not fs.rename(f.getPath(), p(f"{path}/query_{number}.json")):
-                raise ContractError(f"query {number} can't be published")
+            if f.getPath().getName().startswith("part-") and not fs.rename(f.getPath(), p(f"{path}/{name.format(number)}")):
+                raise ContractError(f"document {number} can't be published")
     fs.delete(p(stage), True)
 
 
