@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,23 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.writers import shared_dir
+
 #: Rows that a side may have to be broadcast; each row has at most a few dozen bytes. Larger sides are shuffled.
 BROADCAST_ROWS = 200_000
 #: Documents in an Arrow batch: a batch of long texts must fit in a Python worker beside its results.
 BATCH_ROWS = 256
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where that is unset: a folder of the warehouse, which a cluster shares, or with
-    a local master (tests) a temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        local = re.match(r"local(\[|$)", spark.sparkContext.master)
-        at = getattr(spark, "_own_shared_dir", None) or ("file://" + tempfile.mkdtemp(prefix="relspark-", dir="/tmp") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_relspark")
-        spark._own_shared_dir = at
-    return at.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
