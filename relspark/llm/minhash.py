@@ -256,7 +256,7 @@ def able(members: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
     return out
 
 
-def blockwise(nodes: DataFrame, texts: DataFrame, width: int, percent: int, block: int = 256) -> DataFrame:
+def blockwise(nodes: DataFrame, texts: DataFrame, width: int, percent: int, block: int = 128) -> DataFrame:
     """The links (a, b) between different components of a cluster. nodes (cluster, key, comp).
 
     A cluster is cut into blocks by hash, and each two blocks meet in one task, which counts common shingles by an
