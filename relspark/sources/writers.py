@@ -10,7 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import ContractError
+from ..config import ContractError, resumable
+from ..operators.contracts import same_keys
 
 
 def _fs(df: DataFrame, path: str):
@@ -63,8 +64,10 @@ def workspace(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def write_query_documents(df: DataFrame, path: str, overwrite: bool = False) -> None:
-    """A JSON document for each row, query_<id_query>.json."""
+def write_query_documents(df: DataFrame, path: str, overwrite: bool = False, expected: DataFrame | None = None) -> None:
+    """A JSON document for each row, query_<id_query>.json; with expected (id_query), for exactly its queries."""
+    if expected is not None:
+        same_keys(expected, df, ["id_query"])
     write_documents(df.select("id_query", F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")), path, "query_{}.json", overwrite)
 
 
@@ -92,6 +95,38 @@ def write_summary(df: DataFrame, path: str, settings: dict | None = None, overwr
     published(df.coalesce(1).select(F.struct(*df.columns).alias("summary"), given.alias("settings")), path, "json", overwrite, ignoreNullFields="false")
 
 
+def save_json(spark: SparkSession, path: str, value: dict) -> None:
+    """value as a JSON document; raises where there is one already."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(p(path)):
+        raise ContractError(f"{path} exists")
+    stage = p(f"{path}._stage-{uuid.uuid4().hex[:8]}")
+    out = fs.create(stage, False)
+    out.write(bytearray(json.dumps(value, sort_keys=True).encode()))
+    out.close()
+    if not fs.rename(stage, p(path)):
+        raise ContractError(f"{path} can't be published")
+
+
+def load_json(spark: SparkSession, path: str) -> dict | None:
+    """The JSON document at path; None where there is none."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    if not p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p(path)):
+        return None
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def guarded_run(spark: SparkSession, path: str, now: dict, has_results: bool) -> None:
+    """Keeps the provenance of a run at path. Where there is some already, or results without any, it must be that of
+    the run that goes on."""
+    stored = load_json(spark, path)
+    if stored is not None or has_results:
+        resumable(stored, now)
+    else:
+        save_json(spark, path, now)
+
+
 def copied(spark: SparkSession, source: str, target: str) -> bool:
     """source copied to target through Hadoop's file systems, if it is there; whether it was."""
     p, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()

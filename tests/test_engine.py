@@ -500,6 +500,26 @@ def test_provenance_guards_a_resume():
         config.resumable(None, old)
 
 
+def test_provenance_is_kept(spark, tmp_path):
+    path = f"file://{tmp_path}/run.json"
+    one, two = (config.provenance(config.Settings(judges=(j,)), {"queries": "q"}) for j in ("a", "b"))
+    with pytest.raises(ContractError):
+        writers.guarded_run(spark, path, one, has_results=True)
+    assert writers.load_json(spark, path) is None
+    writers.guarded_run(spark, path, one, has_results=False)
+    writers.guarded_run(spark, path, one, has_results=True)
+    assert writers.load_json(spark, path) == one
+    with pytest.raises(ContractError, match="settings differ"):
+        writers.guarded_run(spark, path, two, has_results=True)
+    with pytest.raises(ContractError):
+        writers.save_json(spark, path, two)
+    docs = spark.createDataFrame([(1, "x")], "id_query int, query string")
+    with pytest.raises(ContractError, match="missing"):
+        writers.write_query_documents(docs, f"file://{tmp_path}/docs", expected=spark.createDataFrame([(1,), (2,)], "id_query int"))
+    writers.write_query_documents(docs, f"file://{tmp_path}/docs", expected=docs.select("id_query"))
+    assert [p.name for p in (tmp_path / "docs").glob("*.json")] == ["query_1.json"]
+
+
 def test_payload_falls_back(spark):
     df = spark.createDataFrame([(" a ", "x", None), ("", "b", "c"), (None, None, None)], "title string, name string, other string")
     got = retrieval.payload(df, ("title", "none"), {"title": ("name", "other")}).select("title", "none").collect()
