@@ -9,8 +9,8 @@ equal ones side by side, as the suffix arrays of dictionary and parse would; onl
 of hashes, not of bytes. Rows with equal context settle all their windows at once. Where a key meets several contexts
 (at the ends of a repeated passage), one row of each context gives its windows' own hashes, and those are compared.
 
-Scale: equal rows of a task are merged before the shuffle, so a passage or line of any frequency sends a row from each
-task, not from each copy. About one row of 32 bytes for 40 bytes of text is shuffled, sorted and read once as a stream,
+Scale: equal rows of a task are merged before the shuffle; two places of each are compared, the others are settled
+already and dealt out evenly, so a passage or line of any frequency sends a row from each task to one place. About one row of 32 bytes for 40 bytes of text is shuffled, sorted and read once as a stream,
 so a key of any frequency needs no memory, and no pair is made.
 """
 
@@ -21,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,7 +102,7 @@ def _named(docs: DataFrame) -> DataFrame:
 
 #: Where the windows of a row stand.
 PLACE = np.dtype([("row", "<i8"), ("first", "<i4"), ("n", "<i4")])
-#: Rows that a task holds before it merges those with equal key and context, and places in a merged row.
+#: Rows that a task holds before it merges those with equal key and context, and places in a row that is done.
 HELD, PLACES = 300_000, 4_096
 
 
@@ -112,7 +113,9 @@ def _binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 
 def _merged_rows(named: DataFrame, length: int) -> DataFrame:
-    """(key, context, places): the rows of all texts, equal ones of a task as one with all their places."""
+    """(key, context, places, done): the rows of all texts, equal ones of a task as one with two of their places. The
+    others need no comparison, as their windows stand elsewhere: they come in rows of up to PLACES, which are done and
+    have a key that deals them out evenly, so a passage of any frequency has two places from each task under its key."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -122,12 +125,15 @@ def _merged_rows(named: DataFrame, length: int) -> DataFrame:
             order = np.lexsort((context, key))
             key, context = key[order], context[order]
             first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (context[1:] != context[:-1])))
-            size = np.diff(first, append=len(key))
-            far = size > PLACES  # a row holds so many places at most; the next one goes on
-            if far.any():
-                first = np.union1d(first, np.concatenate([np.arange(a, a + n, PLACES) for a, n in zip(first[far], size[far], strict=True)]))
+            size, place = np.diff(first, append=len(key)), place[order]
             held.clear()
-            return pa.record_batch([pa.array(key[first]), pa.array(context[first]), _binary(place[order], np.diff(first, append=len(key)))], ["key", "context", "places"])
+            nth = np.arange(len(key)) - np.repeat(first, size)
+            rest = place[nth >= 2]
+            at = np.arange(0, len(rest), PLACES)
+            dealt = mix(rest["row"][at].view(np.uint64) + rest["first"][at].astype(np.uint64)).view(np.int64)
+            cells = _binary(np.concatenate((place[nth < 2], rest)), np.concatenate((np.minimum(size, 2), np.diff(at, append=len(rest)))))
+            both = lambda own, more: pa.array(np.concatenate((own[first], more)))
+            return pa.record_batch([both(key, dealt), both(context, np.zeros(len(at), np.int64)), cells, pa.array(np.arange(len(first) + len(at)) >= len(first))], ["key", "context", "places", "done"])
 
         for b in sliced(it):
             for row, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
@@ -141,7 +147,7 @@ def _merged_rows(named: DataFrame, length: int) -> DataFrame:
         if held:
             yield merge()
 
-    return named.mapInArrow(run, "key long, context long, places binary")
+    return named.mapInArrow(run, "key long, context long, places binary, done boolean")
 
 
 def _settled(rows: DataFrame) -> DataFrame:
@@ -152,6 +158,13 @@ def _settled(rows: DataFrame) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[int, int, bytes]] = []
         for b in sliced(it):
+            done = b.column(3)
+            if done.true_count:
+                full = np.frombuffer(b"".join(b.column(2).filter(done).to_pylist()), PLACE)
+                yield pa.record_batch([pa.array(full[c].copy()) for c in ("row", "first", "n")] + [pa.array(np.zeros(len(full), bool))], ["row", "first", "n", "open"])
+                b = b.filter(pc.invert(done))
+            if not b.num_rows:
+                continue
             key = np.concatenate((np.array([k[0] for k in kept], np.int64), b.column(0).to_numpy()))
             context = np.concatenate((np.array([k[1] for k in kept], np.int64), b.column(1).to_numpy()))
             places = [k[2] for k in kept] + b.column(2).to_pylist()
