@@ -324,7 +324,8 @@ def _decided(docs: DataFrame, width: int, percent: int) -> DataFrame:
     release(alive, wide, links, texts, wanted, pairs, members)
     ids = classes.select("key", "doc_id").join(comps, "key", "left").select("key", "doc_id", F.coalesce("comp", "key").alias("comp"))
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), F.col("key").alias("lead_key"), F.col("doc_id").alias("component_id"))).alias("first")
-    labelled = ids.join(ids.groupBy("comp").agg(first), "comp").select("key", "first.lead_key", "first.component_id")
+    firsts = stored(ids.groupBy("comp").agg(first), "firsts")  # so that the join can split a large component
+    labelled = ids.join(firsts, "comp").select("key", "first.lead_key", "first.component_id")
     out = rows.select("doc_id", "key", F.col("n").alias("n_shingles")).join(labelled, "key", "left")
     alone = F.col("key").isNull()
     lead = alone | ((F.col("key") == F.col("lead_key")) & F.col("doc_id").eqNullSafe(F.col("component_id")))
