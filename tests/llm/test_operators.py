@@ -481,6 +481,34 @@ def test_repeats_of_long_texts_and_many_places(spark, monkeypatch):
     assert Counter(got) == Counter((i, n, spans, kept) for i, (n, _, spans, kept) in enumerate(brute_repeats(xs, 400)))
 
 
+def test_repeats_work_on_many_texts_at_once(spark, monkeypatch):
+    """Every window of a chunk of texts is in one row, its start counted from its own text; places travel in cells."""
+    r = random.Random(26)
+    noise = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    line = noise(500)
+    xs = [noise(400), "x" * 2_000, noise(90) + line, line + noise(700), line[50:470], noise(30) + line]
+    key, context, of, first, n = repeats.window_rows([x.encode() for x in xs], 400)
+    windows = Counter((int(t), int(f) + k) for t, f, m in zip(of, first, n, strict=True) for k in range(m))
+    assert set(windows) == {(t, k) for t, x in enumerate(xs) for k in range(len(x) - 399)}
+    names = {}
+    for t, c, f, m in zip(of.tolist(), context.tolist(), first.tolist(), n.tolist(), strict=True):
+        assert names.setdefault(c, xs[t][f : f + m + 399]) == xs[t][f : f + m + 399]
+
+    xs = [noise(20) + line + noise(20 + k) for k in range(60)] + [line] * 3 + ["", None, line[:399]]
+    ids = [*range(60), 7, 7, 7, 60, None, 61]
+    df = table(spark, xs, ids)
+    named = repeats._named(df.filter("length(text) >= 400").select("doc_id", "text"))
+    cells = repeats._settled(repeats._merged_rows(named, 400), 3).collect()
+    places = sum(len(c.full) // repeats.PLACE.itemsize for c in cells)
+    assert places >= 5 * 60 and len(cells) <= 3 * 4
+    want = Counter((i, n, spans, kept) for i, (n, _, spans, kept) in zip(ids, brute_repeats(xs, 400), strict=True))
+    for held in (repeats.HELD, 50):
+        monkeypatch.setattr(repeats, "HELD", held)
+        got = [(x.doc_id, x.n_bytes, len(x.spans) // 2, bytes(x.kept)) for x in repeats.without_repeats(df.repartition(5), 400).collect()]
+        assert Counter(got) == want
+    assert spark.conf.get(repeats.CLEANS, "false") == "false"
+
+
 def test_hashes_of_substrings():
     t = random.Random(1).randbytes(5_000) * 2
     h = repeats.Hashes(t)
