@@ -640,6 +640,16 @@ def test_lm_training_and_scores_equal_plain_python(spark):
     assert off.max() < 0.1 and off.mean() < 0.03
 
 
+def test_lm_weights_are_bytes_in_workers(spark):
+    df, begun = fitted_lm(spark, [" ".join(words(60, i)) for i in range(20)])
+    m = pickle.loads(pickle.dumps(lm._trained(begun, df, 0.4)))
+    for weight, targets in ((m.class_weight, lm.CLASSES), (m.word_weight, lm.WORDS)):
+        held = sum(x.nbytes for x in vars(weight).values())
+        assert held == targets << m.bits and weight.steps.any()
+        rows = np.random.default_rng(1).integers(0, 1 << m.bits, (4, 500))
+        assert np.allclose(weight.summed(rows), sum(weight[r] for r in rows), atol=1e-5)
+
+
 def test_lm_does_not_depend_on_partitions(spark):
     df = table(spark, [" ".join(words(50 + i, i, 200)) for i in range(60)])
     a, b = ({r.doc_id: r.score for r in lm.scored(df.repartition(n)).collect()} for n in (1, 7))
