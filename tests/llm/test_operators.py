@@ -6,11 +6,12 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 
-from relspark.llm import classifier, decontaminate, lm, minhash, packing, repeats, secrets, sharding, syncmers, url_filters
+from relspark.llm import classifier, common, decontaminate, lm, minhash, packing, repeats, secrets, sharding, syncmers, url_filters
 from relspark.llm.decontaminate import contaminated
 from relspark.llm import words as word_arrays
 from relspark.llm.queries import tokenizer_path
@@ -640,6 +641,15 @@ def test_lm_training_and_scores_equal_plain_python(spark):
     assert off.max() < 0.1 and off.mean() < 0.03
 
 
+def test_stored_tables_have_no_checksum_files(spark):
+    out = common.stored(spark.range(0, 100, 1, 5), "plain")
+    files = [x.name for x in Path(out._stored_at.removeprefix("file://")).rglob("*")]
+    assert sum(x.endswith(".parquet") for x in files) == 5 and not [x for x in files if x.endswith(".crc")]
+    assert out.count() == 100
+    common.release(out)
+    assert not Path(out._stored_at.removeprefix("file://")).exists()
+
+
 def test_lm_weights_are_bytes_in_workers(spark):
     df, begun = fitted_lm(spark, [" ".join(words(60, i)) for i in range(20)])
     m = pickle.loads(pickle.dumps(lm._trained(begun, df, 0.4)))
