@@ -9,7 +9,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -100,6 +100,21 @@ class Analyzer:
     morphology: Callable[[list[str]], list[str]] | None = None
     chars: int | None = None
 
+    @property
+    def whole(self) -> bool:
+        """Whether the tokens are all runs of TOKEN in `lowered` texts, of `least` characters or more."""
+        return self.accents and self.numbers and not self.stopwords and self.morphology is None
+
+    def lowered(self, df: DataFrame, fields: Sequence[str]) -> DataFrame:
+        """df with the lower-case texts that the tokens of its fields are taken from. Patterns only run over texts that
+        have what a match can't do without."""
+        clip = {f: F.coalesce(F.col(f) if self.chars is None else clipped(F.col(f), self.chars), F.lit("")) for f in fields}
+        df = df.withColumns({f: F.lower(unescaped(x) if self.entities else x) for f, x in clip.items()})
+        if not self.markup:
+            return df
+        marked = lambda x: x.contains("<") | x.contains("://") | x.contains("www.")
+        return df.withColumns({f: F.when(marked(F.col(f)), without_markup(F.col(f))).otherwise(F.col(f)) for f in fields})
+
     def __call__(self, x: Column) -> Column:
         x = x if self.chars is None else clipped(x, self.chars)
         x = unescaped(x) if self.entities else x

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -26,6 +27,8 @@ TOP, K_MAX, DEPTH = 100, 10_000, 50
 QUERY_BLOCK = 50_000
 #: Queries of a lexical block; their terms times themselves is the size of its weights.
 LEXICAL_BLOCK = 500
+#: Documents of a product with them.
+DOCUMENT_BLOCK = 256
 
 
 PLAIN = Analyzer(entities=False)
@@ -49,53 +52,112 @@ def bm25(docs: DataFrame, queries: DataFrame, fields: Sequence[str] = ("title",
     docs has unique ids and fields, queries id_query and query. score is the sum of the fields' scores, missing ones as
     0; pairs without a common term are left out. With top, at least the first `top` of each query are in the result.
     """
-    return scored_terms(analysed(docs, fields, analyzer), queries, fields, analyzer, top)
-
-
-def _term_counts(index: DataFrame, fields: Sequence[str], shared) -> dict[str, tuple[int, float, np.ndarray]]:
-    """Per field: documents, mean length and the document frequency of each term of the shared vocabulary, by one pass
-    of which each task returns one row for a field and term that it met."""
+    return scored_terms(_searched(docs, fields, analyzer), queries, fields, analyzer, top)
+
+
+def _searched(df: DataFrame, fields: Sequence[str], analyzer: Analyzer) -> DataFrame:
+    """What scored_terms makes of df (id and fields): its texts, where an analyzer needs no more, else its terms."""
+    return analyzer.lowered(df.select("id", *fields), fields) if analyzer.whole else analysed(df, fields, analyzer)
+
+
+#: Bytes that a TOKEN of lower-case or any other text may have; À to ÿ are C3 and a second byte.
+_TOKEN_BYTES = np.zeros(256, bool)
+_TOKEN_BYTES[[*b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_", 0xC3]] = True
+
+
+def _tokens(column: pa.Array, least: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Of texts: tokens of `least` characters or more in each, and the text and the word of every run of TOKEN, shorter
+    ones too. Works on the bytes of all texts at once."""
+    n, (_, offsets, data) = len(column), column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + n + 1]
+    raw = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)
+    ends = ends - ends[0]
+    if not len(raw):
+        return np.zeros(n, np.int64), np.zeros(0, np.int64), pa.array([], pa.string())
+    inside, lead = _TOKEN_BYTES[raw], raw == 0xC3
+    inside[1:] |= lead[:-1]
+    begins, stops = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    stops[:-1] &= ~inside[1:]
+    some = ends[1:] > ends[:-1]  # a token ends with its text
+    first, last = ends[:-1][some], ends[1:][some] - 1
+    begins[first], stops[last] = inside[first], inside[last]
+    begin, stop = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    size = stop - begin
+    place = np.zeros(len(size) + 1, np.int32)
+    np.cumsum(size, out=place[1:])
+    words = pa.StringArray.from_buffers(len(size), pa.py_buffer(place), pa.py_buffer(raw[inside]))
+    if lead.any():
+        pairs = np.cumsum(lead)
+        size = size - (pairs[stop - 1] - pairs[begin] + lead[begin])
+    bounds = np.searchsorted(begin, ends)
+    long = np.append(0, np.cumsum(size >= least))[bounds]
+    return np.diff(long), np.repeat(np.arange(n), np.diff(bounds)), words
+
+
+def _known(column: pa.Array, vocabulary: pa.Array, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts or term lists: the terms in each; and of each term in the vocabulary, its text and its place there."""
+    if pa.types.is_string(column.type) or pa.types.is_large_string(column.type):
+        length, text, words = _tokens(column.cast(pa.string()).fill_null("") if column.null_count else column.cast(pa.string()), least)
+    else:
+        length = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        text, words = np.repeat(np.arange(len(length)), length), column.flatten().cast(pa.string())
+    at = pc.fill_null(pc.index_in(words, value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
+    met = np.flatnonzero(at >= 0)
+    return length, text[met], at[met]
+
+
+def _term_counts(index: DataFrame, fields: Sequence[str], vocabulary: Sequence[str], least: int) -> dict[str, tuple[int, float, np.ndarray]]:
+    """Per field: documents, mean length and the document frequency of each term of the vocabulary, by one pass of which
+    each task returns one row for a field and term that it met."""
+    size = len(vocabulary)
+    shared = index.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = shared.value[0]
-        total = np.zeros((len(fields), len(vocabulary) + 2), np.int64)
+        words = pa.array(shared.value, pa.string())
+        total = np.zeros((len(fields), size + 2), np.int64)
         for b in it:
-            for f in range(len(fields)):
-                terms = b.column(f).to_pylist()
-                total[f, -2] += len(terms)
-                total[f, -1] += sum(map(len, terms))
-                met = Counter(vocabulary[t] for ts in terms for t in {*ts} if t in vocabulary)
-                if met:
-                    total[f, list(met)] += list(met.values())
+            for at in range(0, b.num_rows, DOCUMENT_BLOCK):
+                part = b.slice(at, DOCUMENT_BLOCK)
+                for f in range(len(fields)):
+                    length, text, term = _known(part.column(f), words, least)
+                    total[f, -2] += len(length)
+                    total[f, -1] += length.sum()
+                    met = np.zeros((len(length), size), bool)
+                    met[text, term] = True
+                    total[f, :size] += met.sum(0)
         f, i = np.nonzero(total)
         yield pa.record_batch([pa.array(f, pa.int32()), pa.array(i, pa.int32()), pa.array(total[f, i])], ["field", "place", "n"])
 
-    size = len(shared.value[0])
     total = np.zeros((len(fields), size + 2), np.int64)
     for r in index.select(*fields).mapInArrow(run, "field int, place int, n long").groupBy("field", "place").agg(F.sum("n").alias("n")).toLocalIterator():
         total[r.field, r.place] = r.n
     return {f: (int(n[-2]), n[-1] / n[-2] if n[-2] else 0.0, n[:-2]) for f, n in zip(fields, total, strict=True)}
 
 
-def _best(query: np.ndarray, score: np.ndarray, top: int) -> np.ndarray:
-    """Places of each query's first `top` scores and of those that rounding could tie with them."""
+def _best(query: np.ndarray, score: np.ndarray, top: int, least: np.ndarray) -> np.ndarray:
+    """Places of each query's first `top` rounded scores and of those that tie with the last; least becomes what a further
+    score of a query must reach."""
     order = np.lexsort((-score, query))
     q = query[order]
     first = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
-    last = np.minimum(first + top, np.append(first[1:], len(q))) - 1
-    edge = np.repeat(score[order][last], np.diff(np.append(first, len(q))))
-    return order[score[order] >= edge - 2 * 10.0**-DIGITS]
+    size = np.diff(np.append(first, len(q)))
+    edge = score[order][first + np.minimum(top, size) - 1]
+    full = size >= top
+    least[q[first][full]] = edge[full]
+    return order[score[order] >= np.repeat(edge, size)]
 
 
 def scored_terms(index: DataFrame, queries: DataFrame, fields: Sequence[str] = ("title", "description"), analyzer: Analyzer = PLAIN, top: int | None = None) -> DataFrame:
-    """bm25 over analysed documents (id, fields as term lists), from a plan or from a stored index.
+    """bm25 over documents (id, fields), analysed to term lists by a plan or in a stored index, or lowered by an analyzer
+    that is `whole`, whose tokens are then found in the bytes of the texts.
 
-    Each Arrow batch of documents is a product of its weights with those of a block of at most LEXICAL_BLOCK queries,
+    Each block of documents is a product of its weights with those of a block of at most LEXICAL_BLOCK queries,
     field by field, and fields are summed there, so a common term costs arithmetic and not a row for each document and
     query that share it. With `top`, a task passes on little more than `top` rows for each query, so what is shuffled
     for the ranking is bounded by tasks x queries x top, whatever the corpus.
     """
-    spark, n = index.sparkSession, queries.count()
+    spark, n, least = index.sparkSession, queries.count(), analyzer.least
     id_type, query_type = (to_arrow_type(x) for x in (index.schema["id"].dataType, queries.schema["id_query"].dataType))
     columns = [f"{f}_score" for f in fields] + ["score"]
     schema = f"id_query {queries.schema['id_query'].dataType.simpleString()}, id {index.schema['id'].dataType.simpleString()}, " + ", ".join(f"`{c}` double" for c in columns)
@@ -104,7 +166,7 @@ def scored_terms(index: DataFrame, queries: DataFrame, fields: Sequence[str] = (
     for k in range(blocks):
         rows = (asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("id_query"), F.lit(blocks)) == k)).collect()
         vocabulary = {t: i for i, t in enumerate(sorted({t for r in rows for t in r.terms}))}
-        counts = _term_counts(index, fields, spark.sparkContext.broadcast((vocabulary,)))
+        counts = _term_counts(index, fields, [*vocabulary], least)
         weights = {}
         for f, (docs, mean, df) in counts.items():
             idf, weights[f] = np.log1p((docs - df + 0.5) / (df + 0.5)) * (df > 0), np.zeros((len(vocabulary), len(rows)))
@@ -112,11 +174,12 @@ def scored_terms(index: DataFrame, queries: DataFrame, fields: Sequence[str] = (
                 for t, tf in Counter(r.terms).items():
                     if mean:
                         weights[f][vocabulary[t], j] = idf[vocabulary[t]] * saturated(tf, len(r.terms), mean)
-        shared = spark.sparkContext.broadcast((vocabulary, [r.id_query for r in rows], {f: c[1] for f, c in counts.items()}, weights))
+        shared = spark.sparkContext.broadcast(([*vocabulary], [r.id_query for r in rows], {f: c[1] for f, c in counts.items()}, weights))
 
         def run(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             vocabulary, names, means, weights = shared.value
-            names, held = pa.array(names, query_type), []
+            words, names, held = pa.array(vocabulary, pa.string()), pa.array(names, query_type), []
+            edge = np.full(len(names), -np.inf)
 
             def passed(q: np.ndarray, ids: pa.Array, scores: np.ndarray) -> pa.RecordBatch:
                 return pa.record_batch([names.take(pa.array(q)), ids.cast(id_type), *[pa.array(scores[:, c].copy()) for c in range(scores.shape[1])]], ["id_query", "id", *columns])
@@ -124,24 +187,28 @@ def scored_terms(index: DataFrame, queries: DataFrame, fields: Sequence[str] = (
             def pruned() -> tuple[np.ndarray, pa.Array, np.ndarray]:
                 q, scores = np.concatenate([h[0] for h in held]), np.concatenate([h[2] for h in held])
                 ids = pa.concat_arrays([h[1] for h in held])
-                at = _best(q, scores[:, -1], top)
+                at = _best(q, scores[:, -1], top, edge)
                 return q[at], ids.take(pa.array(at)), scores[at]
 
             for b in it:
-                for at in range(0, b.num_rows if len(names) else 0, 512):
-                    part = b.slice(at, 512)
+                for at in range(0, b.num_rows if len(names) else 0, DOCUMENT_BLOCK):
+                    part = b.slice(at, DOCUMENT_BLOCK)
                     scores = np.zeros((len(fields) + 1, part.num_rows, len(names)))
                     for f, field in enumerate(fields):
-                        terms = part.column(1 + f).to_pylist()
-                        length = np.fromiter(map(len, terms), float, len(terms))
-                        place = [[vocabulary[t] for t in ts if t in vocabulary] for ts in terms]
-                        column = np.array([c for p in place for c in p], np.int64)
-                        if len(column):
-                            used, column = np.unique(column, return_inverse=True)
-                            tf = np.bincount(np.repeat(np.arange(len(terms)), [len(p) for p in place]) * len(used) + column, minlength=len(terms) * len(used)).reshape(len(terms), len(used))
-                            scores[f] = saturated(tf.astype(float), length[:, None], means[field]) @ weights[field][used]
-                    scores[-1] = scores[:-1].sum(0)
-                    i, j = np.nonzero(scores[-1])
+                        length, text, term = _known(part.column(1 + f), words, least)
+                        if len(term):
+                            met = np.zeros(len(words), bool)
+                            met[term] = True
+                            used = np.flatnonzero(met)
+                            place = np.zeros(len(words), np.int64)
+                            place[used] = np.arange(len(used))
+                            tf = np.bincount(text * len(used) + place[term], minlength=len(length) * len(used))
+                            some = np.flatnonzero(tf)
+                            weight = np.zeros(len(tf))
+                            weight[some] = saturated(tf[some].astype(float), length[some // len(used)], means[field])
+                            scores[f] = weight.reshape(len(length), len(used)) @ weights[field][used]
+                    scores[-1] = np.floor(scores[:-1].sum(0) * 10**DIGITS + 0.5) / 10**DIGITS
+                    i, j = np.nonzero((scores[:-1] != 0).any(0) & (scores[-1] >= edge))
                     if not len(i):
                         continue
                     found = j, part.column(0).take(pa.array(i)), scores[:, i, j].T
@@ -156,7 +223,7 @@ def scored_terms(index: DataFrame, queries: DataFrame, fields: Sequence[str] = (
 
         hits = index.select("id", *fields).mapInArrow(run, schema)
         out = hits if out is None else out.unionByName(hits)
-    return out.select("id_query", "id", *columns[:-1], F.round("score", DIGITS).alias("score"))
+    return out
 
 
 def fused(scores: DataFrame, fields: Sequence[str] = ("title", "description")) -> DataFrame:
@@ -303,9 +370,11 @@ class Retriever:
     def search(self, name: str, queries: DataFrame, top: int = TOP) -> DataFrame:
         """(id_query, id, field scores, score, rank) of queries (id_query, query)."""
         name = self.ALIASES.get(name, name)
-        index = self.index(name)
         if name in self.lexical:
-            return ranked(scored_terms(index, queries, self.fields, self.lexical[name], top), top)
+            how = self.lexical[name]
+            index = self.stored[name] if name in self.stored else _searched(self.records, self.fields, how)
+            return ranked(scored_terms(index, queries, self.fields, how, top), top)
+        index = self.index(name)
         asked = self._vectors(queries.select("id_query", query_prompt(F.col("query")).alias("text")), "id_query", F.col("text"), self.encoders[name])
         parts = [dense(index.filter(F.col("field") == f), asked, K_MAX).withColumn("field", F.lit(f)).drop("rank") for f in self.fields]
         rows = parts[0]
