@@ -387,7 +387,8 @@ def bm25_topk(spark, sf):
 
 @query("WITH " + BM25 + " SELECT id_query, id, title_score, description_score, score FROM fu")
 def field_fusion(spark, sf):
-    return rounded(retrieval.bm25(datasets_of(spark, sf), queries_of(spark, sf)))
+    fields = [f"{f}_score" for f in ("title", "description")]
+    return retrieval.bm25(datasets_of(spark, sf), queries_of(spark, sf)).select("id_query", "id", *[F.round(f, 6).alias(f) for f in fields], "score")
 
 
 DENSE = """
