@@ -6,7 +6,8 @@ Labels are in long form: (item, rater, label) with a boolean label, or (item, ra
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from itertools import combinations
 
 import pandas as pd
@@ -154,14 +155,37 @@ def resamples(spark: SparkSession, items: int, iterations: int, seed: int) -> Da
     return spark.createDataFrame(pd.concat(parts) if parts else pd.DataFrame({"iteration": [], "pos": [], "w": []}), "iteration int, pos int, w int")
 
 
-def bootstrap_intervals(confusions: DataFrame, weights: DataFrame, confidence: float = 0.95) -> DataFrame:
+@dataclass(frozen=True)
+class Weights:
+    """Weights of resamples by a rule: items has a row with the key of each item that is drawn from, of(iteration, key) is
+    its weight. They are made where they are summed, so no row of an item and iteration is sorted or shuffled; a table of
+    weights has such rows and is for audited samples."""
+
+    items: DataFrame
+    iterations: int
+    of: Callable[[Column, Column], Column]
+
+
+def _weighted(x: DataFrame, weights: DataFrame | Weights, key: str, by: Sequence[str]) -> DataFrame:
+    """(iteration, by, w): summed weights of the rows of x by iteration and combination of the few values of by, each added
+    up in the task that has the rows."""
+    if isinstance(weights, Weights):
+        drawn = weights.items.groupBy(key).agg(F.count("*").alias("times"))
+        rows = x.select(key, *by).join(drawn, key).withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(weights.iterations - 1))))
+        rows = rows.withColumn("w", F.col("times") * weights.of(F.col("iteration"), F.col(key)))
+    else:
+        rows = x.select(key, *by).join(weights, key)
+    return rows.groupBy("iteration", *by).agg(F.sum("w").alias("w"))
+
+
+def bootstrap_intervals(confusions: DataFrame, weights: DataFrame | Weights, confidence: float = 0.95) -> DataFrame:
     """Per source: percentile intervals of kappa, precision, recall and f1.
 
-    confusions is (pos, source, label, truth); weights (iteration, pos, w) is shared by all sources and metrics, which
-    are all made from one aggregate.
+    confusions is (pos, source, label, truth); weights (iteration, pos, w) or by a rule is shared by all sources and
+    metrics, which are all made from one aggregate.
     """
     p, t, w = F.col("label"), F.col("truth"), F.col("w")
-    x = confusions.filter("label is not null and truth is not null").join(weights, "pos")
+    x = _weighted(confusions.filter("label is not null and truth is not null"), weights, "pos", ["source", "label", "truth"])
     s = lambda c, name: F.sum(F.when(c, w).otherwise(0)).alias(name)
     per = x.groupBy("source", "iteration").agg(s(p & t, "tp"), s(~p & ~t, "tn"), s(p & ~t, "fp"), s(~p & t, "fn")).select("source", *confusion_metrics())
     tail = (1 - confidence) / 2
@@ -177,12 +201,13 @@ def _bounds(values: DataFrame, keys: Sequence[str], names: Sequence[str], confid
     return values.groupBy(*keys).agg(F.count("*").alias("iterations"), *ends)
 
 
-def human_intervals(labels: DataFrame, raters: Sequence[str], weights: DataFrame, confidence: float = 0.95) -> DataFrame:
+def human_intervals(labels: DataFrame, raters: Sequence[str], weights: DataFrame | Weights, confidence: float = 0.95) -> DataFrame:
     """One row: percentile intervals of each two raters' kappa, of Fleiss' kappa and of exact agreement.
 
-    weights is (iteration, item, w), shared by all metrics, which come from one aggregate by iteration.
+    weights is (iteration, item, w) or by a rule, shared by all metrics, which come from one aggregate by iteration.
     """
-    x, w, k = columns_of(labels, raters).join(weights, "item"), F.col("w"), len(raters)
+    w, k = F.col("w"), len(raters)
+    x = _weighted(columns_of(labels, raters), weights, "item", [f"r{i}" for i in range(k)])
     r = [F.col(f"r{i}") for i in range(k)]
     s = lambda c, v=w: F.sum(F.when(c, v).otherwise(0))
     full, p = r[0].isNotNull(), r[0].cast("int")
@@ -198,19 +223,20 @@ def human_intervals(labels: DataFrame, raters: Sequence[str], weights: DataFrame
     return _bounds(x.groupBy("iteration").agg(*sums).select(*[v.alias(n) for n, v in out.items()]), [], list(out), confidence)
 
 
-def rater_intervals(predicted: DataFrame, humans: DataFrame, raters: Sequence[str], weights: DataFrame, confidence: float = 0.95) -> DataFrame:
+def rater_intervals(predicted: DataFrame, humans: DataFrame, raters: Sequence[str], weights: DataFrame | Weights, confidence: float = 0.95) -> DataFrame:
     """Per source: percentile intervals of its kappa against each rater and of their mean."""
-    x = predicted.join(columns_of(humans, raters), "item").join(weights, "item")
+    x = _weighted(predicted.join(columns_of(humans, raters), "item"), weights, "item", ["source", "label", *[f"r{i}" for i in range(len(raters))]])
     per = _source_counts(x, len(raters), F.col("w"), ["source", "iteration"]).select("source", *_source_kappas(raters))
     return _bounds(per, ["source"], [*[f"kappa_{r}" for r in raters], "mean_kappa"], confidence)
 
 
-def reason_intervals(reasons: DataFrame, raters: int, categories: Sequence[str], weights: DataFrame, confidence: float = 0.95) -> DataFrame:
+def reason_intervals(reasons: DataFrame, raters: int, categories: Sequence[str], weights: DataFrame | Weights, confidence: float = 0.95) -> DataFrame:
     """One row: percentile intervals of Fleiss' kappa over reasons and of the rate of unanimous ones."""
     per = reasons.groupBy("item").agg(*[F.count_if(F.col("reason") == c).alias(f"c{i}") for i, c in enumerate(categories)])
     c, w = [F.col(f"c{i}") for i in range(len(categories))], F.col("w")
     total, squares = sum(c[1:], c[0]), sum((x * x for x in c[1:]), c[0] * c[0])
-    x = per.withColumn("full", total == raters).withColumn("same", (squares - raters) / (raters * (raters - 1))).join(weights, "item")
+    x = _weighted(per, weights, "item", [f"c{i}" for i in range(len(categories))])
+    x = x.withColumn("full", total == raters).withColumn("same", (squares - raters) / (raters * (raters - 1)))
     s = lambda v: F.sum(F.when(F.col("full"), v).otherwise(0))
     sums = x.groupBy("iteration").agg(s(w).alias("n"), s(w * F.col("same")).alias("same"), s(F.when(F.col("same") == 1, w).otherwise(0)).alias("unanimous"), F.sum("w").alias("all"), *[s(w * k).alias(f"t{i}") for i, k in enumerate(c)])
     share = [M.ratio(F.col(f"t{i}"), F.col("n") * raters) for i in range(len(c))]

@@ -285,9 +285,7 @@ def bootstrap_intervals(spark, sf):
     """Weights by arithmetic, so that SQL has them too; the tests hold the seeded resamples against plain Python."""
     both = predicted_of(spark, sf).join(truth_of(spark, sf).select("item", F.col("label").alias("truth")), "item")
     pos = F.substring("item", F.lit(2), F.length("item")).cast("long")
-    it = F.col("iteration")
-    weights = table(spark, sf, "documents").select(F.explode(F.sequence(F.lit(0), F.lit(199))).alias("iteration"), F.col("doc_id").alias("pos")).select("iteration", "pos", (1 + (it * 7 + F.col("pos") * 13) % 3).alias("w"))
-    return rounded(agreement.bootstrap_intervals(both.withColumn("pos", pos), weights))
+    return rounded(agreement.bootstrap_intervals(both.withColumn("pos", pos), weights_of(spark, sf, "pos")))
 
 
 @query()
@@ -302,11 +300,9 @@ WEIGHTS = f"wts AS (SELECT it, doc_id, 1 + (it * 7 + doc_id * 13) % 3 AS w FROM
 WIDE = "hw AS (SELECT doc_id, " + ", ".join(f"max(CASE WHEN annotator = '{h}' THEN relevance::INT END) AS {h}" for h in HUMANS) + " FROM h GROUP BY doc_id)"
 
 
-def weights_of(spark, sf):
-    """(iteration, item, w) by arithmetic, so that SQL has the same."""
-    it = F.col("iteration")
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("item"), F.explode(F.sequence(F.lit(0), F.lit(ITERATIONS - 1))).alias("iteration"))
-    return d.select("iteration", "item", (1 + (it * 7 + F.col("item") * 13) % 3).alias("w"))
+def weights_of(spark, sf, key="item"):
+    """Weights by arithmetic, so that SQL has the same."""
+    return agreement.Weights(table(spark, sf, "documents").select(F.col("doc_id").alias(key)), ITERATIONS, lambda it, item: 1 + (it * 7 + item * 13) % 3)
 
 
 def _kappa_sql(n: str, pa: str, pb: str, pab: str) -> str:
